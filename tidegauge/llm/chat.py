@@ -57,21 +57,18 @@ def tree_paths(messages: DataFrame) -> DataFrame:
     real = nodes.select(F.col("tree_id").alias("t"), F.col("node").alias("n"))
     up = nodes.join(real, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
     stretch = checkpointed(
-        up.select("tree_id", "node", F.col("n").alias("top"), F.array("node").alias("path"), "score", F.lit(False).alias("leaf"))
+        up.select("tree_id", "node", F.col("n").alias("top"), F.array("node").alias("path"), "score")
     )
     replied = stretch.where("top is not null").select(F.col("tree_id").alias("t"), F.col("top").alias("n")).distinct()
     leaves = stretch.join(replied, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     open_rows = stretch.where("top is not null").count()
     while open_rows:
         above = stretch.select(F.col("tree_id").alias("t"), F.col("node").alias("n"), F.col("top").alias("next"), F.col("path").alias("before"), F.col("score").alias("more"))
+        # only stretches that have not reached their root are joined; every top exists, so none is lost
+        grown = stretch.where("top is not null").join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")))
         stretch = checkpointed(
-            stretch.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")), "left").select(
-                "tree_id",
-                "node",
-                F.col("next").alias("top"),
-                F.concat(F.coalesce("before", F.array().cast("array<bigint>")), "path").alias("path"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                "leaf",
+            stretch.where("top is null").union(
+                grown.select("tree_id", "node", F.col("next").alias("top"), F.concat("before", "path").alias("path"), (F.col("score") + F.col("more")).alias("score"))
             )
         )
         still = stretch.where("top is not null").count()
