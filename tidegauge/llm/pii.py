@@ -119,9 +119,12 @@ def _name(value: Column, digest: Column) -> Column:
     return F.concat(title, F.lit(" "), F.when(two, F.concat(given, F.lit(" "), family)).otherwise(family))
 
 
-def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity at the given attempt; a pure function of key, kind, entity and attempt."""
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 512)
+def keyed_digest(kind: Column, value: Column, key: str, attempt: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 512)
+
+
+def surrogate(kind: Column, value: Column, digest: Column) -> Column:
+    """The surrogate of an entity, a pure function of its kind, itself and the keyed digest of both (and the attempt)."""
     lead = F.regexp_extract(value, r"^(.*?[=:]\s?[\"']?)", 1)
     secret = F.substr(value, F.length(lead) + 1)
     domain_end = F.concat(F.lit("."), F.substring_index(value, ".", -1))
@@ -144,11 +147,13 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
 def surrogate_map(found: DataFrame, key: str) -> DataFrame:
     """``entity, surrogate`` for the distinct ``found(entity)``: no two entities share a surrogate, and no surrogate
     is an entity. Of those that meet, the smallest entity keeps its draw; the others draw again."""
-    known = checkpointed(found.select("entity").distinct())
+    known = checkpointed(found.select("entity").distinct().select("entity", kind_of(F.col("entity")).alias("kind")))
     drawn = known.withColumn("attempt", F.lit(0))
     real = known.select(F.col("entity").alias("taken"))
     while True:
-        drawn = checkpointed(drawn.select("entity", "attempt", surrogate(kind_of(F.col("entity")), F.col("entity"), key, F.col("attempt")).alias("surrogate")))
+        # kind and digest are columns, not parts of the expression: each is computed once per entity
+        keyed = drawn.withColumn("digest", keyed_digest(F.col("kind"), F.col("entity"), key, F.col("attempt")))
+        drawn = checkpointed(keyed.select("entity", "kind", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("digest")).alias("surrogate")))
         first = drawn.groupBy("surrogate").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("n"))
         clashes = checkpointed(
             first.join(real, first["surrogate"] == real["taken"], "left").where("n > 1 or taken is not null").select(
@@ -160,7 +165,7 @@ def surrogate_map(found: DataFrame, key: str) -> DataFrame:
         again = F.col("hit") & ~F.col("entity").eqNullSafe(F.col("first"))
         drawn = (
             drawn.join(clashes.withColumn("hit", F.lit(True)), "surrogate", "left")
-            .select("entity", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt"))
+            .select("entity", "kind", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt"))
         )
 
 
