@@ -14,7 +14,10 @@ all pieces share is counted in many tasks) and looks its sequence up in the inte
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +31,8 @@ from tidegauge.llm._shared import written
 
 MAX_TOKENS = 2048
 END_ID = 0
-MEMO_WORDS = 1_000_000
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+MEMO_WORDS = 1_500_000
 
 
 @lru_cache(maxsize=2)
@@ -44,23 +48,36 @@ def _tokenizer(definition: str):
 
 
 _memo: dict[bytes, bytes] = {}
+_TAIL = re.compile(rb"[A-Za-z0-9]([.,!?:;%*&$|#]+)$")
+
+
+def _stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the punctuation behind its last ASCII letter or digit: the tokenizer always splits there. It also
+    folds A-Z, so a stem in ASCII stands for all its spellings."""
+    tail = m[1] if (m := _TAIL.search(word)) else b""
+    stem = word[: len(word) - len(tail)]
+    return (stem.lower() if stem.isascii() else stem), tail
 
 
 def word_ids(tokenizer, text: str | None) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers, without the end id.
 
     The tokenizer never merges across ASCII blanks, so words between them are encoded once and remembered,
-    up to ``MEMO_WORDS`` of them in a Python worker.
+    up to about ``MEMO_WORDS`` of them in a Python worker.
     """
     words = (text or "").encode().split()
-    missing = [w for w in set(words) if w not in _memo]
-    if missing:
-        if len(_memo) + len(missing) > MEMO_WORDS:
+    try:
+        return b"".join([_memo[w] for w in words])
+    except KeyError:
+        if len(_memo) > MEMO_WORDS:
             _memo.clear()
-            missing = list(set(words))
-        for w, e in zip(missing, tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            _memo[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-    return b"".join([_memo[w] for w in words])
+        new = {w: _stem_and_tail(w) for w in set(words) if w not in _memo}
+        parts = list({p for pair in new.values() for p in pair if p not in _memo})
+        for p, e in zip(parts, tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
+            _memo[p] = array("I", e.ids).tobytes() if _LITTLE else b"".join([i.to_bytes(4, "little") for i in e.ids])
+        for w, (stem, tail) in new.items():
+            _memo[w] = _memo[stem] + _memo[tail]
+        return b"".join([_memo[w] for w in words])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
