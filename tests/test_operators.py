@@ -104,7 +104,7 @@ def test_columns(spark):
     assert columns.prune_empty(df, ["id"]).columns == ["id", "a", "c"]
     assert [r["c"] for r in columns.coerce_columns(df, ["c"]).collect()] == [123.0, 4.0, None]
     assert columns.select_or_all(df, F.col("id") == 9).count() == 3 and columns.select_or_all(df, F.col("id") == 1).count() == 1
-    assert text.match_headers(["Sample Time", "T.90 value"], {"sample_time": ["time"], "target": ["t90"]}) == {"sample_time": "Sample Time", "target": "T.90 value"}
+    assert text.match_headers(["Sample Time", "Q.A value"], {"sample_time": ["time"], "target": ["qa"]}) == {"sample_time": "Sample Time", "target": "Q.A value"}
     assert text.feature_parts("w15_lag30__TI101__mean") == {"window": "15", "lag": "30", "sensor": "TI101", "stat": "mean"}
     assert json.dumps(text.json_ready({"a": float("nan"), "b": [pd.Timestamp("2024-01-01")]})) == '{"a": null, "b": ["2024-01-01T00:00:00"]}'
     assert labels.target_range(None, None, (8.2, 0.5)) == (7.699999999999999, 8.7) and labels.target_range((8, 1), None, (0, 0)) == (7, 9)
@@ -174,3 +174,19 @@ def test_streams_equal_batch(spark):
     assert got == want
     assert registry.QUERIES["stream_tumbling_last"](spark, SF).count() > 0
     assert registry.QUERIES["stream_sessions"](spark, SF).count() > 0
+
+
+def test_recommendation(spark):
+    from tidegauge.facade import recommend_controls
+
+    rows = spark.range(600).select("id", (F.col("id") % 7 * 1.0).alias("x"), (F.col("id") % 31 / 3.0).alias("a"), (F.col("id") % 17 / 3.0).alias("b"))
+    cases = rows.withColumn("is_in_spec", (F.col("a") - F.col("b") + 0.3 * F.sin("id") > 2).cast("int"))
+    got = recommend_controls(cases, {"x": 3.0}, ("a", "b"), (1.0, 4.0), neighbours=80)
+    best = got.ranges.first()
+    assert best["p"] >= 0.7 and best["feasible"] > 0 and got.warnings == [] and got.neighbours.count() == 80
+    same = recommend_controls(cases.where("is_in_spec = 1"), {"x": 3.0}, ("a", "b"), (1.0, 4.0), neighbours=80)
+    assert same.warnings and {r["control"] for r in same.ranges.collect()} == {"a", "b"}
+    stages = spark.createDataFrame([("s1", [0.0]), ("s2", [9.0])], "stage string, c array<double>")
+    assert recommend_controls(cases, {"x": 3.0}, ("a", "b"), (1.0, 4.0), stages=stages, neighbours=80).stage == "s1"
+    late = recommend_controls(cases.where("x < 4"), {"x": 300.0}, ("a", "b"), (1.0, 4.0), stages=stages, neighbours=40)
+    assert late.stage == "s2" and late.warnings

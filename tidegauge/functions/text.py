@@ -35,7 +35,7 @@ def numeric(text: Column) -> Column:
 
 def tag_root(name: str) -> str:
     """A sensor tag without its suffix: upper case, punctuation removed."""
-    return re.sub(r"[^A-Z0-9]", "", re.sub(r"(?i)[._](pv|sp|op|dacA)$", "", name.strip()).upper())
+    return re.sub(r"[^A-Z0-9]", "", re.sub(r"(?i)[._](pv|sp|op)$", "", name.strip()).upper())
 
 
 def feature_parts(name: str) -> dict[str, str | None]:

@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tidegauge.functions.timeline import DAY
-from tidegauge.operators import grids, metrics, models, ranking, retrieval, slices, splits
+from tidegauge import facade
+from tidegauge.operators import asof, grids, metrics, models, online, ranking, retrieval, slices, splits
 from tidegauge.plans.decisions import SC, scored
 from tidegauge.plans.registry import EVENTS_SQL as EV
 from tidegauge.plans.registry import events, query, read, samples, stream
@@ -251,3 +252,90 @@ def stream_tumbling_last(spark, d):
 @query()
 def stream_sessions(spark, d):
     return _streamed(spark, d, lambda s: alarms.sessions(s, "30 minutes", ["sensor"]), "sessions").select("sensor", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "rows")
+
+
+def _lagged(m):
+    return f"(SELECT sample_id, value, CASE WHEN a.at - r.t <= 600000000 THEN r.v END AS v FROM (SELECT sample_id, value, t - {m} * 60000000::bigint AS at FROM s) a ASOF LEFT JOIN (SELECT t, value AS v FROM r) r ON a.at >= r.t)"
+
+
+@query(f"{EV} " + " UNION ALL ".join(f"SELECT {m} AS lag, corr(v, value) AS corr, count(v) AS n FROM {_lagged(m)}" for m in (0, 30, 60)), "corr")
+def lag_correlations(spark, d):
+    r = stream(spark, d).select("t", F.col("value").alias("v"))
+    return online.lag_correlations(asof.lagged_snapshots(samples(spark, d), r, ["v"], [0, 30, 60], 10), "value", [0, 30, 60], "v")
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::double) AS z FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS z FROM (SELECT label, i, avg(z[i]) AS m FROM v, range(1, 65) r(i) WHERE label < 3 GROUP BY label, i) GROUP BY label),
+k AS (SELECT a.id, b.label, sqrt({_DIST}) AS dd FROM v a, c b), w AS (SELECT id, list(dd ORDER BY label) AS l, list_sort(list(dd)) AS o FROM k GROUP BY id)
+SELECT id, l[1] AS d0, (1 / (l[1] + 1e-9)) / list_sum(list_transform(l, lambda x: 1 / (x + 1e-9))) AS m0, o[2] - o[1] AS margin FROM w""",
+    "d0 m0 margin",
+)
+def cluster_membership(spark, d):
+    v = vectors(spark, d)
+    parts = v.where("label < 3").select("label", F.posexplode("z").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    centroids = parts.groupBy(F.col("label").cast("string").alias("stage")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    return online.cluster_membership(v.select("id", "z"), centroids).select("id", F.get("distances", F.lit(0)).alias("d0"), F.get("membership", F.lit(0)).alias("m0"), "margin")
+
+
+@query(f"{EV} SELECT sensor, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM e GROUP BY sensor", "share")
+def label_summary(spark, d):
+    return online.label_summary(events(spark, d), "sensor")
+
+
+FUSE = f"{SC}, f AS (SELECT y, score AS a, ((event_id * 37) % 101) / 100.0::double AS b FROM z)"
+
+
+def fused(spark, d):
+    return scored(spark, d).select("y", F.col("score").alias("a"), (F.col("event_id") * 37 % 101 / F.lit(100.0)).alias("b"))
+
+
+@query(f"{FUSE} SELECT w::double AS weight, avg(pow(w * a + (1 - w) * b - y::int, 2)) AS brier FROM f, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double AS w) GROUP BY w", "weight brier")
+def fusion_weights(spark, d):
+    return online.fusion_weights(fused(spark, d), "a", "b", "y", [0.0, 0.25, 0.5, 0.75, 1.0])
+
+
+@query(
+    f"""{FUSE}, g AS (SELECT x, z FROM (SELECT unnest([0.3, 0.6])::double AS x), (SELECT unnest([0.4, 0.8])::double AS z)), l AS (SELECT x, z, y, CASE WHEN (a + b) / 2 < 0.4 AND (a > x OR b > z) THEN 0.4 ELSE (a + b) / 2 END AS r FROM f, g),
+c AS (SELECT x AS a_ceiling, z AS b_ceiling, avg((r < 0.4)::int) AS low_rate, count_if(y AND r < 0.4) / count_if(y) AS false_clear, avg(pow(r - y::int, 2)) AS brier FROM l GROUP BY x, z)
+SELECT a_ceiling, b_ceiling, low_rate, false_clear, brier, true AS feasible FROM c WHERE false_clear <= 0.5 ORDER BY low_rate DESC, brier, a_ceiling, b_ceiling LIMIT 1""",
+    "a_ceiling b_ceiling low_rate false_clear brier",
+)
+def guardrail_choice(spark, d):
+    rows = fused(spark, d).withColumn("r", (F.col("a") + F.col("b")) / 2)
+    return online.best_guardrail(online.guardrail_grid(rows, "y", "r", "a", "b", 0.4, [0.3, 0.6], [0.4, 0.8]), 0.5)
+
+
+@query(
+    f"""{EV}, f AS (SELECT sensor AS candidate, unit % 5 AS fold, avg(value) / 100 AS macro_f1, quantile_cont(value, 0.5) / 100 AS balanced, max(value) AS risk FROM e GROUP BY ALL), m AS (SELECT candidate, avg(macro_f1) AS macro_f1, avg(balanced) AS balanced, avg(risk) AS risk FROM f GROUP BY candidate),
+b AS (SELECT macro_f1 AS f0, balanced AS b0 FROM m WHERE candidate = 'click') SELECT candidate, macro_f1, balanced, risk, true AS feasible FROM m, b WHERE macro_f1 >= f0 - 0.02 AND balanced >= b0 - 0.02 ORDER BY risk, macro_f1 DESC, candidate LIMIT 1""",
+    "macro_f1 balanced risk",
+)
+def inner_fold_choice(spark, d):
+    v = F.col("value")
+    f = events(spark, d).groupBy(F.col("sensor").alias("candidate"), (F.col("unit") % 5).alias("fold")).agg(
+        (F.avg(v) / 100).alias("macro_f1"), (F.percentile(v, F.lit(0.5)) / 100).alias("balanced"), F.max(v).alias("risk")
+    )
+    return online.inner_candidates(f, F.col("candidate") == "click", 0.02)
+
+
+@query(
+    f"""{EV}, f AS (SELECT sensor, CASE WHEN unit % 2 = 0 THEN 'train' ELSE 'test' END AS split, stddev_pop(value) AS rmse, corr(value, unit) * 10 AS spearman FROM e GROUP BY ALL),
+t AS (SELECT sensor, max(rmse) FILTER (WHERE split = 'train') AS train_rmse, max(rmse) FILTER (WHERE split = 'test') AS test_rmse, max(spearman) FILTER (WHERE split = 'train') AS train_spearman, max(spearman) FILTER (WHERE split = 'test') AS test_spearman FROM f GROUP BY sensor)
+SELECT *, test_rmse >= 1.75 * train_rmse OR (train_spearman >= 0.8 AND test_spearman <= 0.35) OR train_spearman - test_spearman >= 0.55 AS severe FROM t""",
+    "train_rmse test_rmse train_spearman test_spearman",
+)
+def overfit_flags(spark, d):
+    f = events(spark, d).groupBy("sensor", F.when(F.col("unit") % 2 == 0, "train").otherwise("test").alias("split")).agg(F.stddev_pop("value").alias("rmse"), (F.corr("value", "unit") * 10).alias("spearman"))
+    return metrics.overfit(f, "sensor")
+
+
+@query()
+def delayed_neighbour_estimates(spark, d):
+    cases = _cases(spark, d).select(F.col("sample_id").alias("id"), F.col("sample_t").alias("t"), F.col("y").cast("double").alias("y"), "mean", "max", F.col("count").cast("double").alias("count"))
+    return online.delayed_neighbours(cases.where("id % 100 = 0"), cases, ["mean", "max", "count"], 25, DAY, 10.0, 5, F.lit(0.25))
+
+
+@query()
+def recommendation_replay(spark, d):
+    cases = _cases(spark, d).select(F.col("sample_id").alias("id"), "mean", "max", F.col("count").cast("double").alias("control"), (1 - F.col("y")).alias("is_in_spec"), (F.col("sample_id") % 100 == 0).alias("replay"))
+    return facade.evaluate_recommendations(cases, ["mean", "max"], "control")
