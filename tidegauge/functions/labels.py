@@ -57,16 +57,19 @@ def desirability(y: Column, center: float, tolerance: float) -> Column:
 
 def _offsets(half_width: float, points: int) -> Column:
     step = 2 * half_width / (points - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(-half_width) + i * F.lit(step))
+    return F.array(*[F.lit(-half_width + i * step) for i in range(points)])
 
 
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+def _sums(y: Column, half_width: float, points: int, score) -> Column:
+    """Sum and sum of squares of a score over the error grid, in one pass over the grid."""
+    values = F.transform(_offsets(half_width, points), lambda o: score(y + o))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
+    return F.aggregate(values, start, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["ss"] + v * v).alias("ss")))
 
 
 def desirability_uncertain(y: Column, center: float, tolerance: float, half_width: float, points: int = 21) -> Column:
     """Mean desirability over an even grid of measurement errors."""
-    return _mean(F.transform(_offsets(half_width, points), lambda o: desirability(y + o, center, tolerance)))
+    return _sums(y, half_width, points, lambda v: desirability(v, center, tolerance))["s"] / points
 
 
 def bell(y: Column, center: float, width: float, power: float) -> Column:
@@ -75,9 +78,9 @@ def bell(y: Column, center: float, width: float, power: float) -> Column:
 
 def bell_uncertain(y: Column, center: float, width: float, power: float, half_width: float, points: int = 21) -> tuple[Column, Column]:
     """Mean and population standard deviation of the bell score over the error grid."""
-    values = F.transform(_offsets(half_width, points), lambda o: bell(y + o, center, width, power))
-    mean = _mean(values)
-    return mean, F.sqrt(_mean(F.transform(values, lambda v: F.pow(v - mean, F.lit(2.0)))))
+    sums = _sums(y, half_width, points, lambda v: bell(v, center, width, power))
+    mean = sums["s"] / points
+    return mean, F.sqrt(F.greatest(sums["ss"] / points - mean * mean, F.lit(0.0)))
 
 
 def gaussian(y: Column, center: float, sigma: float) -> Column:

@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
-PAST, NOW, FUTURE = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
+PAST, NOW = Window.unboundedPreceding, Window.currentRow
 
 
 def _order(by: list[str], order: list[str] | None = None) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*(order or ["t", "event_id"]))
 
 
+def _next(by: list[str], value: Column) -> Column:
+    """The next non-null value at or after a row: a running last over the reversed order (frames that end at the last row
+    are recomputed for every row)."""
+    w = Window.partitionBy(*by).orderBy(F.col("t").desc(), F.col("event_id").desc()).rowsBetween(PAST, NOW)
+    return F.last(value, ignorenulls=True).over(w)
+
+
 def runs(df: DataFrame, by: list[str], flag: Column, out: str = "run") -> DataFrame:
     """Number of the maximal run of equal ``flag`` that a row belongs to."""
     w = _order(by)
@@ -33,7 +40,7 @@ def fill_gaps(df: DataFrame, by: list[str], max_points: int, method: str = "prev
     rows = runs(df, by, F.col("value").isNull())
     seen = F.when(F.col("value").isNotNull(), F.struct("t", "value"))
     left = F.last(seen, ignorenulls=True).over(w.rowsBetween(PAST, NOW))
-    right = F.first(seen, ignorenulls=True).over(w.rowsBetween(NOW, FUTURE))
+    right = _next(by, seen)
     rows = rows.withColumns({"_l": left, "_r": right, "_n": F.count(F.lit(1)).over(Window.partitionBy(*by, "run"))})
     short = F.col("value").isNull() & (F.col("_n") <= max_points)
     share = F.try_divide(F.col("t") - F.col("_l.t"), F.col("_r.t") - F.col("_l.t"))
@@ -46,7 +53,7 @@ def fill_gaps(df: DataFrame, by: list[str], max_points: int, method: str = "prev
 def hold_fill(df: DataFrame, by: list[str]) -> DataFrame:
     """Forward, then backward fill."""
     w = _order(by)
-    return df.withColumn("value", F.coalesce(F.last("value", True).over(w.rowsBetween(PAST, NOW)), F.first("value", True).over(w.rowsBetween(NOW, FUTURE))))
+    return df.withColumn("value", F.coalesce(F.last("value", True).over(w.rowsBetween(PAST, NOW)), _next(by, F.col("value"))))
 
 
 def _median(v: Column, w: WindowSpec, minimum: int) -> Column:
