@@ -69,28 +69,22 @@ def merge_bytes(piece: bytes, rank) -> list[int]:
     """Ids of a pre-token by heap merges over a doubly linked list of byte spans; ``rank(bytes)`` is its rank or None."""
     n = len(piece)
     end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and (j := right[i]) >= 0 and (r := rank(piece[i : end[j]])) is not None:
-            heap.append((r, i, end[i], end[j])) if not ready else heapq.heappush(heap, (r, i, end[i], end[j]))
-
-    ready = False
-    for i in range(n - 1):
-        offer(i)
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
-    ready = True
     while heap:
         _, i, middle, stop = heapq.heappop(heap)
         j = right[i]
         if end[i] != middle or j < 0 or end[j] != stop:
             continue  # a part of the pair has changed since
-        end[i], right[i] = stop, right[j]
-        end[j] = -1
-        if right[j] >= 0:
-            left[right[j]] = i
-        offer(left[i])
-        offer(i)
+        k = right[j]
+        end[i], right[i], end[j] = stop, k, -1
+        if k >= 0:
+            left[k] = i
+            if (r := rank(piece[i : end[k]])) is not None:
+                heapq.heappush(heap, (r, i, stop, end[k]))
+        p = left[i]
+        if p >= 0 and (r := rank(piece[p:stop])) is not None:
+            heapq.heappush(heap, (r, p, i, stop))
     out, i = [], 0
     while i >= 0 and n:
         out.append(rank(piece[i : end[i]]))
@@ -101,7 +95,7 @@ def merge_bytes(piece: bytes, rank) -> list[int]:
 class Codec:
     def __init__(self, rank_file: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
-        self.pattern, self.table = regex.compile(pattern), PerfectHash(ranks)
+        self.pattern, self.table, self.pair_rank = regex.compile(pattern), PerfectHash(ranks), ranks.get
         self.entry = [b""] * (max(ranks.values()) + 1)
         for key, r in ranks.items():
             self.entry[r] = key
@@ -110,7 +104,7 @@ class Codec:
     def _encode_token(self, token: str) -> bytes:
         raw = token.encode()
         whole = self.table.get(raw)
-        ids = [whole] if whole is not None else merge_bytes(raw, self.table.get)
+        ids = [whole] if whole is not None else merge_bytes(raw, self.pair_rank)
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
