@@ -1,6 +1,7 @@
 """Properties that SQL comparisons do not show: ties, nulls, empty inputs, folds, models, streams, files."""
 
 import json
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -190,3 +191,59 @@ def test_recommendation(spark):
     assert recommend_controls(cases, {"x": 3.0}, ("a", "b"), (1.0, 4.0), stages=stages, neighbours=80).stage == "s1"
     late = recommend_controls(cases.where("x < 4"), {"x": 300.0}, ("a", "b"), (1.0, 4.0), stages=stages, neighbours=40)
     assert late.stage == "s2" and late.warnings
+
+
+def test_pchip_keeps_shape_and_hits_known_values(spark):
+    v = [0.0, 1.0, None, 3.0, 4.0, None, None, 4.0, 2.0, None, None, None, 0.0]
+    rows = spark.createDataFrame([("a", i, i * 1_000_000, x) for i, x in enumerate(v)], "k string, event_id int, t long, value double")
+    got = [r["value"] for r in series.fill_pchip(rows, ["k"], 2).orderBy("t").collect()]
+    assert got[2] == pytest.approx(2.0) and got[5] == got[6] == pytest.approx(4.0)  # linear stays linear, flat stays flat
+    assert [x is None or x != x for x in got[9:12]] == [True] * 3
+
+
+def test_column_groups(spark):
+    assert columns.keep_representatives([("abc", "ab"), ("ab", "zz")], ["abc", "ab", "zz", "q"]) == ["ab", "q"]
+    df = spark.range(300).select("id", (F.col("id") % 50 * 1.0).alias("a"), (F.col("id") % 50 * 1.0).alias("b"), F.lit(None).cast("double").alias("c"), (F.col("id") % 3 * 1.0).alias("d"))
+    got = {r["feature"]: r["reason"] for r in columns.unsupervised_reasons(df, ["id"], ["a", "b", "c", "d"], "id").collect()}
+    assert got == {"a": None, "b": "same_head", "c": "all_missing", "d": "constant"}
+
+
+def test_fusion_refits_and_regimes(spark, cases):
+    from tidegauge.operators import online
+
+    fused = online.logistic_fusion(cases, cases, "a", "b", "y")
+    assert fused.stat.corr("fused", "a") > 0.8
+    assert online.expanding_refits(cases, ["a", "b"], "y", "fold", 1, 4).count() == 320
+    counted = online.stage_counts(cases, ["a"], [2, 3], 10)
+    assert sum(r["chosen"] for r in counted) == 1
+    assert online.pick_sample(cases, "id").first()["id"] == 399
+    with pytest.raises(ValueError):
+        online.pick_sample(cases, "id", 10_000)
+    assert online.best_fusion_weight(cases.withColumn("l", F.col("y") == 1), "a", "b", "l", [0.0, 0.5, 1.0]) in (0.5, 1.0)
+
+
+def test_stream_joins_and_library(spark, tmp_path):
+    from tidegauge.streaming import alarms
+
+    base = f"{tmp_path}"
+    rows = [("k", 1, datetime(2024, 1, 1), 1.0), ("k", 2, datetime(2024, 1, 1, 1), 0.0), ("k", 3, datetime(2024, 1, 1, 3), 1.0)]
+    spark.createDataFrame(rows, "key string, outcome_id long, outcome_time timestamp, y double").write.parquet(f"{base}/o")
+    spark.createDataFrame([("k", 9, datetime(2024, 1, 1, 3, 30))], "key string, query_id long, query_time timestamp").write.parquet(f"{base}/q")
+    o = alarms.file_stream(spark, f"{base}/o", "key string, outcome_id long, outcome_time timestamp, y double")
+    q = alarms.file_stream(spark, f"{base}/q", "key string, query_id long, query_time timestamp")
+    run = alarms.delayed_outcomes(q, o, "1 hours", "2 hours").writeStream.format("memory").queryName("known").option("checkpointLocation", f"{base}/c1").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert [(r["query_id"], r["outcome_id"]) for r in spark.table("known").collect()] == [(9, 2)]
+    alarms.append_library(o, f"{base}/lib", f"{base}/c2").start().awaitTermination()
+    assert spark.read.parquet(f"{base}/lib").count() == 3
+    wide = alarms.sliding_stats(o.withColumnsRenamed({"outcome_time": "time", "y": "value"}), "2 hours", "1 hour", ["key"])
+    run = wide.writeStream.format("memory").queryName("slid").option("checkpointLocation", f"{base}/c3").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert spark.table("slid").count() >= 2
+
+
+def test_example_request(spark):
+    from tidegauge.facade import example_request, recommend_controls
+
+    cases, context, anchor = example_request(spark)
+    assert recommend_controls(cases, context, ("control_a", "control_b"), anchor, neighbours=80).ranges.count() >= 1

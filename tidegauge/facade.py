@@ -75,3 +75,10 @@ def evaluate_recommendations(cases: DataFrame, features: list[str], control: str
     ranges = got.groupBy("query_id").agg(q.alias("_q")).select("query_id", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("low", "best", "high"))])
     own = cases.select(F.col("id").alias("query_id"), F.col(control).alias("actual"))
     return ranges.join(own, "query_id").withColumns({"error": F.abs(F.col("best") - F.col("actual")), "covered": F.col("actual").between(F.col("low"), F.col("high"))})
+
+
+def example_request(spark, rows: int = 400) -> tuple[DataFrame, dict[str, float], tuple[float, float]]:
+    """A runnable request without data files: a synthetic case base, a context and reference controls."""
+    base = spark.range(rows).select("id", (F.col("id") % 7 * 1.0).alias("load__mean"), (F.col("id") % 31 / 3.0).alias("control_a"), (F.col("id") % 17 / 3.0).alias("control_b"))
+    good = (F.col("control_a") - F.col("control_b") + 0.3 * F.sin("id") > 2).cast("int")
+    return base.withColumn("is_in_spec", good), {"load__mean": 3.0}, (1.0, 4.0)

@@ -143,3 +143,22 @@ def label_by_method(method: str, y: Column, center: float, tolerance: float, par
         **{r: lambda r=r: soft_membership(y, center, tolerance, param, r) for r in ("logistic", "tanh", "linear", "smoothstep")},
     }
     return methods[method]()
+
+
+def noise_aware(y: Column, spread: Column, center: float, tolerance: float, half_width: float, boundary: float, factor: float, out_factor: float, limits: tuple[float, float] = (0.1, 5.0)) -> dict[str, Column]:
+    """All labels of a measured value in one projection: desirability (point, low and high error, uncertain), pass score, distance to
+    the nearer bound, band flags, and the clipped product weight."""
+    low, high = center - tolerance, center + tolerance
+    distance = F.least(F.abs(y - low), F.abs(y - high))
+    weight = repeat_weight(spread, tolerance) * F.when(distance <= boundary, factor).otherwise(1.0) * F.when((y < low) | (y > high), out_factor).otherwise(1.0)
+    return {
+        "point": desirability(y, center, tolerance),
+        "point_low": desirability(y - half_width, center, tolerance),
+        "point_high": desirability(y + half_width, center, tolerance),
+        "uncertain": desirability_uncertain(y, center, tolerance, half_width),
+        "pass_score": interval_pass(y, low, high, half_width),
+        "distance": distance,
+        "is_boundary": distance <= boundary,
+        "is_out": (y < low) | (y > high),
+        "weight": clip(weight, *limits),
+    }

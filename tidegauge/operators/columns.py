@@ -120,3 +120,30 @@ def feature_columns(df: DataFrame, blocked: set[str], include: set[str] | None =
     """Numeric columns that are not blocked and, with ``include``, are named there by themselves or by their root."""
     numbers = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint") and c not in blocked]
     return [c for c in numbers if include is None or c in include or c.split("__", 1)[0] in include]
+
+
+def unsupervised_reasons(df: DataFrame, keys: list[str], columns_: list[str], order: str, first_rows: int = 120) -> DataFrame:
+    """``feature, reason``: all missing, over 60 % missing, at most five values, flat, or the same rounded first rows as a feature
+    before it in name order. The first rows are a small stated set by ``order``."""
+    long = to_long(df, keys, columns_)
+    reasons = screen(profile(long), 0.6, 6, 2.0, 1e-8).select("feature", "reason")
+    head = to_long(df.orderBy(order).limit(first_rows), keys, columns_)
+    sig = signatures(head, keys, digits=6)
+    same = sig.withColumn("keeper", F.min("feature").over(Window.partitionBy("signature", "valid"))).where(F.col("keeper") < F.col("feature"))
+    joined = reasons.join(same.select("feature", F.lit("same_head").alias("same")), "feature", "left")
+    return joined.select("feature", F.coalesce("reason", "same").alias("reason"))
+
+
+def keep_representatives(pairs: list[tuple[str, str]], columns_: list[str]) -> list[str]:
+    """Columns left when every group of duplicates keeps its shortest name (then the first)."""
+    group = {c: c for c in columns_}
+
+    def top(c: str) -> str:
+        while group[c] != c:
+            c = group[c]
+        return c
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)), key=lambda c: (len(c), c))
+        group[y] = x
+    return [c for c in columns_ if group[c] == c]

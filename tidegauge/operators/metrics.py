@@ -57,10 +57,10 @@ def threshold_sweep(df: DataFrame, actual: str, score: str, thresholds: Sequence
 def score_curve(df: DataFrame, actual: str, score: str, part: list[str] | None = None) -> DataFrame:
     """Cumulative true and false positives at every distinct score, highest first."""
     part = part or []
-    counted = df.where(F.col(score).isNotNull()).groupBy(*part, score).agg(F.count_if(actual).alias("p"), F.count_if(~F.col(actual)).alias("n"))
+    counted = df.where(F.col(score).isNotNull()).groupBy(*part, score).agg(F.count_if(actual).alias("_p"), F.count_if(~F.col(actual)).alias("_n"))
     w = Window.partitionBy(*part).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     full = Window.partitionBy(*part)
-    return counted.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "pos": F.sum("p").over(full), "neg": F.sum("n").over(full)})
+    return counted.withColumns({"tp": F.sum("_p").over(w), "fp": F.sum("_n").over(w), "pos": F.sum("_p").over(full), "neg": F.sum("_n").over(full)})
 
 
 def pr_curve(df: DataFrame, actual: str, score: str, part: list[str] | None = None) -> DataFrame:
@@ -75,12 +75,12 @@ def ranked_metrics(df: DataFrame, actual: str, score: str, part: list[str] | Non
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     below = F.col("neg") - F.col("fp")  # negatives with a lower score
     both = (F.max("pos") > 0) & (F.max("neg") > 0)
-    brier = F.sum(F.col("p") * F.pow(F.col(score) - 1, F.lit(2.0)) + F.col("n") * F.pow(F.col(score), F.lit(2.0))) / F.sum(F.col("p") + F.col("n"))
+    brier = F.sum(F.col("_p") * F.pow(F.col(score) - 1, F.lit(2.0)) + F.col("_n") * F.pow(F.col(score), F.lit(2.0))) / F.sum(F.col("_p") + F.col("_n"))
     return curve.groupBy(*part).agg(
-        F.sum(F.col("p") + F.col("n")).alias("rows"),
-        F.sum("p").alias("positives"),
-        F.when(both, F.sum(F.col("p") * (below + F.col("n") / 2)) / (F.max("pos") * F.max("neg"))).alias("auc"),
-        F.when(both, F.sum(F.try_divide("p", "pos") * precision)).alias("ap"),
+        F.sum(F.col("_p") + F.col("_n")).alias("rows"),
+        F.sum("_p").alias("positives"),
+        F.when(both, F.sum(F.col("_p") * (below + F.col("_n") / 2)) / (F.max("pos") * F.max("neg"))).alias("auc"),
+        F.when(both, F.sum(F.try_divide("_p", "pos") * precision)).alias("ap"),
         brier.alias("brier"),
     )
 
@@ -267,3 +267,30 @@ def conformal_quantile(scores: DataFrame, score: str, alpha: float, part: list[s
     upto, n = F.sum("c").over(full.orderBy(score)), F.sum("c").over(full)
     hit = counted.withColumns({"upto": upto, "n": n}).withColumn("k", F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n")))
     return hit.where((F.col("upto") >= F.col("k")) & (F.col("n") >= min_rows)).groupBy(*part).agg(F.min(score).alias("qhat"), F.max("n").alias("n"))
+
+
+def threshold_table(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """AP, AUC, Brier score and calibration error of several (label, score) column pairs, from one long form."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(a).alias("target"), F.col(a).cast("boolean").alias("y"), F.col(p).cast("double").alias("p")) for a, p in pairs])))
+    ranked = ranked_metrics(long, "y", "p", ["target"])
+    slot = F.least(F.floor(F.col("p") * 10), F.lit(9))
+    bins = long.groupBy("target", slot.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(F.col("y").cast("int")) - F.avg("p")).alias("gap"))
+    return ranked.join(bins.groupBy("target").agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece")), "target")
+
+
+def boundary_overconfidence(df: DataFrame, boundary: str, top: str, decided: str, limit: float = 0.8) -> DataFrame:
+    """Inside the boundary band: rows, share of confident decisions (top probability over the limit) that are not a warning."""
+    inside = F.col(boundary)
+    sure = inside & (F.col(top) >= limit) & (F.col(decided) != "warning")
+    return df.agg(F.count_if(inside).alias("rows"), safe(F.count_if(sure), F.count_if(inside)).alias("overconfident"))
+
+
+def decision_summary(df: DataFrame, decision: str, out: str, quality: str) -> DataFrame:
+    """Per decision: rows, share, out-of-band share and mean quality."""
+    rows = df.groupBy(decision).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(out).cast("int")).alias("out_rate"), F.avg(quality).alias("quality"))
+    return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def entropy_summary(df: DataFrame, entropy: str, correct: str) -> DataFrame:
+    """Mean entropy overall, of right and of wrong decisions."""
+    return df.agg(F.avg(entropy).alias("mean"), F.avg(F.when(F.col(correct), F.col(entropy))).alias("right"), F.avg(F.when(~F.col(correct), F.col(entropy))).alias("wrong"))

@@ -132,3 +132,54 @@ def inner_candidates(folds: DataFrame, default: Column, tolerance: float) -> Dat
     base = mean.where(default).select(F.col("macro_f1").alias("_f"), F.col("balanced").alias("_b"))
     marked = mean.crossJoin(F.broadcast(base)).withColumn("_ok", (F.col("macro_f1") >= F.col("_f") - tolerance) & (F.col("balanced") >= F.col("_b") - tolerance))
     return choose(marked, F.col("_ok"), [F.col("risk"), F.col("macro_f1").desc(), F.col("candidate")]).drop("_f", "_b", "_ok")
+
+
+def logistic_fusion(calibration: DataFrame, df: DataFrame, a: str, b: str, actual: str) -> DataFrame:
+    """Fused score by a logistic model of both scores and their absolute difference, fitted on the calibration rows."""
+    from tidegauge.operators.models import fit_binary
+
+    made = lambda d: d.withColumn("_gap", F.abs(F.col(a) - F.col(b)))
+    fit = fit_binary(made(calibration).withColumn("_y", F.col(actual).cast("int")).withColumnRenamed("_y", "_label"), [a, b, "_gap"], "_label", balanced=False)
+    return fit.transform(made(df)).drop("_gap").withColumnRenamed("score", "fused")
+
+
+def expanding_refits(df: DataFrame, features: Sequence[str], label: str, batch: str, first: int, last: int) -> DataFrame:
+    """Scores of each release batch by a model of all batches before it; a batch without a fit is skipped."""
+    from tidegauge.operators.models import Constant, fit_binary
+
+    out = None
+    for i in range(first, last + 1):
+        model = fit_binary(df.where(F.col(batch) < i), features, label)
+        if isinstance(model, Constant):
+            continue
+        part = model.transform(df.where(F.col(batch) == i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stage_counts(df: DataFrame, features: Sequence[str], counts: Sequence[int], min_rows: int) -> list[dict]:
+    """Silhouette (squared Euclidean) and smallest cluster per number of regimes; ``chosen`` has the best silhouette among those with
+    large enough clusters, the smaller number on ties."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.na.drop(subset=list(features))).select("_x").cache()
+    out = []
+    for k in counts:
+        placed = KMeans(featuresCol="_x", predictionCol="regime", k=k, seed=42).fit(rows).transform(rows)
+        smallest = placed.groupBy("regime").count().agg(F.min("count")).first()[0]
+        out.append({"k": k, "silhouette": ClusteringEvaluator(featuresCol="_x", predictionCol="regime").evaluate(placed), "smallest": smallest})
+    good = [r for r in out if r["smallest"] >= min_rows]
+    best = max(good, key=lambda r: (r["silhouette"], -r["k"])) if good else None
+    return [{**r, "chosen": r is best} for r in out]
+
+
+def pick_sample(df: DataFrame, t: str, at: int | None = None, bad: str | None = None) -> DataFrame:
+    """The sample at exactly ``at`` (an error without one), else the latest, or the latest where ``bad`` holds."""
+    if at is not None:
+        hit = df.where(F.col(t) == at).limit(1)
+        if hit.isEmpty():
+            raise ValueError(f"no sample at {at}")
+        return hit
+    return (df.where(F.col(bad)) if bad else df).orderBy(F.col(t).desc()).limit(1)

@@ -138,3 +138,22 @@ def joint_states(now: DataFrame, future: DataFrame, key: str, now_threshold: flo
     """Alarm if the current score reaches its threshold, else warning if the future score reaches its own, else normal."""
     state = F.when(F.col("now_score") >= now_threshold, "alarm").when(F.col("future_score") >= future_threshold, "warning").otherwise("normal")
     return now.join(future, key).withColumn("state", state)
+
+
+def segment_hits(df: DataFrame, by: list[str], actual: str, predicted: str, gap: int) -> DataFrame:
+    """Segments by the actual label with the largest prediction in each: recall over true segments, false-alarm share over the others,
+    and the pointwise confusion, one row."""
+    per = segments(df, by, actual, gap).groupBy(*by, "segment").agg(
+        F.first(actual).alias("a"),
+        F.max(F.col(predicted).cast("int")).alias("hit"),
+        F.count_if(F.col(actual) & F.col(predicted)).alias("tp"),
+        F.count_if(~F.col(actual) & F.col(predicted)).alias("fp"),
+        F.count_if(F.col(actual) & ~F.col(predicted)).alias("fn"),
+    )
+    return per.agg(
+        F.avg(F.when(F.col("a"), F.col("hit"))).alias("segment_recall"),
+        F.avg(F.when(~F.col("a"), F.col("hit"))).alias("segment_false_share"),
+        F.sum("tp").alias("tp"),
+        F.sum("fp").alias("fp"),
+        F.sum("fn").alias("fn"),
+    )

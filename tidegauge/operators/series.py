@@ -246,3 +246,64 @@ def column_policy(tag: str, note: str = "") -> tuple[str, str, int]:
 
 def batched(columns: list[str], size: int) -> list[list[str]]:
     return [columns[i : i + size] for i in range(0, len(columns), size)]
+
+
+def preprocess(df: DataFrame, by: list[str], half: int = 3, sigmas: float = 3.0, smooth: str | None = "savgol", window: int = 5) -> DataFrame:
+    """Hold-last fill, centred Hampel filter, then Savitzky-Golay, a trailing mean, or nothing: ``value`` cleaned."""
+    clean = centered_hampel(hold_fill(df, by), by, half, sigmas).withColumn("value", F.col("clean")).drop("clean")
+    if smooth == "savgol":
+        clean = savgol(clean, by).withColumn("value", F.col("smooth")).drop("smooth")
+    elif smooth == "mean":
+        clean = trailing_mean(clean, by, window).withColumn("value", F.col("smooth")).drop("smooth")
+    return clean
+
+
+def fill_pchip(df: DataFrame, by: list[str], max_points: int) -> DataFrame:
+    """Null runs of at most ``max_points`` rows filled by shape-preserving cubics through the valid points, inside only.
+
+    The cubic of a gap needs two valid points on either side; each key's rows are streamed once in a grouped task."""
+    import numpy as np
+    import pandas as pd
+
+    def slopes(x, y):
+        h, d = np.diff(x), np.diff(y) / np.diff(x)
+        m = np.zeros(len(x))
+        if len(x) == 2:
+            return np.array([d[0], d[0]])
+        w1, w2 = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
+        same = (np.sign(d[1:]) == np.sign(d[:-1])) & (d[1:] != 0) & (d[:-1] != 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            m[1:-1] = np.where(same, (w1 + w2) / (w1 / d[:-1] + w2 / d[1:]), 0.0)
+        for i, (a, b, ha, hb) in ((0, (d[0], d[1], h[0], h[1])), (-1, (d[-1], d[-2], h[-1], h[-2]))):
+            e = ((2 * ha + hb) * a - ha * b) / (ha + hb)
+            m[i] = 0.0 if np.sign(e) != np.sign(a) else (3 * a if np.sign(a) != np.sign(b) and abs(e) > 3 * abs(a) else e)
+        return m
+
+    def fill(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["t", "event_id"]).reset_index(drop=True)
+        v = g["value"].to_numpy(float)
+        t = g["t"].to_numpy(float) / 1e6
+        ok = np.flatnonzero(~np.isnan(v))
+        ok = ok[np.concatenate([[True], np.diff(t[ok]) > 0])] if len(ok) else ok
+        out, filled = v.copy(), np.zeros(len(v), bool)
+        if len(ok) >= 2:
+            x, y = t[ok], v[ok]
+            m = slopes(x, y)
+            for k in np.flatnonzero(np.diff(ok) > 1):
+                a, b = ok[k], ok[k + 1]
+                if b - a - 1 <= max_points:
+                    h = x[k + 1] - x[k]
+                    s = (t[a + 1 : b] - x[k]) / h
+                    out[a + 1 : b] = (1 + 2 * s) * (1 - s) ** 2 * y[k] + s * (1 - s) ** 2 * h * m[k] + s**2 * (3 - 2 * s) * y[k + 1] + s**2 * (s - 1) * h * m[k + 1]
+                    filled[a + 1 : b] = np.isnan(v[a + 1 : b])
+        return g.assign(value=out, filled=filled)
+
+    rows = df.select(*by, "event_id", "t", "value")
+    from pyspark.sql.types import BooleanType
+
+    return rows.groupBy(*by).applyInPandas(fill, StructType([*rows.schema.fields, StructField("filled", BooleanType())]))
+
+
+def period_key(ts: str, freq: str) -> Column:
+    """Calendar period of a time: ``month`` as yyyy-MM, otherwise the truncated date."""
+    return F.date_format(ts, "yyyy-MM") if freq == "month" else F.date_format(F.date_trunc(freq, F.col(ts)), "yyyy-MM-dd")

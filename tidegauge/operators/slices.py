@@ -258,3 +258,18 @@ def binned_information(features: DataFrame, feature: str, value: str, label: str
     px = F.sum("count").over(Window.partitionBy(feature, "bin")) / F.sum("count").over(part)
     py = F.sum("count").over(Window.partitionBy(feature, label)) / F.sum("count").over(part)
     return counts.select(feature, (p * F.log(p / (px * py))).alias("mi")).groupBy(feature).agg(F.sum("mi").alias("mi"))
+
+
+def segment_stats(joined: DataFrame, keys: list[str], edges: list[int]) -> DataFrame:
+    """Mean and count per age segment of a slice: segment k holds rows with an age (micros) in [edges[k], edges[k + 1])."""
+    age = F.col("sample_t") - F.col("t")
+    aggs = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        v = F.when((age >= a) & (age < b), F.col("value"))
+        aggs += [F.avg(v).alias(f"seg{k}__mean"), F.count(v).alias(f"seg{k}__count")]
+    return joined.groupBy(*keys).agg(*aggs)
+
+
+def drift_features(wide: DataFrame, short: str, long: str) -> DataFrame:
+    """Short-window minus long-window mean, and the coefficient of variation where the mean is not zero."""
+    return wide.withColumns({"drift": F.col(f"{short}__mean") - F.col(f"{long}__mean"), "cv": F.try_divide(F.col(f"{long}__std"), F.abs(F.col(f"{long}__mean")))})

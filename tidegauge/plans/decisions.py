@@ -376,3 +376,45 @@ def feature_screen(spark, d):
 def acceptance_checks(spark, d):
     summary = read(spark, d, "lineitem").agg(F.avg("l_quantity").alias("mae"), F.max("l_discount").alias("worst"))
     return metrics.acceptance(summary, {"mae": ("<=", 30.0), "worst": (">=", 0.5)})
+
+
+@query(
+    """SELECT event_id, greatest(0, least(1, 1 - abs(value - 50) / 20)) AS point, greatest(0, least(1, 1 - abs(value - 3 - 50) / 20)) AS point_low, greatest(0, least(1, 1 - abs(value + 3 - 50) / 20)) AS point_high,
+ greatest(0, least(value + 3, 70) - greatest(value - 3, 30)) / 6 AS pass_score, least(abs(value - 30), abs(value - 70)) AS distance, least(abs(value - 30), abs(value - 70)) <= 2 AS is_boundary, value < 30 OR value > 70 AS is_out,
+ greatest(0.1, least(5, exp(-pow((user_id % 5) / 20.0, 2)) * CASE WHEN least(abs(value - 30), abs(value - 70)) <= 2 THEN 2.0 ELSE 1.0 END * CASE WHEN value < 30 OR value > 70 THEN 1.5 ELSE 1.0 END)) AS weight FROM events""",
+    "point point_low point_high pass_score distance weight",
+)
+def labels_noise_aware(spark, d):
+    made = labels.noise_aware(F.col("value"), (F.col("user_id") % 5).cast("double"), 50.0, 20.0, 3.0, 2.0, 2.0, 1.5)
+    return read(spark, d, "events").select("event_id", *[c.alias(n) for n, c in made.items() if n != "uncertain"])
+
+
+@query(
+    f"""{SC}, l AS (SELECT 'y' AS target, y, score AS p FROM z UNION ALL SELECT 'even', event_id % 2 = 0, ((event_id * 37) % 101) / 100.0::double FROM z), k AS (SELECT *, (rank() OVER (PARTITION BY target ORDER BY p) + (count(*) OVER (PARTITION BY target, p) - 1) / 2.0) AS r FROM l),
+a AS (SELECT target, (sum(r) FILTER (WHERE y) - count_if(y) * (count_if(y) + 1) / 2.0) / (count_if(y) * count_if(NOT y)) AS auc, avg(pow(p - y::int, 2)) AS brier FROM k GROUP BY target),
+b AS (SELECT target, least(floor(p * 10), 9) AS b, count(*) AS n, abs(avg(y::int) - avg(p)) AS gap FROM l GROUP BY ALL) SELECT target, any_value(auc) AS auc, any_value(brier) AS brier, sum(n * gap) / sum(n) AS ece FROM a JOIN b USING (target) GROUP BY target""",
+    "auc brier ece",
+)
+def threshold_metric_table(spark, d):
+    rows = scored(spark, d).select("y", "score", (F.col("event_id") % 2 == 0).alias("even"), (F.col("event_id") * 37 % 101 / F.lit(100.0)).alias("q"))
+    return metrics.threshold_table(rows, [("y", "score"), ("even", "q")]).select("target", "auc", "brier", "ece")
+
+
+@query(
+    f"""WITH p AS ({P_SQL}), r AS (SELECT value, c3, CASE WHEN c0 >= 0.3 THEN 'low_risk' WHEN c3 >= 0.8 THEN 'warning' ELSE 'acceptable' END AS decision FROM p)
+SELECT decision, count(*) AS n, avg((value > 60)::int) AS out_rate, avg(c3) AS quality, count(*) / sum(count(*)) OVER () AS share FROM r GROUP BY decision""",
+    "out_rate quality share",
+)
+def decision_summary(spark, d):
+    rule = decide.cascade([(F.col("c0") >= 0.3, "low_risk"), (F.col("c3") >= 0.8, "warning")], "acceptable")
+    return metrics.decision_summary(scores(spark, d).select(rule.alias("decision"), (F.col("value") > 60).alias("out"), "c3"), "decision", "out", "c3")
+
+
+@query(
+    f"""WITH p AS ({P_SQL}), r AS (SELECT least(abs(value - 20), abs(value - 60)) <= 3 AS b, c3, CASE WHEN c3 >= 0.95 THEN 'warning' ELSE 'acceptable' END AS decision FROM p)
+SELECT count_if(b)::bigint AS rows, count_if(b AND c3 >= 0.8 AND decision <> 'warning') / count_if(b) AS overconfident FROM r""",
+    "overconfident",
+)
+def boundary_overconfidence(spark, d):
+    rows = scores(spark, d).select(labels.boundary_flag(F.col("value"), (20.0, 60.0), 3.0).alias("b"), "c3", F.when(F.col("c3") >= 0.95, "warning").otherwise("acceptable").alias("decision"))
+    return metrics.boundary_overconfidence(rows, "b", "c3", "decision")

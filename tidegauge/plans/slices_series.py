@@ -451,3 +451,31 @@ def joint_states(spark, d):
     a = stream(spark, d).groupBy("unit").agg(F.avg("value").alias("now_score"), (F.max("value") > 200).alias("actual"))
     b = samples(spark, d).groupBy("unit").agg(F.avg("value").alias("future_score"))
     return runs.joint_states(a, b, "unit", 55.0, 50.0).groupBy("actual", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""{EV} SELECT sample_id, avg(r.value) FILTER (WHERE s.t - r.t < {H // 2}) AS seg0__mean, count(r.value) FILTER (WHERE s.t - r.t < {H // 2}) AS seg0__count, avg(r.value) FILTER (WHERE s.t - r.t >= {H // 2} AND s.t - r.t < {2 * H}) AS seg1__mean,
+ count(r.value) FILTER (WHERE s.t - r.t >= {H // 2} AND s.t - r.t < {2 * H}) AS seg1__count FROM s JOIN r ON r.t BETWEEN s.t - {2 * H} AND s.t GROUP BY sample_id""",
+    "seg0__mean seg1__mean",
+)
+def slice_segments(spark, d):
+    return slices.segment_stats(_joined(spark, d), ["sample_id"], [0, HOUR // 2, 2 * HOUR])
+
+
+@query(
+    f"""{SEG}, p AS (SELECT sensor, segment, any_value(bad) AS a, max((value > 90)::int) AS hit, count_if(bad AND value > 90) AS tp, count_if(NOT bad AND value > 90) AS fp, count_if(bad AND value <= 90) AS fn FROM g GROUP BY ALL)
+SELECT avg(hit) FILTER (WHERE a) AS segment_recall, avg(hit) FILTER (WHERE NOT a) AS segment_false_share, sum(tp)::bigint AS tp, sum(fp)::bigint AS fp, sum(fn)::bigint AS fn FROM p""",
+    "segment_recall segment_false_share",
+)
+def segment_hits(spark, d):
+    return runs.segment_hits(flagged(spark, d).withColumn("called", F.col("value") > 90), ["sensor"], "bad", "called", 6 * HOUR)
+
+
+@query()
+def preprocess_chain(spark, d):
+    return series.preprocess(holes(spark, d), ["sensor"]).select("event_id", "value")
+
+
+@query()
+def fill_pchip(spark, d):
+    return series.fill_pchip(holes(spark, d), ["sensor"], 2).select("event_id", "value", "filled")
