@@ -10,12 +10,13 @@ from tidegauge.llm._shared import checkpointed
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # minima are stored before the join, so that a hot centre's neighbours can be split over tasks
+    low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    low = links.groupBy("u").agg(F.min("v").alias("m"))
+    low = checkpointed(links.groupBy("u").agg(F.min("v").alias("m")))
     moved = links.join(low, "u")
     return (
         moved.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
@@ -37,7 +38,7 @@ def roots(links: DataFrame) -> DataFrame:
     links = checkpointed(links)
     seen = _signature(links)
     while seen[0]:
-        links = checkpointed(_small_star(_large_star(links)))
+        links = checkpointed(_small_star(checkpointed(_large_star(links))))
         now = _signature(links)
         if now == seen:
             break

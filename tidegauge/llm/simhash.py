@@ -215,10 +215,13 @@ def near_duplicates(docs: DataFrame, blocks: int = 5, cell_rows: int = CELL_ROWS
     prints = written(fingerprints(docs), "fingerprints")
     distinct = checkpointed(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")))
     link = roots(near_links(distinct.select("code"), blocks, cell_rows))
-    member = distinct.join(link.withColumnsRenamed({"u": "code", "v": "root"}), "code", "left").select(
-        "code", "first_id", F.coalesce("root", "code").alias("root")
+    member = checkpointed(
+        distinct.join(link.withColumnsRenamed({"u": "code", "v": "root"}), "code", "left").select(
+            "code", "first_id", F.coalesce("root", "code").alias("root")
+        )
     )
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # stored before they are joined: the members of a hot root can then be split over tasks
+    least = checkpointed(member.groupBy("root").agg(F.min("first_id").alias("component_id")))
     labelled = member.join(least, "root").select("code", "component_id")
     return prints.join(labelled, "code").select("doc_id", "code", "component_id")
 
