@@ -143,3 +143,12 @@ def test_chat_tree_and_escapes(spark):
     assert len(path) == 1 and path[0]["path"] == list(range(1, 301)) and path[0]["score"] == 300.0
     empty = chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))
     assert empty.collect() == []
+
+
+def test_scratch_is_cleared(spark):
+    from tidegauge.llm import _shared
+
+    before = _shared.clear_scratch(spark)
+    stored = _shared.written(spark.range(3), "probe")
+    assert before >= 0 and stored.count() == 3 and _shared.clear_scratch(spark) == 1
+    assert _shared.clear_scratch(spark) == 0

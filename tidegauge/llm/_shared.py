@@ -23,10 +23,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_used: list[str] = []
+
+
+def scratch_path(spark: SparkSession, kind: str, name: str) -> str:
+    """A new path in the scratch folder; ``clear_scratch`` deletes what was handed out."""
+    _used.append(f"{scratch_dir(spark)}/{kind}/{name}-{uuid.uuid4().hex}")
+    return _used[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables and archives that this driver wrote to the scratch folder; results that still read them fail
+    afterwards. Returns their number."""
+    n = len(_used)
+    while _used:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_used.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the scratch folder and read back: later readers neither
     compute it again nor depend on the executors that made it."""
-    path = f"{scratch_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "tables", name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm._shared import scratch_dir, written
+from tidegauge.llm._shared import scratch_path, written
 from tidegauge.llm.url_rules import host_key, url_host
 
 REVISIT_BYTES = 1000
@@ -196,6 +195,6 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``pages`` as archives (to ``path``, default a folder of their own in the scratch folder), read them
     back and return the merged index (columns ``INDEX``). An empty table gives an empty index."""
     spark = pages.sparkSession
-    path = path or f"{scratch_dir(spark)}/warc/{uuid.uuid4().hex}"
+    path = path or scratch_path(spark, "warc", "archives")
     write_archives(pages, path)
     return merged_index(spark, path)
