@@ -22,7 +22,7 @@ KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "access_key": _EDGE + r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "secret": _EDGE + r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[\p{L}\p{N}_+/.-]{8,}[\"']?",
-    "ip": r"(?<![\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{N}]|\.\d)",
+    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{N}]|\.\d)",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3} ?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|" + _EDGE + r"\(\d{3}\) \d{3}-\d{4}(?!\d)",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
@@ -49,6 +49,15 @@ def entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
+def is_entity(match: Column) -> Column:
+    """Whether a match of the pattern is an entity: sixteen digits are a card number only if they start like one and
+    their Luhn sum is a multiple of ten; any other number of that length stays as it is."""
+    digits = F.transform(F.split(F.regexp_replace(match, r"[ -]", ""), ""), lambda c: c.try_cast("int"))
+    twice = F.transform(digits, lambda d, i: F.when(i % 2 == 1, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d)))
+    luhn = F.aggregate(twice, F.lit(0), lambda a, d: a + d) % 10 == 0
+    return F.when(F.regexp_like(match, F.lit(r"^\d{4}(?:[ -]?\d{4}){3}$")), F.regexp_like(match, F.lit("^[2-6]")) & luhn).otherwise(True)
+
+
 def kind_of(entity: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
@@ -184,15 +193,15 @@ def replace_entities(docs: DataFrame, key: str = "tidegauge") -> DataFrame:
     touched = written(
         rows.where(F.regexp_like("text", F.lit(ANY))).select(F.monotonically_increasing_id().alias("id"), "row", "text", entities(F.col("text")).alias("found")), "touched"
     )
-    places = touched.select("id", F.posexplode("found").alias("at", "entity"))
-    mapped = surrogate_map(touched.select(F.explode("found").alias("entity")), key)
-    listed = places.join(mapped, "entity").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
+    places = touched.select("id", F.posexplode("found").alias("at", "entity")).where(is_entity(F.col("entity")))
+    mapped = surrogate_map(places.select("entity"), key)
+    listed = places.join(mapped, "entity").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
     pieces = F.split("text", ANY)
-    rebuilt = F.array_join(F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.get("new", i)["surrogate"], F.lit("")))), "")
+    rebuilt = F.array_join(F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.try_element_at("new", i), F.get("found", i), F.lit("")))), "")
     changed = (
-        touched.join(listed, "id")
-        .select("row", pieces.alias("pieces"), "new")
-        .select("row", rebuilt.alias("text"), F.size("new").cast("long").alias("n"))
+        touched.join(listed, "id", "left")
+        .select("row", pieces.alias("pieces"), "found", "new")
+        .select("row", rebuilt.alias("text"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n"))
     )
     out = clean.union(changed)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns], F.col("n").alias("_replaced"))
