@@ -22,7 +22,7 @@ KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "access_key": _EDGE + r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "secret": _EDGE + r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[\p{L}\p{N}_+/.-]{8,}[\"']?",
-    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{N}]|\.\d)",
+    "ip": r"(?<![\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{N}]|\.\d)",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3} ?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|" + _EDGE + r"\(\d{3}\) \d{3}-\d{4}(?!\d)",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
@@ -51,11 +51,14 @@ def entities(text: Column) -> Column:
 
 def is_entity(match: Column) -> Column:
     """Whether a match of the pattern is an entity: sixteen digits are a card number only if they start like one and
-    their Luhn sum is a multiple of ten; any other number of that length stays as it is."""
+    their Luhn sum is a multiple of ten, and four dotted numbers are an address only up to 255 each; anything else of
+    that form stays as it is."""
     digits = F.transform(F.split(F.regexp_replace(match, r"[ -]", ""), ""), lambda c: c.try_cast("int"))
     twice = F.transform(digits, lambda d, i: F.when(i % 2 == 1, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d)))
     luhn = F.aggregate(twice, F.lit(0), lambda a, d: a + d) % 10 == 0
-    return F.when(F.regexp_like(match, F.lit(r"^\d{4}(?:[ -]?\d{4}){3}$")), F.regexp_like(match, F.lit("^[2-6]")) & luhn).otherwise(True)
+    return F.when(F.regexp_like(match, F.lit(r"^\d{4}(?:[ -]?\d{4}){3}$")), F.regexp_like(match, F.lit("^[2-6]")) & luhn).when(
+        F.regexp_like(match, F.lit(r"^\d{1,3}(?:\.\d{1,3}){3}$")), F.forall(F.split(match, r"\."), lambda o: o.cast("int") <= 255)
+    ).otherwise(True)
 
 
 def kind_of(entity: Column) -> Column:
