@@ -227,7 +227,8 @@ def test_stream_joins_and_library(spark, tmp_path):
 
     base = f"{tmp_path}"
     rows = [("k", 1, datetime(2024, 1, 1), 1.0), ("k", 2, datetime(2024, 1, 1, 1), 0.0), ("k", 3, datetime(2024, 1, 1, 3), 1.0)]
-    spark.createDataFrame(rows, "key string, outcome_id long, outcome_time timestamp, y double").write.parquet(f"{base}/o")
+    for row in rows:  # one file a row, in order of time: the source takes files by age, and files of one job have no fixed order
+        spark.createDataFrame([row], "key string, outcome_id long, outcome_time timestamp, y double").coalesce(1).write.mode("append").parquet(f"{base}/o")
     spark.createDataFrame([("k", 9, datetime(2024, 1, 1, 3, 30))], "key string, query_id long, query_time timestamp").write.parquet(f"{base}/q")
     o = alarms.file_stream(spark, f"{base}/o", "key string, outcome_id long, outcome_time timestamp, y double")
     q = alarms.file_stream(spark, f"{base}/q", "key string, query_id long, query_time timestamp")
