@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidegauge.llm import bpe, lzprint, packing, pii, quality, queries, simhash, warc
-from tidegauge.llm.license_scan import words_of
+from tidegauge.llm.license_scan import license_scan, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,6 +167,15 @@ def test_license_words():
     assert words_of("MIT-License é\x80K") == ["mit", "license", "é\x80k"]
 
 
+def test_license_words_everywhere(spark):
+    """Long texts of little but anchor words: work must not grow with the square of the hits."""
+    n = 30_000
+    rows = [(1, "MIT license " * n), (2, "license " * n), (3, "licensed under the \u212aernel mit licen\u017fe"), (4, "Apache License, " * n)]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i]["n_base"], got[i]["first_word"], got[i]["last_word"]) for i in got] == [(n, 0, 2 * n - 2), (0, None, None), (0, None, None), (n, 0, 2 * n - 2)]
+    assert got[1]["base_labels"] == "mit" and got[4]["base_labels"] == "apache" and got[3]["labels"] == ""
+
+
 def test_pipeline(spark, texts):
     """Stages against plain versions on the rows that the stage before has left."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

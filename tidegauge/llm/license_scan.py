@@ -4,8 +4,9 @@ The index is built from short licence notices (``TEMPLATES``): every notice word
 postings (notice, position) and an IDF over the notices. A file looks up its words
 with the highest IDF, the anchors of the notices; each hit at file position p of a
 word that stands at q in a notice proposes that the notice starts at p - q. Proposals
-of one notice that meet in the same start intersect the postings by relative position;
-a start with enough anchors is verified by the notice's mandatory key phrases, each of
+of one notice that meet in the same start intersect the postings by relative position:
+each is packed into one long, and equal ones are neighbours once sorted, so a text full
+of licence words costs n log n. A start with enough anchors is verified by the notice's mandatory key phrases, each of
 which must stand at its own offset. The base phrases are notices of their own whose key
 phrase is the whole phrase, so every place of a phrase is proposed by its anchor.
 
@@ -39,6 +40,7 @@ TEMPLATES = [
 ]
 DELIMITERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ANCHORS = 3
+_NOTICE_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -102,24 +104,40 @@ def license_scan(docs: DataFrame, index: list[Notice] | None = None) -> DataFram
             F.greatest(F.size("ws") - F.col("lead") - F.when(F.element_at("ws", -1) == "", 1).otherwise(0), F.lit(0)).alias("n"),
         )
     )
-    # positions of anchor words; lower() may also fold letters beyond A-Z, verification is exact
+    # positions of anchor words; lower() is quicker but folds letters beyond A-Z too, so what it finds is looked at again
+    anchors = sorted(postings)
     hits = F.filter(
-        F.transform("ws", lambda w, i: F.when(F.lower(w).isin(sorted(postings)), F.struct((i - F.col("lead")).alias("p"), F.lower(w).alias("w")))),
+        F.transform(
+            "ws",
+            lambda w, i: F.when(F.lower(w).isin(anchors) & ascii_lower(w).isin(anchors), F.struct((i - F.col("lead")).alias("p"), F.lower(w).alias("w"))),
+        ),
         lambda h: h.isNotNull(),
     )
     posting_map = F.create_map(
         *[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in ps]))]
     )
-    starts = F.flatten(
-        F.transform("hits", lambda h: F.transform(posting_map[h["w"]], lambda x: F.struct(x["t"].alias("t"), (h["p"] - x["q"]).alias("s"))))
+    # a proposal, notice t at start s, is the long s * 2^16 + t
+    starts = F.sort_array(
+        F.flatten(
+            F.transform(
+                "hits",
+                lambda h: F.transform(posting_map[h["w"]], lambda x: F.shiftleft((h["p"] - x["q"]).cast("long"), _NOTICE_BITS).bitwiseOR(x["t"].cast("long"))),
+            )
+        )
     )
     found = staged.select("doc_id", "ws", "lead", "n", hits.alias("hits")).select("doc_id", "ws", "lead", "n", starts.alias("all"))
+    notice = lambda c: c.bitwiseAND(F.lit((1 << _NOTICE_BITS) - 1)).cast("int")
+    needs = F.array(*[F.lit(n.need) for n in index])
+    # the first of each run of equal proposals, where the run has as many as the notice needs
+    agreed = F.filter(
+        "all", lambda c, i: ~F.get("all", i - 1).eqNullSafe(c) & F.get("all", i + F.get(needs, notice(c)) - 1).eqNullSafe(c)
+    )
+    found = found.select("doc_id", "ws", "lead", "n", agreed.alias("agreed"))
     meta = F.array(
         *[
             F.struct(
                 F.lit(n.label).alias("label"),
                 F.lit(n.base).alias("base"),
-                F.lit(n.need).alias("need"),
                 F.array(*map(F.lit, n.words)).alias("words"),
                 F.array(*[F.struct(F.lit(a).alias("o"), F.lit(k).alias("k")) for a, k in n.phrases]).alias("phrases"),
             )
@@ -133,18 +151,17 @@ def license_scan(docs: DataFrame, index: list[Notice] | None = None) -> DataFram
         return F.when((at >= 0) & (at < F.col("n")), ascii_lower(F.get("ws", at + F.col("lead"))))
 
     def verified(c: Column) -> Column:
-        m = F.get(meta, c["t"])
-        aligned = F.transform(m["words"], lambda w, i: F.coalesce(word(c["s"], i) == w, F.lit(False)))
-        votes = F.size(F.filter(F.col("all"), lambda o: (o["t"] == c["t"]) & (o["s"] == c["s"])))
+        m, start = F.get(meta, notice(c)), F.shiftright(c, _NOTICE_BITS).cast("int")
+        aligned = F.transform(m["words"], lambda w, i: F.coalesce(word(start, i) == w, F.lit(False)))
         phrases = F.forall(m["phrases"], lambda p: F.forall(F.slice(aligned, p["o"] + 1, p["k"]), lambda ok: ok))
         share = F.size(F.filter(aligned, lambda ok: ok)) / F.size(aligned)
         return F.when(
-            (votes >= m["need"]) & phrases,
-            F.struct(m["label"].alias("label"), c["s"].alias("start"), F.size(m["words"]).alias("n_words"), m["base"].alias("base"), share.alias("share")),
+            phrases,
+            F.struct(m["label"].alias("label"), start.alias("start"), F.size(m["words"]).alias("n_words"), m["base"].alias("base"), share.alias("share")),
         )
 
-    accepted = F.filter(F.transform(F.array_distinct("all"), verified), lambda a: a.isNotNull())
-    found = found.select("doc_id", "n", F.when(F.size("all") > 0, accepted).alias("hit")).select(
+    accepted = F.filter(F.transform("agreed", verified), lambda a: a.isNotNull())
+    found = found.select("doc_id", "n", F.when(F.size("agreed") > 0, accepted).alias("hit")).select(
         "doc_id", "n", F.coalesce("hit", F.expr("filter(array(), x -> false)").cast("array<struct<label:string,start:int,n_words:int,base:boolean,share:double>>")).alias("hit")
     )
     base = F.filter("hit", lambda a: a["base"])
