@@ -99,6 +99,22 @@ def test_surrogate_collisions_are_drawn_again(spark):
     assert len({r["surrogate"] for r in got}) == len(got) and not {r["surrogate"] for r in got} & {r["entity"] for r in got}
 
 
+def test_surrogates_outgrow_a_full_format(spark):
+    """Every address of a form is taken, so none of that form is left to stand in for another."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"{a}@{b}.com",) for a in letters for b in letters]
+    got = pii.surrogate_map(spark.createDataFrame(rows, "entity string"), "k").collect()
+    made = {r["surrogate"] for r in got}
+    assert len(got) == len(made) == len(rows) and not made & {r[0] for r in rows}
+    assert all(r["surrogate"].endswith(".com") and r["surrogate"].count("@") == 1 for r in got)
+
+
+def test_very_long_entities(spark):
+    texts = [(1, "x a@b" + ".c" * 40_000 + " y"), (2, "a" * 200_000 + "@"), (3, "1." * 100_000), (4, "token=" + "f" * 100_000)]
+    out = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [out[i]["_replaced"] for i in (1, 2, 3, 4)] == [1, 0, 0, 1]
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.ORG/es/x?y"), (3, "HTTP://WWW.Example.ORG/es/x?y"), (4, "x://org"), (5, "x://notexample.org/es/"), (6, "x://com/de/#"), (None, "x://a..com/fr/")]
     got = url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()

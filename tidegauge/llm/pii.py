@@ -2,7 +2,8 @@
 
 One pattern finds e-mail addresses, access keys, passwords and tokens, IPv4 addresses, phone numbers, card and
 social security numbers, and names behind a form of address. The distinct entities of the corpus get a surrogate of
-their own type and format, drawn from a keyed hash: letters of a script stay letters of that script, digits stay
+their own type and format, drawn from a keyed hash (later draws of mail addresses, secrets and names
+are longer, of addresses wider, as a format may have fewer values than the corpus has entities): letters of a script stay letters of that script, digits stay
 digits, a name keeps the gender of its form of address, a card number keeps a valid check digit. Surrogates that
 meet each other or a real entity are drawn again until none does, so different entities stay different and one
 entity reads the same everywhere. The texts are then cut at the entities and put together again; documents without
@@ -19,7 +20,7 @@ from tidegauge.llm._shared import checkpointed, written
 _EDGE = r"(?<![\p{L}\p{N}])"
 #: Order matters: the first kind that fits a match names it.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "access_key": _EDGE + r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "secret": _EDGE + r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[\p{L}\p{N}_+/.-]{8,}[\"']?",
     "ip": r"(?<![\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{N}]|\.\d)",
@@ -41,6 +42,8 @@ SYLLABLES = {
     "latin": "ba be bi bo da de di do ga ge ka ke la le li lo ma me mi mo na ne ni no ra re ri ro sa se ta te".split(),
     "cyrillic": "ба бе би бо да де ди до га ге ка ке ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се та те".split(),
 }
+#: Draws within the format of the entity itself, before later ones grow.
+PLAIN_DRAWS = 4
 #: First and last code point of the letters that stand for a class, both ends included.
 ALPHABETS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "digit": "0123456789", "hex": "0123456789abcdef"}
 
@@ -110,21 +113,21 @@ def _card(value: Column, digest: Column) -> Column:
     )
 
 
-def _name(value: Column, digest: Column) -> Column:
+def _name(value: Column, digest: Column, attempt: Column) -> Column:
     title = F.substring_index(value, " ", 1)
     gender = F.when(F.regexp_like(value, F.lit(FEMALE)), "f").otherwise("m")
     script = F.when(F.regexp_like(value, F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin")
     given = F.lit(None).cast("string")
     for (g, s), names in GIVEN.items():
         given = F.when((gender == g) & (script == s), F.get(F.array(*map(F.lit, names)), _draw(digest, F.lit(0), len(names)))).otherwise(given)
+    syllables = {s: F.array(*map(F.lit, SYLLABLES[s])) for s in SYLLABLES}
     family = F.initcap(
-        F.concat(
-            *[
-                F.when(script == "cyrillic", F.get(F.array(*map(F.lit, SYLLABLES["cyrillic"])), _draw(digest, F.lit(k), 32))).otherwise(
-                    F.get(F.array(*map(F.lit, SYLLABLES["latin"])), _draw(digest, F.lit(k), 32))
-                )
-                for k in range(1, 5)
-            ]
+        F.array_join(
+            F.transform(
+                F.sequence(F.lit(1), 4 + _extra(attempt)),
+                lambda k: F.get(F.when(script == "cyrillic", syllables["cyrillic"]).otherwise(syllables["latin"]), _draw(digest, k, 32)),
+            ),
+            "",
         )
     )
     two = F.size(F.split(value, " ")) > 2
@@ -135,8 +138,15 @@ def keyed_digest(kind: Column, value: Column, key: str, attempt: Column) -> Colu
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 512)
 
 
-def surrogate(kind: Column, value: Column, digest: Column) -> Column:
-    """The surrogate of an entity, a pure function of its kind, itself and the keyed digest of both (and the attempt)."""
+def _extra(attempt: Column) -> Column:
+    """Letters or syllables that a draw adds to the format: none in the first ``PLAIN_DRAWS``, then one more each time."""
+    return F.greatest(attempt - PLAIN_DRAWS + 1, F.lit(0))
+
+
+def surrogate(kind: Column, value: Column, digest: Column, attempt: Column) -> Column:
+    """The surrogate of an entity, a pure function of its kind, itself, the attempt and the keyed digest of the three."""
+    pad = F.substr(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(65), _extra(attempt))
+    octet = F.when(attempt < PLAIN_DRAWS, 10).when(attempt < 3 * PLAIN_DRAWS, 240 + _draw(digest, F.lit(3), 16)).otherwise(_draw(digest, F.lit(3), 254) + 1)
     lead = F.regexp_extract(value, r"^(.*?[=:]\s?[\"']?)", 1)
     secret = F.substr(value, F.length(lead) + 1)
     domain_end = F.concat(F.lit("."), F.substring_index(value, ".", -1))
@@ -144,28 +154,31 @@ def surrogate(kind: Column, value: Column, digest: Column) -> Column:
     return (
         F.when(
             kind == "email",
-            F.concat(_same_format(F.substr(value, F.lit(1), F.length(value) - F.length(domain_end)), digest), domain_end),
+            F.concat(pad, _same_format(F.substr(value, F.lit(1), F.length(value) - F.length(domain_end)), digest), domain_end),
         )
         .when(kind == "access_key", F.concat(F.substring(value, 1, 4), _same_format(F.substr(value, F.lit(5)), digest)))
-        .when(kind == "secret", F.concat(lead, _same_format(secret, digest, F.regexp_like(secret, F.lit(r"^[0-9a-f]+[\"']?$")))))
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), *[(_draw(digest, F.lit(k), 254) + 1).cast("string") for k in range(3)]))
+        .when(kind == "secret", F.concat(lead, pad, _same_format(secret, digest, F.regexp_like(secret, F.lit(r"^[0-9a-f]+[\"']?$")))))
+        .when(kind == "ip", F.concat_ws(".", octet.cast("string"), *[(_draw(digest, F.lit(k), 254) + 1).cast("string") for k in range(3)]))
         .when(kind == "phone", F.concat(country, _same_format(F.substr(value, F.length(country) + 1), digest)))
         .when(kind == "card", _card(value, digest))
-        .when(kind == "name", _name(value, digest))
+        .when(kind == "name", _name(value, digest, attempt))
         .otherwise(_same_format(value, digest))
     )
 
 
 def surrogate_map(found: DataFrame, key: str) -> DataFrame:
     """``entity, surrogate`` for the distinct ``found(entity)``: no two entities share a surrogate, and no surrogate
-    is an entity. Of those that meet, the smallest entity keeps its draw; the others draw again."""
+    is an entity. Of those that meet, the smallest entity keeps its draw; the others draw again.
+
+    Phone, card and social security numbers and access keys keep their length, so their entities must leave half of
+    their format free (of social security numbers, 5 * 10^8)."""
     known = checkpointed(found.select("entity").distinct().select("entity", kind_of(F.col("entity")).alias("kind")))
     drawn = known.withColumn("attempt", F.lit(0))
     real = known.select(F.col("entity").alias("taken"))
     while True:
         # kind and digest are columns, not parts of the expression: each is computed once per entity
         keyed = drawn.withColumn("digest", keyed_digest(F.col("kind"), F.col("entity"), key, F.col("attempt")))
-        drawn = checkpointed(keyed.select("entity", "kind", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("digest")).alias("surrogate")))
+        drawn = checkpointed(keyed.select("entity", "kind", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("digest"), F.col("attempt")).alias("surrogate")))
         first = drawn.groupBy("surrogate").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("n"))
         clashes = checkpointed(
             first.join(real, first["surrogate"] == real["taken"], "left").where("n > 1 or taken is not null").select(
