@@ -55,7 +55,7 @@ def test_simhash(spark, texts):
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(i, f"{codes[i]:016x}", want[i]) for i in codes}
 
 
-@pytest.mark.parametrize("blocks, cell_rows", [(5, 32_768), (6, 32_768), (5, 40)])
+@pytest.mark.parametrize("blocks, cell_rows", [(5, 32_768), (6, 32_768), (7, 32_768), (5, 40)])
 def test_near_links_finds_every_component(spark, blocks, cell_rows):
     """Dense balls of near copies, far-off singles, and cells split into parts."""
     rng = np.random.default_rng(7)
@@ -81,6 +81,10 @@ def test_near_links_finds_every_component(spark, blocks, cell_rows):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [5, 5, 6, 7, 8]
+
+
 def test_packing(spark, texts):
     t = Tokenizer.from_file(tok.path("word_bpe_49k.json"))
     want = {}

@@ -34,6 +34,7 @@ SEED = 42
 CELL_ROWS = 32_768
 FAN_OUT = 16
 LEAF_GROUP = 48
+NODE_ROWS = 2_048
 
 
 def fingerprint(text: str | None) -> int:
@@ -71,6 +72,11 @@ def block_masks(blocks: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(each, blocks - MAX_DIFFERENCES)]
 
 
+def blocks_for(n: int) -> int:
+    """The fewest blocks whose top nodes hold ``NODE_ROWS`` of ``n`` fingerprints or fewer on average."""
+    return next((b for b in range(5, 8) if n >> (b - MAX_DIFFERENCES) * (BITS // b) <= NODE_ROWS), 8)
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Position of each code in the reflected Gray sequence."""
     rank = codes.copy()
@@ -188,7 +194,7 @@ def near_links(codes: DataFrame, blocks: int = 5, cell_rows: int = CELL_ROWS) ->
     """``u, v``: links that connect all fingerprints of ``codes(code long)``, distinct, at most four bits apart.
 
     ``blocks`` trades tables for smaller top nodes (5 blocks: 5 tables keyed by 12 bits, 6: 15 by 21,
-    7: 35 by 27); every choice finds the same components. More blocks pay from about 10^7 fingerprints on.
+    7: 35 by 27, 8: 70 by 32); every choice finds the same components. ``blocks_for`` chooses by the number of codes.
     """
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in block_masks(blocks)]
     keys = F.array(*[F.struct(F.lit(i).alias("table"), F.col("code").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
@@ -204,17 +210,17 @@ def near_links(codes: DataFrame, blocks: int = 5, cell_rows: int = CELL_ROWS) ->
     return parted.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, blocks: int = 5, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``doc_id, code, component_id`` per row of ``docs(doc_id, text)``; other columns are not read.
 
     Lower case means A-Z to a-z; words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than four words is one shingle,
     one without words (null, empty, blank) has fingerprint zero and links like any other. ``component_id`` is the
     smallest doc_id that links lead to; null ids are passed over, unless a component has no other. Repeated
-    rows give repeated results.
+    rows give repeated results. ``blocks`` defaults to ``blocks_for`` the number of distinct fingerprints.
     """
     prints = written(fingerprints(docs), "fingerprints")
     distinct = checkpointed(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")))
-    link = roots(near_links(distinct.select("code"), blocks, cell_rows))
+    link = roots(near_links(distinct.select("code"), blocks or blocks_for(distinct.count()), cell_rows))
     member = checkpointed(
         distinct.join(link.withColumnsRenamed({"u": "code", "v": "root"}), "code", "left").select(
             "code", "first_id", F.coalesce("root", "code").alias("root")
