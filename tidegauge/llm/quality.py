@@ -3,9 +3,10 @@
 Every document gets its word and line figures by array expressions in one scan. Rule
 failures are aggregated by host (the ``source`` column), each host's failure rate is
 shrunk by a beta prior fitted to all hosts by moments, and the host verdicts are joined
-back to the documents. A document falls by the base rules, or by a soft rule of its own
-when its host's shrunk failure rate is over the limit; a document without any failure
-is always kept.
+back to the documents. A document falls by the base rules, by a gross soft failure, or by
+a soft failure beyond what its host is allowed: the host's shrunk rate against the prior's
+mean sets that allowance, and a host over the limit has none. A document without any
+failure is always kept.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD = 0.3
 MAX_DUP_LINE_SHARE = 0.3
 MAX_HOST_RATE = 0.5
+#: A soft figure over this many times its limit fails on every host.
+GROSS = 2.0
 
 _POSITION_BITS = 20
 _LOW = (1 << _POSITION_BITS) - 1
@@ -131,12 +134,21 @@ def soft_failed() -> Column:
     )
 
 
+def soft_failed_beyond(times: Column) -> Column:
+    """The soft rules with their limits taken ``times`` as wide."""
+    return (F.col("n_symbols") > times * MAX_SYMBOLS_PER_WORD * F.col("n_words")) | (
+        F.col("n_dup_lines") > times * MAX_DUP_LINE_SHARE * F.greatest(F.col("n_lines"), F.lit(1))
+    )
+
+
 def host_verdicts(figures: DataFrame, host: str = "host") -> DataFrame:
-    """``host, n_docs, n_failed, rate, host_rejected``: each host's failure rate shrunk by a beta prior.
+    """``host, n_docs, n_failed, rate, host_rejected, allowed``: each host's failure rate shrunk by a beta prior.
 
     The prior's mean m is the mean and its strength s = m(1-m)/var - 1 comes from the variance of the hosts'
     rates (at least 1; 1e6 if they do not differ). Hosts come pre-aggregated from the map side; a hot host is
-    one row per task.
+    one row per task. ``allowed`` is how many times the soft limits a document of the host may reach: ``GROSS``
+    for a host at half the prior's mean or less, halfway between 1 and ``GROSS`` at the mean, nearer to 1 the
+    more the host's rate exceeds it, and 1 for a rejected host.
     """
     by_host = figures.groupBy(host).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("n_failed")
@@ -145,14 +157,21 @@ def host_verdicts(figures: DataFrame, host: str = "host") -> DataFrame:
         "m", F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0))).otherwise(1e6).alias("s")
     )
     rate = (F.col("n_failed") + F.col("m") * F.col("s")) / (F.col("n_docs") + F.col("s"))
+    slack = F.when(rate > MAX_HOST_RATE, 0.0).when(rate > 0, F.least(F.lit(1.0), F.col("m") / (2 * rate))).otherwise(1.0)
     return by_host.crossJoin(F.broadcast(prior)).select(
-        host, "n_docs", "n_failed", F.round(rate, 9).alias("rate"), (rate > MAX_HOST_RATE).alias("host_rejected")
+        host,
+        "n_docs",
+        "n_failed",
+        F.round(rate, 9).alias("rate"),
+        (rate > MAX_HOST_RATE).alias("host_rejected"),
+        F.round(1 + (GROSS - 1) * slack, 9).alias("allowed"),
     )
 
 
 def assess_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (default ``doc_id``), then a struct ``quality`` with the figures and verdicts, one row per
-    row of ``docs(doc_id, text, source)``.
+    row of ``docs(doc_id, text, source)``. ``kept`` is the verdict; ``kept_by_rate`` is the narrower one of
+    ``QUALITY_SQL``, by which a soft failure counts on hosts over ``MAX_HOST_RATE`` only.
 
     A null text has no word and fails; a null source is a host of its own; without a ``source`` column all rows
     share one host. Columns of ``docs`` may bear any name: they travel in a struct.
@@ -164,10 +183,10 @@ def assess_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFra
     hosts = written(host_verdicts(staged), "hosts")
     # a small host table is broadcast by its measured size, a large one is sort-merged with skew splitting
     judged = staged.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), "left")
-    kept = ~F.col("base_failed") & ~(F.coalesce("host_rejected", F.lit(False)) & F.col("soft_failed"))
-    verdict = F.struct(
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed", "rate", kept.alias("kept")
-    )
+    by_rate = ~F.col("base_failed") & ~(F.coalesce("host_rejected", F.lit(False)) & F.col("soft_failed"))
+    kept = ~F.col("base_failed") & ~(F.col("soft_failed") & soft_failed_beyond(F.col("allowed")))
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed", "rate", "allowed"]
+    verdict = F.struct(*figures, kept.alias("kept"), by_rate.alias("kept_by_rate"))
     return judged.select("doc", verdict.alias("quality")).select("doc.*", "quality")
 
 
