@@ -228,12 +228,23 @@ def alarm_policy_grid(spark, d):
     return grids.grid_frame(spark, [{"name": p.name, "kind": p.kind, "on": p.on, "k": p.k, "n": p.n} for p in grids.alarm_policies(0.3, 0.5, 0.7)])
 
 
+#: Bytes of files in a micro-batch.
+STREAM_BATCH = 32 << 20
+
+
 def _streamed(spark, d, make, key):
-    """A bounded file stream of the events through ``make`` into a table, by one ``availableNow`` run."""
+    """A bounded file stream of the events through ``make`` into a table, by one ``availableNow`` run.
+
+    The files are ingested in order of time, so that no row is late. A last file holds one row without a key, a day after
+    the newest event: it takes the watermark past the end of every open window, and its own window stays open.
+    """
     base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/{key}-{abs(hash((d, key))) % 10**9}-{spark.sparkContext.startTime}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     source = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("sensor"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    source.write.parquet(f"{base}/in")
-    flow = make(alarms.file_stream(spark, f"{base}/in", source.schema.simpleString()[7:-1].replace(":", " ")))
+    source.repartitionByRange("time", "event_id").sortWithinPartitions("time", "event_id").write.parquet(f"{base}/in")
+    end = source.agg(F.max("time").alias("time")).where("time IS NOT NULL").select(F.lit(None).cast("long").alias("event_id"), (F.col("time") + F.expr("INTERVAL 1 DAY")).alias("time"))
+    end.select("event_id", "time", *[F.lit(None).cast(source.schema[c].dataType).alias(c) for c in ("sensor", "value", "t")]).coalesce(1).write.parquet(f"{base}/end")
+    files = alarms.in_order(spark, f"{base}/in", f"{base}/end", STREAM_BATCH)
+    flow = make(alarms.file_stream(spark, f"{base}/in", source.schema.simpleString()[7:-1].replace(":", " "), files))
     done = flow.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.parquet(f"{base}/out")
@@ -241,7 +252,7 @@ def _streamed(spark, d, make, key):
 
 @query()
 def stream_hysteresis(spark, d):
-    return _streamed(spark, d, lambda s: alarms.hysteresis_stream(s.withColumn("score", F.col("value")), "sensor", 60.0, 120.0), "hysteresis")
+    return _streamed(spark, d, lambda s: alarms.hysteresis_stream(s.where("event_id IS NOT NULL").withColumn("score", F.col("value")), "sensor", 60.0, 120.0), "hysteresis")
 
 
 @query()
