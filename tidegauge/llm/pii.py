@@ -6,7 +6,7 @@ their own type and format, drawn from a keyed hash (later draws of mail addresse
 are longer, of addresses wider, as a format may have fewer values than the corpus has entities): letters of a script stay letters of that script, digits stay
 digits, a name keeps the gender of its form of address, a card number keeps a valid check digit. Surrogates that
 meet each other or a real entity are drawn again until none does, so different entities stay different and one
-entity reads the same everywhere. The texts are then cut at the entities and put together again; documents without
+entity reads the same everywhere. An entity is its exact match: other spellings of it get other surrogates. The texts are then cut at the entities and put together again; documents without
 an entity are passed on as they are, never shuffled.
 """
 
