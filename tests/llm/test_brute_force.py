@@ -70,7 +70,8 @@ def test_near_links_finds_every_component(spark, blocks, cell_rows):
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
     from tidegauge.llm.components import roots
 
-    link = roots(simhash.near_links(spark.createDataFrame(signed, "code long"), blocks, cell_rows)).collect()
+    rows = spark.createDataFrame(signed, "code long").selectExpr("code as id", "0 as print", "code", "0L as check")
+    link = roots(simhash.near_links(rows, blocks, cell_rows)).collect()
     root = {r["u"]: r["v"] for r in link}
     got = {}
     for (c,) in signed:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names; a temporary one only where none is named and all tasks run in the
+    driver's process, as in tests. On a cluster without the setting this raises ``ValueError``."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -56,6 +60,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of rows that a broadcast may have.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored ``df``, marked for broadcast if its counted rows of about ``row_bytes`` stay below ``BROADCAST_BYTES``;
+    else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, and no other letter."""
     return F.translate(text, UPPER, LOWER)

@@ -1,19 +1,24 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences.
 
-A superstep takes the unplaced pieces and the gaps of the open sequences in order of size, lets every piece sweep
-to its successor, the smallest gap that holds it, resolves conflicts by rank (longer pieces first, and the k-th
-claim on a gap size goes to the k-th gap), updates the gaps, and repeats. Where no gap holds the longest piece
-left, new sequences open, as many as the rest needs at least.
-
-Pieces of one length are alike, and so are gaps of one size, so the range-sorted relations of a superstep are
-run-length encoded: a histogram of lengths, counted by the cluster, and runs of gaps. A histogram has at most
-``max_tokens`` entries whatever the corpus, and a superstep agrees on intervals of ranks. The documents stay
-distributed: each piece finds its rank within its length by a salted two-level count (a length that a third of
-all pieces share is counted in many tasks) and looks its sequence up in the intervals of its length.
+A superstep deals the unplaced pieces and the gaps of the open sequences to ranges of size, sorts each range and sweeps
+it: every piece finds its successor, the smallest gap that holds it; pieces with one successor are ranked, longer ones
+first, and claim the gaps from there up to the next successor by rank, the k-th claim the k-th gap; the gaps are
+updated, and who came too late asks again until the range has no claim left. What a range leaves over meets the
+neighbouring range in the next superstep, where ranges are twice as wide, until there is one range. Where no gap holds
+the longest piece left, sequences open and a superstep follows.
+
+Pieces of one length are alike, and so are neighbouring sequences with one gap, so both relations are run-length
+encoded: the cluster counts the pieces of each length (at most ``max_tokens`` rows whatever the corpus), and a run is
+``n`` sequences from ``first`` on. A task sweeps a few thousand runs at most, and every superstep is written to the
+shared folder, so a lost executor costs one superstep; the driver reads one row a superstep, to see whether sequences
+have to open. The documents stay distributed: each piece finds its rank within its length by a salted two-level count
+(a length that a third of all pieces share is counted in many tasks) and looks its sequence up in the placements of its
+length.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import zlib
@@ -21,18 +26,19 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm._shared import written
+from tidegauge.llm._shared import scratch_path, written
 
 MAX_TOKENS = 2048
 END_ID = 0
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-MEMO_WORDS = 1_500_000
+MEMO_BYTES = 192 << 20
 
 
 @lru_cache(maxsize=2)
@@ -48,6 +54,7 @@ def _tokenizer(definition: str):
 
 
 _memo: dict[bytes, bytes] = {}
+_memo_bytes = 0
 _TAIL = re.compile(rb"[A-Za-z0-9]([.,!?:;%*&$|#]+)$")
 
 
@@ -63,20 +70,23 @@ def word_ids(tokenizer, text: str | None) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers, without the end id.
 
     The tokenizer never merges across ASCII blanks, so words between them are encoded once and remembered,
-    up to about ``MEMO_WORDS`` of them in a Python worker.
+    up to about ``MEMO_BYTES`` of memory in a Python worker.
     """
+    global _memo_bytes
     words = (text or "").encode().split()
     try:
         return b"".join([_memo[w] for w in words])
     except KeyError:
-        if len(_memo) > MEMO_WORDS:
+        if _memo_bytes > MEMO_BYTES:
             _memo.clear()
+            _memo_bytes = 0
         new = {w: _stem_and_tail(w) for w in set(words) if w not in _memo}
         parts = list({p for pair in new.values() for p in pair if p not in _memo})
         for p, e in zip(parts, tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
             _memo[p] = array("I", e.ids).tobytes() if _LITTLE else b"".join([i.to_bytes(4, "little") for i in e.ids])
         for w, (stem, tail) in new.items():
             _memo[w] = _memo[stem] + _memo[tail]
+        _memo_bytes += sum(2 * len(w) + 2 * len(_memo[w]) for w in new) + 200 * len(new)
         return b"".join([_memo[w] for w in words])
 
 
@@ -108,59 +118,125 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
     return cut_rows if with_ids else cut_rows.drop("ids")
 
 
-Run = tuple[int, int, int]  # gap, first sequence, number of sequences
-
-
-def superstep(left: dict[int, list[int]], gaps: list[Run]) -> tuple[list[tuple], list[Run]]:
-    """One sweep: placements (length, first rank, n, each, first sequence, gap) and the gaps after it.
-
-    ``left`` maps a length to [unplaced, placed] and is updated. Longer pieces have the higher rank and claim
-    first; each length claims its successors upward, a gap is claimed once a superstep, and a claimed gap takes as
-    many pieces of the length as it holds.
-    """
-    free = sorted(gaps)
-    placements, updated = [], []
-    for length in sorted((k for k, (n, _) in left.items() if n), reverse=True):
-        at = bisect_left(free, (length,))
-        while left[length][0] and at < len(free):
-            gap, seq, n = free[at]
-            each = gap // length
-            seqs = min(n, -(-left[length][0] // each))
-            placed = min(left[length][0], seqs * each)
-            placements.append((length, left[length][1], placed, each, seq, gap))
-            left[length][0] -= placed
-            left[length][1] += placed
+PIECE, GAP, PLACED = 0, 1, 2
+#: A row of the supersteps' tables. Pieces: n of length size are left, the next has rank first. Gaps: n sequences from
+#: first with size tokens free. Placements: the n pieces of length size from rank first go to the sequences from seq,
+#: each of them takes ``each``, at offset and behind.
+_RUN = "kind int, size long, first long, n long, each long, seq long, offset long"
+_RUN_SCHEMA = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.int64()) for f in _RUN.split(", ")])
+#: Ranges of size in the first superstep; half as many in each one after it.
+RANGES = 8
+
+Gap = tuple[int, int, int]  # size, first sequence, number of sequences
+
+
+def claims(left: dict[int, list[int]], gaps: list[Gap]) -> list[tuple[int, int, int]]:
+    """``start, end, length``: the places in the sorted ``gaps`` that the pieces of a length claim, in order, none twice.
+    ``left`` has the number of unplaced pieces and the next rank for each length."""
+    sizes = [g for g, _, _ in gaps]
+    places = list(accumulate([n for _, _, n in gaps], initial=0))
+    asking: dict[int, list[tuple[int, int]]] = {}
+    for length in sorted(left, reverse=True):
+        at = bisect_left(sizes, length)
+        if at < len(gaps):
+            asking.setdefault(places[at], []).append((length, sizes[at]))
+    out = []
+    for at, limit in itertools.pairwise([*sorted(asking), places[-1]]):
+        for length, size in asking[at]:
+            need = -(-left[length][0] // (size // length))
+            if at < limit:
+                out.append((at, min(at + need, limit), length))
+            at += need
+    return out
+
+
+def place(left: dict[int, list[int]], gaps: list[Gap], claimed: list[tuple[int, int, int]]) -> tuple[list[tuple], list[Gap]]:
+    """Sweep sorted gaps and claims by place: the placements (``_RUN`` without its kind, with the gap for the offset) and the
+    gaps after them. A gap takes as many pieces of the length that claims it as it holds; ``left`` is updated."""
+    placements, after, ahead, at = [], [], 0, 0
+    for size, first, n in gaps:
+        stop = at + n
+        while at < stop:
+            while ahead < len(claimed) and claimed[ahead][1] <= at:
+                ahead += 1
+            start, end, length = claimed[ahead] if ahead < len(claimed) else (stop, stop, 0)
+            seq = first + n - (stop - at)
+            if start > at:  # nobody claims these
+                after.append((size, seq, min(start, stop) - at))
+                at = min(start, stop)
+                continue
+            width, each = min(end, stop) - at, size // length
+            own = left[length]
+            placed = min(own[0], width * each)
+            if placed:
+                placements.append((length, own[1], placed, each, seq, size))
+            own[:] = own[0] - placed, own[1] + placed
             full, over = divmod(placed, each)
-            for first, k, held in ((seq, full, each), (seq + full, int(over > 0), over)):
-                if k and gap > held * length:
-                    updated.append((gap - held * length, first, k))
-            if seqs == n:
-                del free[at]
-            else:
-                free[at] = (gap, seq + seqs, n - seqs)
-    return placements, free + updated
+            rest = ((size - each * length, seq, full), (size - over * length, seq + full, int(over > 0)), (size, seq + full + (over > 0), width - full - (over > 0)))
+            after += [g for g in rest if g[0] and g[2]]
+            at += width
+    return placements, after
 
 
-def plan_sequences(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> tuple[list[tuple], int]:
-    """Placements (length, first rank, n, each, first sequence, offset) and the number of sequences.
+def sweeps(max_tokens: int):
+    """A superstep within a range: sweep, resolve, update and repeat until no gap of the range is claimed."""
 
-    Where no gap holds the longest piece left, sequences open: one for each piece over half a sequence, as no
-    two of those share one, at least as many as the tokens left would fill, and enough for all of that length.
-    """
-    left = {k: [n, 0] for k, n in histogram.items()}
-    gaps: list[Run] = []
-    opened, out = 0, []
-    while any(n for n, _ in left.values()):
-        longest = max(k for k, (n, _) in left.items() if n)
-        if not gaps or max(gaps)[0] < longest:
-            rest = sum(k * n for k, (n, _) in left.items()) - sum(g * n for g, _, n in gaps)
-            alone = sum(n for k, (n, _) in left.items() if 2 * k > max_tokens)
-            fresh = max(alone, rest // max_tokens, -(-left[longest][0] // (max_tokens // longest)))
-            gaps.append((max_tokens, opened, fresh))
-            opened += fresh
-        placements, gaps = superstep(left, gaps)
-        out += [(*p[:5], max_tokens - p[5]) for p in placements]
-    return out, opened
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[int, list[int]] = {}
+        gaps: list[Gap] = []
+        for batch in batches:
+            for kind, size, first, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "size", "first", "n")), strict=True):
+                if kind == GAP:
+                    gaps.append((size, first, n))
+                else:
+                    left[size] = [n, first]
+        rows = []
+        while claimed := claims({k: v for k, v in left.items() if v[0]}, sorted(gaps)):
+            placements, gaps = place(left, sorted(gaps), claimed)
+            rows += [(PLACED, *p[:5], max_tokens - p[5]) for p in placements]
+        rows += [(PIECE, size, first, n, None, None, None) for size, (n, first) in left.items() if n]
+        rows += [(GAP, *g, None, None, None) for g in gaps]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUN_SCHEMA, strict=True)], schema=_RUN_SCHEMA)
+
+    return run
+
+
+def to_open(state: DataFrame, max_tokens: int = MAX_TOKENS) -> tuple[int, int]:
+    """How many pieces are left, and how many sequences must open: none while a gap holds the longest piece. Else one
+    for each piece over half a sequence that no gap holds, as no two of those share one, and at least as many as the
+    tokens that no gap holds, or all tokens left less all gaps, would fill."""
+    left = state.where(F.col("kind") == PIECE).groupBy("size").agg(F.sum("n").alias("n")).where("n > 0")
+    gaps = state.where(F.col("kind") == GAP).agg(F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("free"))
+    no_gap = F.col("size") > F.col("largest")
+    tokens = F.col("size") * F.col("n")
+    n, blocked, alone, rest = left.crossJoin(F.broadcast(gaps)).agg(  # gaps is one row
+        F.sum("n"), F.sum(F.when(no_gap, tokens)), F.sum(F.when(no_gap & (2 * F.col("size") > max_tokens), F.col("n"))), F.sum(tokens) - F.max("free")
+    ).first()
+    if not n or not blocked:
+        return n or 0, 0
+    return n, max(alone or 0, -(-blocked // max_tokens), -(-rest // max_tokens))
+
+
+def place_lengths(histogram: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """The placements ``size, first, n, each, seq, offset`` of a histogram ``length, count``, by supersteps until nothing is left."""
+    spark = histogram.sparkSession
+    base, step, opened, ranges = scratch_path(spark, "tables", "supersteps"), 0, 0, RANGES
+    none = [F.lit(None).cast("long").alias(c) for c in ("each", "seq", "offset")]
+    first = histogram.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), F.col("count").alias("n"), *none)
+    first.write.parquet(f"{base}/step=0")
+    read = lambda: spark.read.schema(_RUN).parquet(f"{base}/step={step}").where(F.col("kind") != PLACED)
+    left, fresh = to_open(read(), max_tokens)
+    while left:
+        runs = read().union(spark.createDataFrame([(GAP, max_tokens, opened, fresh, None, None, None)] if fresh else [], _RUN))
+        opened, step = opened + fresh, step + 1
+        dealt = runs.repartitionByRange(ranges, "size").sortWithinPartitions("size") if ranges > 1 else runs.coalesce(1)
+        dealt.mapInArrow(sweeps(max_tokens), _RUN).write.parquet(f"{base}/step={step}")
+        left, fresh = to_open(read(), max_tokens)
+        # a wider range may hold what is left; sequences open once there is one range
+        if ranges > 1:
+            ranges, fresh = ranges // 2, 0
+    return spark.read.schema(_RUN).parquet(*[f"{base}/step={k}" for k in range(step + 1)]).where(F.col("kind") == PLACED).drop("kind")
 
 
 def ranked(pieces: DataFrame, salts: int) -> DataFrame:
@@ -187,11 +263,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
     """
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, tokenizer_path, max_tokens, with_ids), "pieces")
-    histogram = dict(pieces.groupBy("length").count().collect())  # at most max_tokens rows
-    plan, _ = plan_sequences(histogram, max_tokens)
-    rows = spark.createDataFrame(plan, "length long, first long, n long, each long, seq long, off long")
-    # at most max_tokens lengths times the supersteps: bounded by the sequence size, not by the corpus
-    by_length = rows.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "n", "each", "seq", "off"))).alias("plan"))
+    rows = place_lengths(pieces.groupBy("length").count(), max_tokens)
+    # a few placements a length and superstep: bounded by the sequence size, not by the corpus
+    by_length = rows.groupBy(F.col("size").alias("length")).agg(
+        F.array_sort(F.collect_list(F.struct("first", "n", "each", "seq", F.col("offset").alias("off")))).alias("plan")
+    )
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hit = F.element_at(F.filter("plan", lambda p: (p["first"] <= F.col("rank")) & (F.col("rank") < p["first"] + p["n"])), 1)
     placed = ranked(pieces, salts).join(F.broadcast(by_length), "length").withColumn("hit", hit)
