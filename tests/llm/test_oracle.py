@@ -50,10 +50,12 @@ def plain_entities(text):
 
 def test_op9_on_every_document(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    key = pii.session_key(spark)
+    assert key == pii.session_key(spark) and len(key) == 64
     rows = queries.op9_pii_surrogates(spark, SF).collect()
     plain = {i: plain_entities(t or "") for i, t in texts.items()}
     real = {e for _, found in plain.values() for e in found}
-    made = {r["entity"]: r["surrogate"] for r in pii.surrogate_map(spark.createDataFrame([(e,) for e in real], "entity string"), "tidegauge").collect()}
+    made = {r["entity"]: r["surrogate"] for r in pii.surrogate_map(spark.createDataFrame([(e,) for e in real], "entity string"), key).collect()}
     assert set(made) == real and len(set(made.values())) == len(real) and not real & set(made.values())
     assert len(rows) == len(texts) and sum(r["n_replaced"] for r in rows) > 0
     for r in rows:

@@ -1,18 +1,24 @@
 """Personal data replaced by keyed surrogates.
 
 One pattern finds e-mail addresses, access keys, passwords and tokens, IPv4 addresses, phone numbers, card and
-social security numbers, and names behind a form of address. The distinct entities of the corpus get a surrogate of
-their own type and format, drawn from a keyed hash (later draws of mail addresses, secrets and names
-are longer, of addresses wider, as a format may have fewer values than the corpus has entities): letters of a script stay letters of that script, digits stay
-digits, a name keeps the gender of its form of address, a card number keeps a valid check digit. Surrogates that
-meet each other or a real entity are drawn again until none does, so different entities stay different and one
-entity reads the same everywhere. An entity is its exact match: other spellings of it get other surrogates. The texts are then cut at the entities and put together again; documents without
-an entity are passed on as they are, never shuffled.
+social security numbers, and names behind a form of address. Only texts with a literal that every entity needs (an at
+sign, four digits in line, a keyword, a title) are searched; the others pass straight through.
+
+A mention stands for one or two units in canonical form: a mail address in lower case, the digits of a number, a secret
+without its label and quotes, the family and the given name of a title's bearer. The distinct units of the corpus get a
+surrogate of their own type and format, drawn from a keyed hash (later draws of mail addresses, secrets and names are
+longer, of addresses wider, as a format may have fewer values than the corpus has units): letters of a script stay
+letters of that script, digits stay digits, a given name keeps its gender, a card number keeps a valid check digit.
+Surrogates that meet each other or a real unit are drawn again until none does, so different units stay different, and
+one unit reads the same everywhere, in the spelling of each mention: other case, other grouping of digits, other label,
+with or without the given name. The texts, cut at the mentions, are then put together again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm._shared import checkpointed, written
@@ -42,6 +48,13 @@ SYLLABLES = {
     "latin": "ba be bi bo da de di do ga ge ka ke la le li lo ma me mi mo na ne ni no ra re ri ro sa se ta te".split(),
     "cyrillic": "ба бе би бо да де ди до га ге ка ке ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се та те".split(),
 }
+#: What a text must contain for the pattern to be tried: one of these literals, or a match of one of these short patterns.
+LITERALS = ("@", "AKIA", "ASIA", "Mr", "Ms.", "Herr ", "Frau ", "Mme", "Monsieur ", "Señor", "г-н ", "г-жа ")
+DIGITS_IN_LINE = r"[0-9]{4}|[0-9]\.[0-9]{1,3}\.[0-9]"
+LABEL = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]"
+#: Draws before the search for a free surrogate gives up with an error.
+MAX_DRAWS = 64
+KEY_SETTING = "spark.tidegauge.surrogateKey"
 #: Draws within the format of the entity itself, before later ones grow.
 PLAIN_DRAWS = 4
 #: First and last code point of the letters that stand for a class, both ends included.
@@ -100,38 +113,30 @@ def _same_format(value: Column, digest: Column, hexadecimal: Column | None = Non
 
 
 def _card(value: Column, digest: Column) -> Column:
-    """The first digit and the grouping stay, the last digit makes the Luhn sum a multiple of ten."""
-    drawn = F.transform(F.split(F.regexp_replace(value, r"[ -]", ""), ""), lambda c, i: F.when(i == 0, c).otherwise(_pick(ALPHABETS["digit"], digest, i)).cast("int"))
+    """Sixteen digits: the first stays, the last makes the Luhn sum a multiple of ten."""
+    drawn = F.transform(F.split(value, ""), lambda c, i: F.when(i == 0, c).otherwise(_pick(ALPHABETS["digit"], digest, i)).cast("int"))
     body = F.slice(drawn, 1, 15)
     total = F.aggregate(
         F.transform(body, lambda d, i: F.when(i % 2 == 0, F.when(2 * d > 9, 2 * d - 9).otherwise(2 * d)).otherwise(d)), F.lit(0), lambda a, d: a + d
     )
-    digits = F.array_join(F.concat(body, F.array(F.pmod(-total, F.lit(10)))).cast("array<string>"), "")
-    gap = F.substring(value, F.lit(5), F.lit(1))
-    return F.when(F.length(value) == 16, digits).otherwise(
-        F.concat(*[x for k in range(4) for x in ((gap,) if k else ()) + (F.substring(digits, 1 + 4 * k, 4),)])
-    )
+    return F.array_join(F.concat(body, F.array(F.pmod(-total, F.lit(10)))).cast("array<string>"), "")
 
 
-def _name(value: Column, digest: Column, attempt: Column) -> Column:
-    title = F.substring_index(value, " ", 1)
-    gender = F.when(F.regexp_like(value, F.lit(FEMALE)), "f").otherwise("m")
-    script = F.when(F.regexp_like(value, F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin")
-    given = F.lit(None).cast("string")
-    for (g, s), names in GIVEN.items():
-        given = F.when((gender == g) & (script == s), F.get(F.array(*map(F.lit, names)), _draw(digest, F.lit(0), len(names)))).otherwise(given)
-    syllables = {s: F.array(*map(F.lit, SYLLABLES[s])) for s in SYLLABLES}
-    family = F.initcap(
-        F.array_join(
-            F.transform(
-                F.sequence(F.lit(1), 4 + _extra(attempt)),
-                lambda k: F.get(F.when(script == "cyrillic", syllables["cyrillic"]).otherwise(syllables["latin"]), _draw(digest, k, 32)),
-            ),
-            "",
-        )
-    )
-    two = F.size(F.split(value, " ")) > 2
-    return F.concat(title, F.lit(" "), F.when(two, F.concat(given, F.lit(" "), family)).otherwise(family))
+def _is_cyrillic(value: Column) -> Column:
+    return F.regexp_like(value, F.lit(r"\p{IsCyrillic}"))
+
+
+def _syllables(value: Column, digest: Column, n: Column) -> Column:
+    """``n`` syllables in the value's script."""
+    lists = {s: F.array(*map(F.lit, SYLLABLES[s])) for s in SYLLABLES}
+    script = F.when(_is_cyrillic(value), lists["cyrillic"]).otherwise(lists["latin"])
+    return F.array_join(F.transform(F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n), lambda k: F.get(script, _draw(digest, k, 32))), "")
+
+
+def _given(value: Column, gender: str, digest: Column, attempt: Column) -> Column:
+    names = {s: F.array(*map(F.lit, GIVEN[gender, s])) for s in ("latin", "cyrillic")}
+    name = F.get(F.when(_is_cyrillic(value), names["cyrillic"]).otherwise(names["latin"]), _draw(digest, F.lit(0), 8))
+    return F.concat(name, _syllables(value, digest, _extra(attempt)))
 
 
 def keyed_digest(kind: Column, value: Column, key: str, attempt: Column) -> Column:
@@ -144,80 +149,153 @@ def _extra(attempt: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, digest: Column, attempt: Column) -> Column:
-    """The surrogate of an entity, a pure function of its kind, itself, the attempt and the keyed digest of the three."""
+    """The surrogate of a unit, a pure function of its kind, itself, the attempt and the keyed digest of the three."""
     pad = F.substr(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(65), _extra(attempt))
     octet = F.when(attempt < PLAIN_DRAWS, 10).when(attempt < 3 * PLAIN_DRAWS, 240 + _draw(digest, F.lit(3), 16)).otherwise(_draw(digest, F.lit(3), 254) + 1)
-    lead = F.regexp_extract(value, r"^(.*?[=:]\s?[\"']?)", 1)
-    secret = F.substr(value, F.length(lead) + 1)
     domain_end = F.concat(F.lit("."), F.substring_index(value, ".", -1))
-    country = F.regexp_extract(value, r"^(\+\d{1,3})?", 0)
+    # a plus, and as many digits as ten others leave, are the country's
+    country = F.when(F.startswith(value, F.lit("+")), 1 + F.greatest(F.lit(1), F.least(F.lit(3), F.length(value) - 11))).otherwise(0)
     return (
         F.when(
             kind == "email",
             F.concat(pad, _same_format(F.substr(value, F.lit(1), F.length(value) - F.length(domain_end)), digest), domain_end),
         )
         .when(kind == "access_key", F.concat(F.substring(value, 1, 4), _same_format(F.substr(value, F.lit(5)), digest)))
-        .when(kind == "secret", F.concat(lead, pad, _same_format(secret, digest, F.regexp_like(secret, F.lit(r"^[0-9a-f]+[\"']?$")))))
+        .when(kind == "secret", F.concat(pad, _same_format(value, digest, F.regexp_like(value, F.lit(r"^[0-9a-f]+$")))))
         .when(kind == "ip", F.concat_ws(".", octet.cast("string"), *[(_draw(digest, F.lit(k), 254) + 1).cast("string") for k in range(3)]))
-        .when(kind == "phone", F.concat(country, _same_format(F.substr(value, F.length(country) + 1), digest)))
+        .when(kind == "phone", F.concat(F.substr(value, F.lit(1), country), _same_format(F.substr(value, country + 1), digest)))
         .when(kind == "card", _card(value, digest))
-        .when(kind == "name", _name(value, digest, attempt))
+        .when(kind == "given_f", _given(value, "f", digest, attempt))
+        .when(kind == "given_m", _given(value, "m", digest, attempt))
+        .when(kind == "family", F.initcap(_syllables(value, digest, 4 + _extra(attempt))))
         .otherwise(_same_format(value, digest))
     )
 
 
-def surrogate_map(found: DataFrame, key: str) -> DataFrame:
-    """``entity, surrogate`` for the distinct ``found(entity)``: no two entities share a surrogate, and no surrogate
-    is an entity. Of those that meet, the smallest entity keeps its draw; the others draw again.
+_SECRET = r"^(.*?[=:]\s?[\"']?)(.*?)([\"']?)$"
+
 
-    Phone, card and social security numbers and access keys keep their length, so their entities must leave half of
-    their format free (of social security numbers, 5 * 10^8)."""
-    known = checkpointed(found.select("entity").distinct().select("entity", kind_of(F.col("entity")).alias("kind")))
+def units_of(kind: Column, mention: Column) -> Column:
+    """The mention's units as an array of (kind, value in canonical form)."""
+    parts = F.split(mention, " ")
+    gender = F.when(F.regexp_like(mention, F.lit(FEMALE)), "given_f").otherwise("given_m")
+    unit = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
+    family = unit(F.lit("family"), F.element_at(parts, -1))
+    value = (
+        F.when(kind == "email", F.lower(mention))
+        .when(kind == "secret", F.regexp_extract(mention, _SECRET, 2))
+        .when(kind.isin("phone", "card", "ssn"), F.regexp_replace(mention, r"[^0-9+]", ""))
+        .otherwise(mention)
+    )
+    named = F.when(F.size(parts) > 2, F.array(family, unit(gender, F.get(parts, F.lit(1))))).otherwise(F.array(family))
+    return F.when(kind == "name", named).otherwise(F.array(unit(kind, value)))
+
+
+def spelled(kind: Column, mention: Column, new: Column) -> Column:
+    """The surrogates ``new`` of a mention's units in the mention's own spelling."""
+    first = F.get(new, F.lit(0))
+    digits = F.regexp_replace(first, r"[^0-9]", "")
+    # digit by digit, all else stays
+    filled = F.aggregate(
+        F.split(mention, ""),
+        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+        lambda a, c: F.when(
+            F.regexp_like(c, F.lit("^[0-9]$")), F.struct(F.concat(a["out"], F.substr(digits, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))
+        ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
+        lambda a: a["out"],
+    )
+    case = F.when(F.length(first) != F.length(mention), first).otherwise(
+        F.array_join(F.zip_with(F.split(first, ""), F.split(mention, ""), lambda s, m: F.when(m != F.lower(m), F.upper(s)).otherwise(s)), "")
+    )
+    return (
+        F.when(kind == "email", case)
+        .when(kind == "secret", F.concat(F.regexp_extract(mention, _SECRET, 1), first, F.regexp_extract(mention, _SECRET, 3)))
+        .when(kind.isin("phone", "card", "ssn"), filled)
+        .when(kind == "name", F.concat_ws(" ", F.substring_index(mention, " ", 1), F.get(new, F.lit(1)), first))
+        .otherwise(first)
+    )
+
+
+def unit_surrogates(units: DataFrame, key: str) -> DataFrame:
+    """``kind, value, surrogate`` for the distinct ``units(kind, value)``: no two share a surrogate, and no surrogate is a
+    unit's value. Of those that meet, the smallest keeps its draw; the others draw again.
+
+    Phone, card and social security numbers and access keys keep their length; where a format is so full that a unit
+    finds no free surrogate in ``MAX_DRAWS`` draws, this raises ``ValueError``."""
+    known = checkpointed(units.select("kind", "value").distinct())
     drawn = known.withColumn("attempt", F.lit(0))
-    real = known.select(F.col("entity").alias("taken"))
-    while True:
-        # kind and digest are columns, not parts of the expression: each is computed once per entity
-        keyed = drawn.withColumn("digest", keyed_digest(F.col("kind"), F.col("entity"), key, F.col("attempt")))
-        drawn = checkpointed(keyed.select("entity", "kind", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("digest"), F.col("attempt")).alias("surrogate")))
-        first = drawn.groupBy("surrogate").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("n"))
+    real = known.select(F.col("value").alias("taken")).distinct()
+    for _ in range(MAX_DRAWS):
+        # the digest is a column, not a part of the expression: it is computed once per unit
+        keyed = drawn.withColumn("digest", keyed_digest(F.col("kind"), F.col("value"), key, F.col("attempt")))
+        drawn = checkpointed(keyed.select("kind", "value", "attempt", surrogate(F.col("kind"), F.col("value"), F.col("digest"), F.col("attempt")).alias("surrogate")))
+        first = drawn.groupBy("surrogate").agg(F.min(F.struct("value", "kind")).alias("first"), F.count(F.lit(1)).alias("n"))
         clashes = checkpointed(
             first.join(real, first["surrogate"] == real["taken"], "left").where("n > 1 or taken is not null").select(
                 "surrogate", F.when(F.col("taken").isNull(), F.col("first")).alias("first")
             )
         )
         if clashes.isEmpty():
-            return drawn.select("entity", "surrogate")
-        again = F.col("hit") & ~F.col("entity").eqNullSafe(F.col("first"))
-        drawn = (
-            drawn.join(clashes.withColumn("hit", F.lit(True)), "surrogate", "left")
-            .select("entity", "kind", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt"))
+            return drawn.select("kind", "value", "surrogate")
+        again = F.col("hit") & ~F.struct("value", "kind").eqNullSafe(F.col("first"))
+        drawn = drawn.join(clashes.withColumn("hit", F.lit(True)), "surrogate", "left").select(
+            "kind", "value", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt")
         )
+    most = drawn.groupBy("kind").agg(F.max("attempt").alias("attempt")).collect()  # of ten kinds
+    full = [r["kind"] for r in most if r["attempt"] == MAX_DRAWS]
+    raise ValueError(f"no free surrogate after {MAX_DRAWS} draws; full: {', '.join(sorted(full))}")
 
 
-def replace_entities(docs: DataFrame, key: str = "tidegauge") -> DataFrame:
+def surrogate_map(found: DataFrame, key: str) -> DataFrame:
+    """``entity, surrogate`` for the distinct mentions ``found(entity)``."""
+    kind = kind_of(F.col("entity"))
+    mentions = written(found.select("entity").distinct().select("entity", kind.alias("kind")).select("*", units_of(F.col("kind"), F.col("entity")).alias("units")), "mentions")
+    units = mentions.select("entity", F.posexplode("units").alias("at", "unit")).select("entity", "at", "unit.*")
+    drawn = unit_surrogates(units, key)
+    new = units.join(drawn, ["kind", "value"]).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))  # one or two each
+    return mentions.join(new, "entity").select("entity", spelled(F.col("kind"), F.col("entity"), F.transform("new", lambda x: x["surrogate"])).alias("surrogate"))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The secret of the setting ``spark.tidegauge.surrogateKey``; where it is unset, a random one for this session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def may_hold_entities(text: Column) -> Column:
+    """Whether a text has what every entity needs; false for a null text. Literals are quicker than the pattern."""
+    literal = F.lit(False)
+    for x in LITERALS:
+        literal = literal | F.contains(text, F.lit(x))
+    label = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & F.regexp_like(text, F.lit(LABEL))
+    return F.coalesce(literal | F.regexp_like(text, F.lit(DIGITS_IN_LINE)) | label, F.lit(False))
+
+
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs``, all columns, with every entity in ``text`` replaced, and a column ``_replaced`` with the
     number of replacements (it takes the place of an older column of that name).
 
-    A null text stays null. Repeated rows are handled one by one; equal entities get equal surrogates across the
-    corpus. An empty table gives an empty result. ``key`` is secret: surrogates cannot be traced back without it.
+    ``key`` is a secret without a default; an empty one raises ``ValueError``. Surrogates cannot be computed without it.
+    A null text stays null. Repeated rows are handled one by one; units with one canonical form get one surrogate
+    across the corpus. An empty table gives an empty result.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
     columns = [c for c in docs.columns if c != "_replaced"]
     row = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"], F.lit(0).alias("_")).alias("row")
-    # whole texts are searched; what has no entity passes straight through
     rows = docs.select(row, "text")
-    clean = rows.where(~F.regexp_like("text", F.lit(ANY)) | F.col("text").isNull()).select("row", "text", F.lit(0).cast("long").alias("n"))
+    suspect = may_hold_entities(F.col("text"))
+    clean = rows.where(~suspect).select("row", "text", F.lit(0).cast("long").alias("n"))
     touched = written(
-        rows.where(F.regexp_like("text", F.lit(ANY))).select(F.monotonically_increasing_id().alias("id"), "row", "text", entities(F.col("text")).alias("found")), "touched"
+        rows.where(suspect).select(F.monotonically_increasing_id().alias("id"), "row", F.split("text", ANY).alias("pieces"), entities(F.col("text")).alias("found")), "touched"
     )
     places = touched.select("id", F.posexplode("found").alias("at", "entity")).where(is_entity(F.col("entity")))
     mapped = surrogate_map(places.select("entity"), key)
     listed = places.join(mapped, "entity").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
-    pieces = F.split("text", ANY)
     rebuilt = F.array_join(F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.try_element_at("new", i), F.get("found", i), F.lit("")))), "")
-    changed = (
-        touched.join(listed, "id", "left")
-        .select("row", pieces.alias("pieces"), "found", "new")
-        .select("row", rebuilt.alias("text"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n"))
-    )
+    changed = touched.join(listed, "id", "left").select("row", rebuilt.alias("text"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n"))
     out = clean.union(changed)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns], F.col("n").alias("_replaced"))

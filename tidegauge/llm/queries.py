@@ -12,7 +12,7 @@ from tidegauge.llm.chat import format_conversations, read_back
 from tidegauge.llm.license_scan import license_scan
 from tidegauge.llm.lzprint import lz_fingerprints
 from tidegauge.llm.packing import pack_documents
-from tidegauge.llm.pii import replace_entities
+from tidegauge.llm.pii import replace_entities, session_key
 from tidegauge.llm.quality import assess_documents
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.url_rules import judge_urls
@@ -65,7 +65,7 @@ def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    replaced = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return replaced.select("doc_id", "text", F.col("_replaced").alias("n_replaced"))
 
 
