@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm._shared import table, written
 from tidegauge.llm.packing import pack_documents
-from tidegauge.llm.pii import replace_entities
+from tidegauge.llm.pii import replace_entities, session_key
 from tidegauge.llm.quality import quality_filter
 from tidegauge.llm.queries import WORD_BPE
 from tidegauge.llm.simhash import drop_near_duplicates
@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return replace_entities(docs).select(*docs.columns)
+    return replace_entities(docs, session_key(spark)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
