@@ -6,6 +6,7 @@ import itertools
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as tok
 import pytest
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tidegauge.llm import bpe, lzprint, packing, pii, quality, queries, simhash, warc
 from tidegauge.llm.license_scan import license_scan, words_of
+from tidegauge.llm.oracle import QUALITY_SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,6 +84,80 @@ def test_near_links_finds_every_component(spark, blocks, cell_rows):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def plain_groups(texts):
+    """Links of different texts: word sets alike in four bits or fewer under one seed, five-word shingles in 14 or fewer."""
+    lowered = {t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) for t in texts}
+
+    def bits(features, seed):
+        h = [xxhash.xxh64_intdigest(f.encode(), seed) for f in features]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+    shingles = lambda w: [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+    made = {t: ([bits(sorted(set(w)), seed) for seed in (42, 43, 44, 45)], bits(shingles(w), 42)) for t, w in lowered.items()}
+    group = {t: t for t in made}
+
+    def find(t):
+        while group[t] != t:
+            t = group[t]
+        return t
+
+    for a, b in itertools.combinations(made, 2):
+        if (made[a][1] ^ made[b][1]).bit_count() <= 14 and any((x ^ y).bit_count() <= 4 for x, y in zip(made[a][0], made[b][0], strict=True)):
+            group[find(a)] = find(b)
+    return {t: find(t) for t in made}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_row_of_each_group_stays(spark, texts, monkeypatch, broadcast):
+    """Repeated and null ids, repeated rows, and every document of the smallest table; with and without a broadcast."""
+    if not broadcast:
+        monkeypatch.setattr(simhash, "broadcast_if_small", lambda df, row_bytes: df)
+    own = list(texts.items())
+    rows = [*own, *own[:3], (own[4][0], own[9][1] + " x1"), (None, own[5][1]), (None, "p q r s t u v w"), (None, "only here once"), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "w", 1) for i, t in rows], "doc_id long, text string, codes string, `_id` int")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs).collect()]
+    group = plain_groups({t or "" for _, t in rows})
+    first = {}
+    for i, t in rows:
+        g = group[t or ""]
+        first[g] = min(first.get(g, (True, 0)), (i is None, i or 0))
+    assert len(kept) == len(first) == len({group[t or ""] for _, t in kept})
+    assert all((i is None, i or 0) == first[group[t or ""]] for i, t in kept)
+
+
+def test_every_link_comes_from_the_index(spark, monkeypatch):
+    """With an index that finds nothing, nothing is linked, however small the top nodes are."""
+    codes = np.array([0, 1, 3, 1 << 40], np.uint64)
+    cell, checks = np.zeros(4, np.int64), np.zeros(4, np.uint64)
+    order = np.argsort(simhash.gray_rank(codes))
+    assert (simhash.link_members(cell, codes[order], checks) == 0).all()
+    monkeypatch.setattr(simhash.GrayIndex, "near", lambda self, asked, root, parent: (asked[:0], asked[:0]))
+    assert (simhash.link_members(cell, codes[order], checks) == np.arange(4)).all()
+
+
+def test_near_copies_are_caught(spark):
+    """Recall of the pipeline's stage: copies with a similarity of 0.8 to 0.9 on five-word shingles to texts of their own."""
+    rng = np.random.default_rng(5)
+    read = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400").select("text").distinct().collect()
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows = []
+    for words in ((r["text"] or "").split() for r in read):
+        if not 60 <= len(words) <= 1000:
+            continue
+        made, own = list(words), shingles(words)
+        for at in rng.permutation(len(words)):
+            changed = [*made[:at], f"edit{len(rows)}", *made[at + 1 :]]
+            if 10 * len(own & shingles(changed)) < 8 * len(own | shingles(changed)):
+                break
+            made = changed
+        if made != words:
+            rows.append((2 * len(rows), " ".join(words)))
+            rows.append((rows[-1][0] + 1, " ".join(made)))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(i + 1 not in kept for i, _ in rows[::2])
+    assert len(rows) > 300 and caught >= 0.9 * len(rows) / 2, (caught, len(rows) / 2)
+
+
 def test_blocks_follow_the_number_of_fingerprints():
     assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [5, 5, 6, 7, 8]
 
@@ -188,16 +264,21 @@ def test_pipeline(spark, texts):
     kept = stages["quality_rules"](spark, docs, SF)
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.collect()}
-    judged = {r["doc_id"]: r["quality"]["kept"] for r in quality.assess_documents(docs).collect()}
-    assert ids == {i for i, k in judged.items() if k} and ids
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert ids == {i for i, k in c.execute(f"SELECT doc_id, kept FROM ({QUALITY_SQL})").fetchall() if k} and ids
     single = stages["simhash_dedup"](spark, kept, SF)
-    parts = plain_components({i: plain_fingerprint(texts[i]) for i in ids})
-    assert {r["doc_id"] for r in single.collect()} == set(parts.values()) and single.columns == docs.columns
+    group = plain_groups({texts[i] for i in ids})
+    first = {}
+    for i in sorted(ids):
+        first.setdefault(group[texts[i]], i)
+    left = set(first.values())
+    assert {r["doc_id"] for r in single.collect()} == left and single.columns == docs.columns
     hidden = stages["pii_surrogates"](spark, single, SF)
     assert hidden.columns == docs.columns and hidden.count() == single.count()
     pattern = re.compile(r"[\w.]+@\w+\.example\.com|AKIA[A-Z0-9]{16}|password=\w+")
-    before = {m for i in set(parts.values()) for m in pattern.findall(texts[i])}
+    before = {m for i in left for m in pattern.findall(texts[i])}
     assert before and not before & {m for r in hidden.collect() for m in pattern.findall(r["text"])}
     packed = corpus_pipeline.run(spark, SF)
-    assert {r["doc_id"] for r in packed.collect()} == set(parts.values())
+    assert {r["doc_id"] for r in packed.collect()} == left
     assert pii.KINDS and packing.MAX_TOKENS == 2048

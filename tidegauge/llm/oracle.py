@@ -70,10 +70,11 @@ s AS (SELECT *, n_symbols > 0.3 * n_words OR n_dup_lines > 0.3 * greatest(len(ls
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR soft_failed) AS bad FROM s GROUP BY source),
 p AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h),
 z AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1e6 END AS s FROM p),
-q AS (SELECT source, (bad + m * z.s) / (n + z.s) > 0.5 AS rejected FROM h, z)
+q AS (SELECT source, m, (bad + m * z.s) / (n + z.s) AS rate FROM h, z),
+y AS (SELECT source, round(1 + (2.0 - 1) * CASE WHEN rate > 0.5 THEN 0.0 WHEN rate > 0 THEN least(1.0, m / (2 * rate)) ELSE 1.0 END, 9) AS allowed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (rejected AND soft_failed) AS kept
-FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source"""
+  NOT base_failed AND NOT (n_symbols > allowed * 0.3 * n_words OR n_dup_lines > allowed * 0.3 * greatest(len(ls), 1)) AS kept
+FROM s JOIN y ON s.source IS NOT DISTINCT FROM y.source"""
 
 CHAT_SQL = r"""
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations

@@ -170,8 +170,7 @@ def host_verdicts(figures: DataFrame, host: str = "host") -> DataFrame:
 
 def assess_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (default ``doc_id``), then a struct ``quality`` with the figures and verdicts, one row per
-    row of ``docs(doc_id, text, source)``. ``kept`` is the verdict; ``kept_by_rate`` is the narrower one of
-    ``QUALITY_SQL``, by which a soft failure counts on hosts over ``MAX_HOST_RATE`` only.
+    row of ``docs(doc_id, text, source)``. ``kept`` is the verdict.
 
     A null text has no word and fails; a null source is a host of its own; without a ``source`` column all rows
     share one host. Columns of ``docs`` may bear any name: they travel in a struct.
@@ -183,10 +182,9 @@ def assess_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFra
     hosts = written(host_verdicts(staged), "hosts")
     # a small host table is broadcast by its measured size, a large one is sort-merged with skew splitting
     judged = staged.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), "left")
-    by_rate = ~F.col("base_failed") & ~(F.coalesce("host_rejected", F.lit(False)) & F.col("soft_failed"))
     kept = ~F.col("base_failed") & ~(F.col("soft_failed") & soft_failed_beyond(F.col("allowed")))
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed", "rate", "allowed"]
-    verdict = F.struct(*figures, kept.alias("kept"), by_rate.alias("kept_by_rate"))
+    verdict = F.struct(*figures, kept.alias("kept"))
     return judged.select("doc", verdict.alias("quality")).select("doc.*", "quality")
 
 

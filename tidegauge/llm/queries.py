@@ -48,8 +48,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = assess_documents(table(spark, sf_dir, "documents"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    # the query's SQL defines kept by the host's rate alone; the pipeline filters by quality.kept
-    return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names], F.col("quality.kept_by_rate").alias("kept"))
+    return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names], F.col("quality.kept").alias("kept"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
