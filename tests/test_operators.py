@@ -248,3 +248,27 @@ def test_example_request(spark):
 
     cases, context, anchor = example_request(spark)
     assert recommend_controls(cases, context, ("control_a", "control_b"), anchor, neighbours=80).ranges.count() >= 1
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 10**9])
+def test_folds_carry_their_state_over_pieces(spark, width):
+    """One key split over many tasks gives what one fold over all its rows gives."""
+    from tidegauge.operators import runs, series
+
+    values = [None, None, 10.0, 90.0, 70.0, None, 66.0, 40.0, 130.0, 103.0, 101.0, 47.0, None, 61.0] * 8
+    rows = [(k, i, i, v) for k in ("a", None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "sensor string, event_id long, t long, value double")
+    level, state, alarm, want = None, 0, False, {}
+    for i, v in enumerate(values):
+        if v is not None:
+            level = v if level is None else 0.25 * v + 0.75 * level
+        state = runs.next_state(state, v, 60.0, 120.0)
+        alarm = alarm if level is None else level >= 80 or (alarm and level >= 50)
+        want[i] = (level, state, alarm)
+    e = series.ewma(df, ["sensor"], 0.25, width).collect()
+    h = runs.hysteresis(df, ["sensor"], "value", 60.0, 120.0, width=width).collect()
+    m = runs.ema_hysteresis(df, ["sensor"], "value", 0.25, 80.0, 50.0, width).collect()
+    assert len(e) == len(h) == len(m) == len(rows)
+    assert all((r["ewma"] is None and want[r["t"]][0] is None) or abs(r["ewma"] - want[r["t"]][0]) < 1e-9 for r in e)
+    assert all(r["state"] == want[r["t"]][1] for r in h) and all(r["alarm"] == want[r["t"]][2] for r in m)
+    assert series.ewma(df.limit(0), ["sensor"], 0.25).collect() == []

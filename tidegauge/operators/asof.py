@@ -64,21 +64,33 @@ def asof_snapshot(samples: DataFrame, values: DataFrame, names: list[str], lag_m
 
 
 def lagged_snapshots(samples: DataFrame, values: DataFrame, names: list[str], lags: list[int], tolerance_minutes: int, by: list[str] | None = None) -> DataFrame:
-    """One snapshot column per lag and value (``{name}__lag{m}``), and ``available``, the share that was found."""
-    out = samples
-    for m in lags:
-        snap = asof_join(out, values, names, tolerance_minutes * MINUTE, by, lag=m * MINUTE, suffix=f"__lag{m}")
-        out = snap.drop(f"gap__lag{m}")
-    found = [F.col(f"{n}__lag{m}").isNotNull().cast("int") for m in lags for n in names]
-    return out.withColumn("available", sum(found[1:], found[0]) / len(found))
+    """One snapshot column per lag and value (``{name}__lag{m}``), and ``available``, the share that was found.
+
+    Every sample asks once per lag in one as-of pass; the answers meet again by a row number, texts and other columns of the
+    samples travel once."""
+    rows = samples.withColumn("_row", F.monotonically_increasing_id())
+    asks = rows.select(*(by or []), "_row", "t", F.struct(*samples.columns).alias("_sample"), F.explode(F.array(*map(F.lit, lags))).alias("_lag"))
+    # the sample's own columns go with the first lag
+    asks = asks.withColumn("_sample", F.when(F.col("_lag") == lags[0], F.col("_sample"))).withColumn("t", F.col("t") - F.col("_lag").cast("long") * MINUTE)
+    found = asof_join(asks, values, names, tolerance_minutes * MINUTE, by)
+    at = lambda n, m: F.max(F.when(F.col("_lag") == m, F.col(n))).alias(f"{n}__lag{m}")
+    wide = found.groupBy("_row").agg(F.first("_sample", ignorenulls=True).alias("_sample"), *[at(n, m) for m in lags for n in names])
+    out = wide.select("_sample.*", *[f"{n}__lag{m}" for m in lags for n in names])
+    got = [F.col(f"{n}__lag{m}").isNotNull().cast("int") for m in lags for n in names]
+    return out.withColumn("available", sum(got[1:], got[0]) / len(got))
 
 
 def row_window_slices(samples: DataFrame, stream: DataFrame, rows: int, stale: int, span: int, by: list[str]) -> DataFrame:
     """Fixed row-count slices per key: the ``rows`` stream rows that end at the last one at or before the sample, kept if that
-    row is at most ``stale`` old and the slice spans at most ``span`` (micros)."""
+    row is at most ``stale`` old and the slice spans at most ``span`` (micros).
+
+    Row numbers are dealt to blocks of ``rows``; a slice lies in its last row's block and the one before, so a sample meets
+    at most two blocks of its key, not the whole key."""
     numbered = stream.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("t", "event_id")))
     ends = asof_join(samples, numbered, ["rn"], stale, by)
+    block = lambda c: F.floor(c / rows).cast("long")
     hit = ends.where("rn is not null").select("sample_id", *by, F.col("rn").alias("end"))
-    joined = hit.join(numbered, by).where((F.col("rn") <= F.col("end")) & (F.col("rn") > F.col("end") - rows))
+    hit = hit.withColumn("_block", F.explode(F.array(block(F.col("end")), block(F.col("end")) - 1)))
+    joined = hit.join(numbered.withColumn("_block", block(F.col("rn"))), [*by, "_block"]).where((F.col("rn") <= F.col("end")) & (F.col("rn") > F.col("end") - rows))
     slices = joined.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span"), F.avg("value").alias("mean"))
     return slices.where((F.col("n") == rows) & (F.col("span") <= span))

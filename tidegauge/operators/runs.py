@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tidegauge.functions.timeline import DAY, carried_fold
+from tidegauge.operators.series import ewma
+
 NORMAL, WARNING, ALARM = 0, 1, 2
 
 
@@ -62,37 +64,41 @@ def next_state(state: int, p: float | None, warn: float, alarm: float, warn_rele
     return NORMAL
 
 
-def hysteresis(df: DataFrame, by: list[str], score: str, warn: float, alarm: float, warn_release: float = 0.80, alarm_release: float = 0.85) -> DataFrame:
-    """``state`` per row, by a fold over each key's rows in time; keys are independent tasks."""
-    import pandas as pd
+def hysteresis(df: DataFrame, by: list[str], score: str, warn: float, alarm: float, warn_release: float = 0.80, alarm_release: float = 0.85, width: int = DAY) -> DataFrame:
+    """``state`` per row, by a fold over each key's rows in time.
+
+    A piece of time maps each of the three states before it to one after it; the maps are followed from piece to piece, so a
+    task holds ``width`` micros of a key.
+    """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        state, out = NORMAL, []
+    def fold(g, state):
+        out, state = [], int(state)
         for p in g[score]:
             state = next_state(state, p, warn, alarm, warn_release, alarm_release)
             out.append(state)
-        return g.assign(state=pd.Series(out, index=g.index, dtype="int32"))
+        return out
 
-    rows = df.select(*by, "event_id", "t", score)
-    return rows.groupBy(*by).applyInPandas(fold, StructType([*rows.schema.fields, StructField("state", IntegerType())]))
+    ends = lambda g: [float(fold(g, s)[-1]) for s in (NORMAL, WARNING, ALARM)]
+    folded = carried_fold(df, by, [score], width, ends, lambda state, s: s[int(state)], float(NORMAL), fold, "state")
+    return folded.withColumn("state", F.col("state").cast("int"))
 
 
-def ema_hysteresis(df: DataFrame, by: list[str], score: str, alpha: float, on: float, off: float) -> DataFrame:
-    """Alarm from an exponential mean of the score: on at ``on``, off below ``off``."""
-    import pandas as pd
+def ema_hysteresis(df: DataFrame, by: list[str], score: str, alpha: float, on: float, off: float, width: int = DAY) -> DataFrame:
+    """Alarm from an exponential mean of the score: on at ``on``, off below ``off``; a missing score holds the mean. Both the mean
+    and the alarm are carried from piece to piece of ``width`` micros."""
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        level, state, out = None, False, []
-        for p in g[score]:
-            level = p if level is None else alpha * p + (1 - alpha) * level
-            state = level >= on or (state and level >= off)
-            out.append(state)
-        return g.assign(alarm=pd.Series(out, index=g.index, dtype="bool"))
+    def fold(g, state):
+        out, state = [], bool(state)
+        for level in g["ewma"]:
+            if level is not None and level == level:
+                state = level >= on or (state and level >= off)
+            out.append(float(state))
+        return out
 
-    rows = df.select(*by, "event_id", "t", score)
-    return rows.groupBy(*by).applyInPandas(fold, StructType([*rows.schema.fields, StructField("alarm", BooleanType())]))
+    level = ewma(df.select(*by, "event_id", "t", F.col(score).alias("value")), by, alpha, width)
+    ends = lambda g: [fold(g, s)[-1] for s in (False, True)]
+    folded = carried_fold(level.withColumnRenamed("value", score), by, [score, "ewma"], width, ends, lambda state, s: s[int(state)], 0.0, fold, "alarm")
+    return folded.drop("ewma").withColumn("alarm", F.col("alarm") == 1.0)
 
 
 def evaluate_states(df: DataFrame, by: list[str], bad: str, state: str, gap: int, horizon: int) -> DataFrame:

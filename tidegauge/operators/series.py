@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
+from tidegauge.functions.timeline import DAY, carried_fold
+
 PAST, NOW = Window.unboundedPreceding, Window.currentRow
 
 
@@ -108,25 +110,34 @@ def trailing_mean(df: DataFrame, by: list[str], window: int) -> DataFrame:
     return df.withColumn("smooth", F.avg("value").over(_order(by).rowsBetween(-(window - 1), 0)))
 
 
-def ewma(df: DataFrame, by: list[str], alpha: float) -> DataFrame:
+def ewma(df: DataFrame, by: list[str], alpha: float, width: int = DAY) -> DataFrame:
     """``s_t = a x_t + (1 - a) s_(t-1)`` seeded at the first valid value, held over nulls; one row per row with ``ewma``.
 
-    A prefix fold over each key's ordered rows. Each key's rows are streamed once in a grouped task; add a period or
-    run to ``by`` where a key's series may not fit a task's memory.
+    Over the n valid rows of a piece of time the step is affine, ``(1 - a)^n s + b``, so the state before each piece follows from
+    its summary (n, b, and the value where the piece itself seeds the series), and a task holds ``width`` micros of a key.
     """
-    import pandas as pd
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        state, out = None, []
+    def fold(g, state):
+        out = []
         for x in g["value"]:
-            if x == x and x is not None:
+            if x is not None and x == x:
                 state = x if state is None else alpha * x + (1 - alpha) * state
             out.append(state)
-        return g.assign(ewma=pd.Series(out, index=g.index, dtype="float64"))
+        return out
 
-    rows = df.select(*by, "event_id", "t", "value")
-    return rows.groupBy(*by).applyInPandas(fold, StructType([*rows.schema.fields, StructField("ewma", DoubleType())]))
+    def summarise(g):
+        n, b, seeded = 0, 0.0, None
+        for x in g["value"]:
+            if x is not None and x == x:
+                n, b, seeded = n + 1, alpha * x + (1 - alpha) * b, x if seeded is None else alpha * x + (1 - alpha) * seeded
+        return [float(n), b, float("nan") if seeded is None else seeded]
+
+    def carry(state, s):
+        if not s[0]:
+            return state
+        return s[2] if state is None else (1 - alpha) ** s[0] * state + s[1]
+
+    return carried_fold(df, by, ["value"], width, summarise, carry, None, fold, "ewma")
 
 
 def tau_alpha(tau: float) -> float:
@@ -299,8 +310,6 @@ def fill_pchip(df: DataFrame, by: list[str], max_points: int) -> DataFrame:
         return g.assign(value=out, filled=filled)
 
     rows = df.select(*by, "event_id", "t", "value")
-    from pyspark.sql.types import BooleanType
-
     return rows.groupBy(*by).applyInPandas(fill, StructType([*rows.schema.fields, StructField("filled", BooleanType())]))
 
 

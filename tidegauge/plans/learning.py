@@ -140,14 +140,14 @@ def nearest_centroid(spark, d):
 
 
 @query(
-    f"""WITH v AS (SELECT vec_id AS id, embedding[1]::double AS f1, embedding[2]::double AS f2, label, list_transform(embedding, lambda x: x::double) AS z FROM embeddings), k AS (SELECT a.id AS query_id, b.id AS case_id, a.f1, a.f2, b.f1 AS g1, b.f2 AS g2, sqrt({_DIST}) AS dd FROM v a, v b WHERE a.id % 100 = 0 AND b.id % 100 <> 0),
+    f"""WITH v AS (SELECT vec_id AS id, embedding[1]::double AS f1, embedding[2]::double AS f2, label, list_transform(embedding, lambda x: x::double) AS z FROM embeddings), k AS (SELECT a.id AS query_id, b.id AS case_id, a.f1, a.f2, b.f1 AS g1, b.f2 AS g2, sqrt({_DIST}) AS dd FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, case_id) AS rn FROM k) WHERE rn <= 5), s AS (SELECT query_id, unnest(['f1', 'f2']) AS feature, unnest([quantile_cont(g1, 0.5) - any_value(f1), quantile_cont(g2, 0.5) - any_value(f2)]) AS shift FROM n GROUP BY query_id)
 SELECT query_id, feature, shift FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(shift) DESC, feature) AS rn FROM s) WHERE rn = 1""",
     "shift",
 )
 def matched_median_shift(spark, d):
     v = vectors(spark, d).withColumns({"f1": F.get("z", F.lit(0)), "f2": F.get("z", F.lit(1))})
-    return retrieval.matched_shift(v.where("id % 100 = 0"), v.where("id % 100 <> 0"), ["f1", "f2"], 5, 1).select("query_id", "feature", "shift")
+    return retrieval.matched_shift(v.where("id % 100 = 0"), v, ["f1", "f2"], 5, 1).select("query_id", "feature", "shift")
 
 
 @query(f"{EV} SELECT q.sample_id AS query_id, count(r.event_id) AS library FROM s q LEFT JOIN r ON r.t <= q.t - {DAY} AND floor(r.t / {7 * DAY})::bigint % 3 <> 0 GROUP BY ALL")
@@ -195,7 +195,7 @@ def model_out_of_fold(spark, d):
 def model_calibrated(spark, d):
     rows = scored(spark, d).select("event_id", "score", F.col("y").cast("int").alias("y")).cache()
     fit = models.isotonic(rows.where("event_id % 2 = 0"), "score", "y")
-    return fit(rows.where("event_id % 2 = 1")).select("event_id", "calibrated")
+    return fit(rows).select("event_id", "calibrated")
 
 
 @query()
@@ -232,13 +232,21 @@ def alarm_policy_grid(spark, d):
 STREAM_BATCH = 32 << 20
 
 
+def shared_folder(spark):
+    """``spark.checkpoint.dir``; a temporary folder where it is unset and all tasks run in the driver's process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith(("local[", "local")) or not named and "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "file://" + tempfile.mkdtemp()
+
+
 def _streamed(spark, d, make, key):
     """A bounded file stream of the events through ``make`` into a table, by one ``availableNow`` run.
 
     The files are ingested in order of time, so that no row is late. A last file holds one row without a key, a day after
     the newest event: it takes the watermark past the end of every open window, and its own window stays open.
     """
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/{key}-{abs(hash((d, key))) % 10**9}-{spark.sparkContext.startTime}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    base = f"{shared_folder(spark)}/{key}-{abs(hash((d, key))) % 10**9}-{spark.sparkContext.startTime}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     source = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("sensor"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     source.repartitionByRange("time", "event_id").sortWithinPartitions("time", "event_id").write.parquet(f"{base}/in")
     end = source.agg(F.max("time").alias("time")).where("time IS NOT NULL").select(F.lit(None).cast("long").alias("event_id"), (F.col("time") + F.expr("INTERVAL 1 DAY")).alias("time"))
@@ -276,14 +284,14 @@ def lag_correlations(spark, d):
 
 
 @query(
-    f"""WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::double) AS z FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS z FROM (SELECT label, i, avg(z[i]) AS m FROM v, range(1, 65) r(i) WHERE label < 3 GROUP BY label, i) GROUP BY label),
+    f"""WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::double) AS z FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS z FROM (SELECT label, i, avg(z[i]) AS m FROM v, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
 k AS (SELECT a.id, b.label, sqrt({_DIST}) AS dd FROM v a, c b), w AS (SELECT id, list(dd ORDER BY label) AS l, list_sort(list(dd)) AS o FROM k GROUP BY id)
 SELECT id, l[1] AS d0, (1 / (l[1] + 1e-9)) / list_sum(list_transform(l, lambda x: 1 / (x + 1e-9))) AS m0, o[2] - o[1] AS margin FROM w""",
     "d0 m0 margin",
 )
 def cluster_membership(spark, d):
     v = vectors(spark, d)
-    parts = v.where("label < 3").select("label", F.posexplode("z").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    parts = v.select("label", F.posexplode("z").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     centroids = parts.groupBy(F.col("label").cast("string").alias("stage")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
     return online.cluster_membership(v.select("id", "z"), centroids).select("id", F.get("distances", F.lit(0)).alias("d0"), F.get("membership", F.lit(0)).alias("m0"), "margin")
 

@@ -299,7 +299,17 @@ def ewma_hold(spark, d):
     return series.ewma(holes(spark, d), ["sensor"], 0.25).select("event_id", "ewma")
 
 
-@query()
+_ALPHA = f"{series.tau_alpha(4.0)!r}::double"
+
+
+@query(
+    GAPS.replace("WITH e", "WITH RECURSIVE e")
+    + f""", n AS MATERIALIZED (SELECT sensor, run, event_id, value, row_number() OVER (PARTITION BY sensor, run ORDER BY t, event_id) AS rn FROM g WHERE value IS NOT NULL),
+x AS (SELECT sensor, run, event_id, rn, value AS ewma FROM n WHERE rn = 1 UNION ALL
+  SELECT n.sensor, n.run, n.event_id, n.rn, {_ALPHA} * n.value + (1 - {_ALPHA}) * x.ewma FROM x JOIN n ON n.sensor = x.sensor AND n.run = x.run AND n.rn = x.rn + 1)
+SELECT event_id, run::bigint AS segment, ewma FROM x""",
+    "ewma",
+)
 def ewma_segments(spark, d):
     return series.segment_ewma(holes(spark, d), ["sensor"], series.tau_alpha(4.0)).select("event_id", "segment", "ewma")
 
@@ -312,7 +322,18 @@ def invalid_segments(spark, d):
     return series.invalid_segments(holes(spark, d), ["sensor"], F.col("value").isNull()).drop("run")
 
 
-@query()
+_JOINS = "n.first_row - x.last_row - 1 <= 2 AND x.points >= 2 AND n.points >= 2"
+
+
+@query(
+    HOLES.replace("WITH e", "WITH RECURSIVE e")
+    + f""", o AS (SELECT *, row_number() OVER {W} AS rn FROM h), b AS (SELECT sensor, rn, rn - row_number() OVER (PARTITION BY sensor ORDER BY rn) AS g FROM o WHERE value IS NULL),
+n AS MATERIALIZED (SELECT sensor, min(rn) AS first_row, max(rn) AS last_row, count(*) AS points, row_number() OVER (PARTITION BY sensor ORDER BY min(rn)) AS k FROM b GROUP BY sensor, g),
+x AS (SELECT sensor, k, first_row, last_row, points FROM n WHERE k = 1 UNION ALL
+  SELECT n.sensor, n.k, CASE WHEN {_JOINS} THEN x.first_row ELSE n.first_row END, n.last_row, CASE WHEN {_JOINS} THEN x.points + n.first_row - x.last_row - 1 + n.points ELSE n.points END
+  FROM x JOIN n ON n.sensor = x.sensor AND n.k = x.k + 1)
+SELECT sensor, first_row::int AS first_row, max(last_row)::int AS last_row, max(points) AS points FROM x GROUP BY sensor, first_row"""
+)
 def merged_segments(spark, d):
     found = series.invalid_segments(holes(spark, d), ["sensor"], F.col("value").isNull())
     return series.merge_segments(found, ["sensor"], 2, 2)
@@ -349,12 +370,12 @@ _R15 = _frame(15)
 
 
 @query(
-    f"""{HOLES} SELECT event_id, CASE WHEN count(value) OVER {_R15} >= 5 THEN avg(value) OVER {_R15} END AS mean, CASE WHEN count(value) OVER {_R15} >= 5 THEN min(value) OVER {_R15} END AS min,
+    f"""{HOLES} SELECT event_id, CASE WHEN count(value) OVER {_R15} >= 5 THEN avg(value) OVER {_R15} END AS mean, CASE WHEN count(value) OVER {_R15} >= 5 THEN stddev_samp(value) OVER {_R15} END AS std, CASE WHEN count(value) OVER {_R15} >= 5 THEN min(value) OVER {_R15} END AS min,
  CASE WHEN count(value) OVER {_R15} >= 5 THEN max(value) OVER {_R15} END AS max, value - lag(value, 14) OVER {W} AS delta FROM h""",
-    "mean min max delta",
+    "mean std min max delta",
 )
 def row_rolling_channel(spark, d):
-    return series.row_rolling(holes(spark, d), ["sensor"], 15).select("event_id", "mean", "min", "max", "delta")
+    return series.row_rolling(holes(spark, d), ["sensor"], 15).select("event_id", "mean", "std", "min", "max", "delta")
 
 
 @query(
@@ -471,7 +492,12 @@ def segment_hits(spark, d):
     return runs.segment_hits(flagged(spark, d).withColumn("called", F.col("value") > 90), ["sensor"], "bad", "called", 6 * HOUR)
 
 
-@query()
+@query(
+    f"""{GAPS}, y AS (SELECT sensor, t, event_id, coalesce(l.v, f.v) AS value FROM k), a AS (SELECT *, list(value) OVER (PARTITION BY sensor ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS l FROM y),
+m AS (SELECT *, list_median(l) AS m FROM a), q AS (SELECT *, 1.4826 * list_median(list_transform(l, lambda x: abs(x - m))) AS s FROM m), z AS (SELECT sensor, t, event_id, CASE WHEN abs(value - m) > 3 * s THEN m ELSE value END AS value FROM q)
+SELECT event_id, coalesce((-3 * lag(value, 2) OVER w + 12 * lag(value, 1) OVER w + 17 * value + 12 * lead(value, 1) OVER w - 3 * lead(value, 2) OVER w) / 35, value) AS value FROM z WINDOW w AS {W}""",
+    "value",
+)
 def preprocess_chain(spark, d):
     return series.preprocess(holes(spark, d), ["sensor"]).select("event_id", "value")
 

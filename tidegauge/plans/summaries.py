@@ -30,9 +30,9 @@ PROFILE = f"""{LONG}, c AS (SELECT feature, round(value, 10) AS v, count(*) AS n
 q AS (SELECT feature, count(*) AS rows, 1 - count(value) / count(*) AS missing, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, count(value) AS ok FROM l GROUP BY feature)"""
 
 
-@query(f"{PROFILE} SELECT feature, rows, missing, distinct_values AS \"distinct\", top / ok AS dominant, min, max FROM p JOIN q USING (feature)", "missing dominant min max")
+@query(f"{PROFILE} SELECT feature, rows, missing, distinct_values AS \"distinct\", top / ok AS dominant, mean, std, min, max FROM p JOIN q USING (feature)", "missing dominant mean std min max")
 def profile_columns(spark, d):
-    return columns.profile(long_lines(spark, d)).drop("mean", "std")
+    return columns.profile(long_lines(spark, d))
 
 
 @query(f"{PROFILE} SELECT feature, CASE WHEN distinct_values < 10 THEN 'constant' WHEN top / ok >= 0.1 THEN 'dominant' END AS reason FROM p JOIN q USING (feature)")
@@ -56,7 +56,7 @@ def near_duplicate_columns(spark, d):
 
 
 @query(
-    f"""{EV}, a AS (SELECT unit, avg(value) AS main_a, count(*)::double AS main_b FROM e GROUP BY unit), b AS (SELECT unit, avg(value) + 0.001 AS extra_a, max(value) AS extra_b FROM e WHERE unit % 3 > 0 GROUP BY unit),
+    f"""{EV}, a AS (SELECT unit, avg(value) AS main_a, count(*)::double AS main_b FROM e GROUP BY unit), b AS (SELECT unit, avg(value) + 0.001 AS extra_a, max(value) AS extra_b FROM e GROUP BY unit HAVING count(*) > 1),
 m AS (SELECT unit, unnest(['main_a', 'main_b']) AS a, unnest([main_a, main_b]) AS x FROM a), n AS (SELECT unit, unnest(['extra_a', 'extra_b']) AS b, unnest([extra_a, extra_b]) AS y FROM b),
 z AS (SELECT a, b, count(*) AS shared, avg((abs(x - y) <= 0.01)::int) AS agree FROM m JOIN n USING (unit) GROUP BY ALL) SELECT a, b, shared, agree FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY agree DESC, shared DESC, b) AS rn FROM z) WHERE rn = 1""",
     "agree",
@@ -64,7 +64,7 @@ z AS (SELECT a, b, count(*) AS shared, avg((abs(x - y) <= 0.01)::int) AS agree F
 def alias_columns(spark, d):
     e = events(spark, d)
     a = e.groupBy("unit").agg(F.avg("value").alias("main_a"), F.count(F.lit(1)).cast("double").alias("main_b"))
-    b = e.where("unit % 3 > 0").groupBy("unit").agg((F.avg("value") + 0.001).alias("extra_a"), F.max("value").alias("extra_b"))
+    b = e.groupBy("unit").agg((F.avg("value") + 0.001).alias("extra_a"), F.max("value").alias("extra_b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return columns.alias_pairs(a, b, "unit", ["main_a", "main_b"], ["extra_a", "extra_b"], 0.01)
 
 
@@ -74,13 +74,13 @@ def top_non_null_columns(spark, d):
     return columns.top_non_null(long, 2)
 
 
-UNITS = f"""{EV}, a AS (SELECT unit, avg(value) AS x, count(*) AS n FROM e WHERE sensor = 'click' AND unit % 3 <> 0 GROUP BY unit), b AS (SELECT unit, avg(value) AS x, max(value) AS y FROM e WHERE sensor = 'view' AND unit % 4 <> 0 GROUP BY unit)"""
+UNITS = f"""{EV}, a AS (SELECT unit, avg(value) AS x, count(*) AS n FROM e WHERE sensor = 'click' AND value > 30 GROUP BY unit), b AS (SELECT unit, avg(value) AS x, max(value) AS y FROM e WHERE sensor = 'view' AND value < 60 GROUP BY unit)"""
 
 
 def two_tables(spark, d):
     e = events(spark, d)
-    a = e.where("sensor = 'click' AND unit % 3 <> 0").groupBy("unit").agg(F.avg("value").alias("x"), F.count(F.lit(1)).alias("n"))
-    b = e.where("sensor = 'view' AND unit % 4 <> 0").groupBy("unit").agg(F.avg("value").alias("x"), F.max("value").alias("y"))
+    a = e.where("sensor = 'click' AND value > 30").groupBy("unit").agg(F.avg("value").alias("x"), F.count(F.lit(1)).alias("n"))
+    b = e.where("sensor = 'view' AND value < 60").groupBy("unit").agg(F.avg("value").alias("x"), F.max("value").alias("y"))
     return a, b
 
 
