@@ -38,7 +38,7 @@ from tidegauge.llm._shared import scratch_path, written
 MAX_TOKENS = 2048
 END_ID = 0
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-MEMO_BYTES = 192 << 20
+MEMO_BYTES = 384 << 20
 
 
 @lru_cache(maxsize=2)
