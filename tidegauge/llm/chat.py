@@ -2,7 +2,7 @@
 
 Messages form trees (a parent id each). Iterative self-joins double the stretch of ancestors that every message
 knows until each reaches its root; the messages nobody replies to are the leaves, and a leaf's stretch is a
-root-to-leaf path. Paths of a tree are ranked by score, the best ``branches`` are chosen, and each is formatted as
+root-to-leaf path. Its messages are enumerated for chosen leaves alone, by the same stretches in turn. Paths of a tree are ranked by score, the best ``branches`` are chosen, and each is formatted as
 one conversation: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.
 
 Inside roles and texts a backslash is written twice and ``<|`` as ``<\\|``; inside roles a line end is written
@@ -46,40 +46,72 @@ def linear_messages(conversations: DataFrame) -> DataFrame:
     )
 
 
-def tree_paths(messages: DataFrame) -> DataFrame:
-    """``tree_id, leaf, path, score``: every root-to-leaf path (array of nodes) and the sum of its scores.
+def _stretches(messages: DataFrame) -> list[DataFrame]:
+    """``tree_id, node, top, depth, score`` for stretches of 1, 2, 4 ... messages: the ancestor above the stretch that ends
+    in a node (null once it holds the root), how many messages it has and the sum of their scores.
 
-    A parent that does not exist makes its message a root; a message whose ancestors form a loop has no root and no
-    path. A round joins each stretch with the one above it, so paths of depth d take log2(d) + 1 rounds. Only ids
-    and scores travel, not texts.
+    A stretch is four numbers however long it is. A round joins each stretch with the one above it, so trees of depth d
+    take log2(d) + 1 rounds; a message below a loop of ancestors never gets a null top.
     """
     nodes = messages.select("tree_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     real = nodes.select(F.col("tree_id").alias("t"), F.col("node").alias("n"))
     up = nodes.join(real, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    stretch = checkpointed(
-        up.select("tree_id", "node", F.col("n").alias("top"), F.array("node").alias("path"), "score")
-    )
-    replied = stretch.where("top is not null").select(F.col("tree_id").alias("t"), F.col("top").alias("n")).distinct()
-    leaves = stretch.join(replied, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
-    open_rows = stretch.where("top is not null").count()
+    stretch = checkpointed(up.select("tree_id", "node", F.col("n").alias("top"), F.lit(1).cast("long").alias("depth"), "score"))
+    levels, open_rows = [stretch], stretch.where("top is not null").count()
     while open_rows:
-        above = stretch.select(F.col("tree_id").alias("t"), F.col("node").alias("n"), F.col("top").alias("next"), F.col("path").alias("before"), F.col("score").alias("more"))
+        above = stretch.select(F.col("tree_id").alias("t"), F.col("node").alias("n"), F.col("top").alias("next"), F.col("depth").alias("deep"), F.col("score").alias("more"))
         # only stretches that have not reached their root are joined; every top exists, so none is lost
         grown = stretch.where("top is not null").join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")))
         stretch = checkpointed(
             stretch.where("top is null").union(
-                grown.select("tree_id", "node", F.col("next").alias("top"), F.concat("before", "path").alias("path"), (F.col("score") + F.col("more")).alias("score"))
+                grown.select("tree_id", "node", F.col("next").alias("top"), (F.col("depth") + F.col("deep")).alias("depth"), (F.col("score") + F.col("more")).alias("score"))
             )
         )
+        levels.append(stretch)
         still = stretch.where("top is not null").count()
         if still == open_rows:  # only loops are left: every other stretch has grown towards its root
             break
         open_rows = still
-    whole = stretch.where("top is null").select("tree_id", "node", "path", "score")
-    leaf = leaves.select(F.col("tree_id").alias("t"), F.col("node").alias("n"))
-    return whole.join(leaf, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_semi").select(
-        "tree_id", F.col("node").alias("leaf"), "path", "score"
-    )
+    return levels
+
+
+def _leaves(levels: list[DataFrame]) -> DataFrame:
+    """``tree_id, leaf, depth, score`` of every root-to-leaf path."""
+    replied = levels[0].where("top is not null").select(F.col("tree_id").alias("t"), F.col("top").alias("n")).distinct()
+    whole = levels[-1].where("top is null").select("tree_id", F.col("node").alias("leaf"), "depth", "score")
+    return whole.join(replied, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("n")), "left_anti")
+
+
+def _steps(chosen: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``chosen`` (tree_id, leaf, depth and more) with a row per message of its path: ``node`` and ``at``, 0 at the root.
+
+    Each level's stretches, longest first, add to every node found the ancestor above its stretch: a path of d messages
+    is d rows, and never a list.
+    """
+    found = chosen.withColumn("node", F.col("leaf")).withColumn("at", F.col("depth") - 1)
+    kept = [c for c in found.columns if c not in ("node", "at")]
+    for k in range(len(levels) - 1, -1, -1):
+        jump = levels[k].where("top is not null").select(F.col("tree_id").alias("t"), F.col("node").alias("n"), "top")
+        both = F.array(F.struct("node", "at"), F.when(F.col("top").isNotNull(), F.struct(F.col("top").alias("node"), (F.col("at") - 2**k).alias("at"))))
+        found = (
+            found.join(jump, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left")
+            .select(*kept, F.explode(both).alias("step"))
+            .where("step is not null")
+            .select(*kept, "step.node", "step.at")
+        )
+    return found
+
+
+def tree_paths(messages: DataFrame) -> DataFrame:
+    """``tree_id, leaf, path, score``: every root-to-leaf path (array of nodes) and the sum of its scores.
+
+    A parent that does not exist makes its message a root; a message whose ancestors form a loop has no root and no
+    path. Only ids and scores travel, not texts; paths are lists in this result alone.
+    """
+    levels = _stretches(messages)
+    steps = _steps(_leaves(levels), levels)
+    listed = steps.groupBy("tree_id", "leaf", "score").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("path"))
+    return listed.select("tree_id", "leaf", F.col("path.node").alias("path"), "score")
 
 
 def format_trees(messages: DataFrame, branches: int = 1, learn: str = "assistant") -> DataFrame:
@@ -88,9 +120,10 @@ def format_trees(messages: DataFrame, branches: int = 1, learn: str = "assistant
 
     Equal scores: the longer path, then the smaller leaf. Node ids must be unique in a tree.
     """
-    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("score").desc(), F.size("path").desc(), "leaf"))
-    chosen = tree_paths(messages).withColumn("branch", rank).where(F.col("branch") <= branches)
-    steps = chosen.select(F.col("tree_id").alias("t"), "branch", F.col("score").alias("total"), F.posexplode("path").alias("at", "n"))
+    levels = _stretches(messages)
+    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("score").desc(), F.col("depth").desc(), "leaf"))
+    chosen = _leaves(levels).withColumn("branch", rank).where(F.col("branch") <= branches)
+    steps = _steps(chosen, levels).select(F.col("tree_id").alias("t"), "branch", F.col("score").alias("total"), "at", F.col("node").alias("n"))
     turns = steps.join(
         messages.select("tree_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")),
         F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("n") == F.col("node")),
