@@ -14,16 +14,19 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm._shared import scratch_path, written
+from tidegauge.llm._shared import broadcast_if_small, scratch_path, written
 from tidegauge.llm.url_rules import host_key, url_host
 
 REVISIT_BYTES = 1000
+#: Records of an archive, and index rows of a range that a task merges, at most about.
+ARCHIVE_RECORDS, RANGE_ROWS, BATCH_ROWS = 50_000, 200_000, 10_000
 EPOCH = "2020-01-01 00:00:00"
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,16 +45,18 @@ def capture_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> Dat
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
     ).select("*", F.octet_length("html").cast("long").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
-    # only digests that repeat are joined: pre-aggregated on the map side, skew-split on the join
-    repeated = (
+    # digests that repeat, pre-aggregated on the map side and stored; payloads stay where they are while these can be
+    # broadcast, and meet them by a join that AQE splits beyond that
+    repeated = written(
         page.where(F.col("bytes") >= revisit_bytes)
         .groupBy(F.col("digest").alias("repeated"))
         .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and holder is not null")
-        .select("repeated", "holder")
+        .select("repeated", "holder"),
+        "repeated",
     )
     key = F.when(F.col("bytes") >= revisit_bytes, F.col("digest"))
-    joined = page.join(repeated, key == F.col("repeated"), "left")
+    joined = page.join(broadcast_if_small(repeated, 64), key == F.col("repeated"), "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("holder")), F.col("holder"))
     is_revisit = F.col("refers").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
@@ -80,25 +85,29 @@ def capture_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> Dat
 
 
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Archives in folder ``path``: Spark part files, each a series of WARC records (gzip on the whole file)."""
-    capture_records(pages).write.option("lineSep", END + END).option("compression", compression).text(path)
+    """Archives in folder ``path``: Spark part files of at most ``ARCHIVE_RECORDS`` WARC records (gzip on the whole file)."""
+    writer = capture_records(pages).write.option("lineSep", END + END).option("compression", compression)
+    writer.option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """Headers, payload and position of each record; a broken record raises ``ValueError``."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
+def parse_archive(data: bytes | io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """Headers, payload and position of each record, one record in memory at a time; a broken record raises ``ValueError``."""
+    source, at = io.BytesIO(data) if isinstance(data, bytes) else data, 0
+    while line := source.readline():
+        n, headers = len(line), {}
+        if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode().split(END)[1:]
-        headers = dict(x.split(": ", 1) for x in lines)
-        start = end + 4
-        stop = start + int(headers["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
+        while (line := source.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"no WARC record at byte {at}")
+            name, value = line.decode().removesuffix(END).split(": ", 1)
+            headers[name], n = value, n + len(line)
+        size = int(headers["Content-Length"])
+        payload = source.read(size)
+        if len(payload) < size or source.read(4) != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} has no end")
-        yield headers, data[start:stop], at
-        at = stop + 4
+        yield headers, payload, at
+        at += n + 2 + size + 4
 
 
 def _page(record_id: str | None) -> int | None:
@@ -107,18 +116,25 @@ def _page(record_id: str | None) -> int | None:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One batch per archive: its captures, in the order of the archive."""
+    """The captures of each archive, in its order; an archive is unpacked record by record."""
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            file, data = path.as_py(), content.as_py()
+            file, data = path.as_py(), io.BytesIO(content.as_py())
             rows = []
-            for h, payload, at in parse_archive(gzip.decompress(data) if file.endswith(".gz") else data):
+            for h, payload, at in parse_archive(gzip.open(data) if file.endswith(".gz") else data):
                 revisit = h["WARC-Type"] == "revisit"
                 size = int(h["X-Payload-Length"]) if revisit else len(payload)
                 digest = h["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else hashlib.sha1(payload).hexdigest()
                 rows.append((h["WARC-Target-URI"], h["WARC-Date"], _page(h["WARC-Record-ID"]), h["WARC-Record-ID"], h["WARC-Type"], _page(h.get("WARC-Refers-To")), size, digest, file, at))
+                if len(rows) == BATCH_ROWS:
+                    yield _index_batch(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], _SCHEMA)
+                yield _index_batch(rows)
+
+
+def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], _NAMES)
 
 
 _NAMES = ["url_key", "stamp", "page_id", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "file", "position"]
@@ -170,11 +186,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for _, row in LoserTree([iter(r) for r in runs.values()]) if runs else ():
         out.append(row)
-        if len(out) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], _NAMES)
+        if len(out) == BATCH_ROWS:
+            yield _index_batch(out)
             out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], _NAMES)
+        yield _index_batch(out)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -186,9 +202,12 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merged_index(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all archives in ``path``, range by range in order of URL key, timestamp and page_id."""
+    """The captures of all archives in ``path``, range by range in order of URL key, timestamp and page_id. Ranges grow in
+    number with the captures, not in size."""
     by = ["url_key", "stamp", "page_id", "file", "position"]
-    return read_runs(spark, path).repartitionByRange(*by).sortWithinPartitions("file", *by).mapInArrow(_merge, INDEX)
+    runs = read_runs(spark, path)
+    ranges = max(spark.sparkContext.defaultParallelism, -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(ranges, *by).sortWithinPartitions("file", *by).mapInArrow(_merge, INDEX)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
