@@ -5,9 +5,10 @@ phrases are hashed, and the smallest hash of each of ``BINS`` bins is the text's
 texts is the share of bins that agree among the bins that either fills: an estimate of the Jaccard index of the
 phrase sets, which follows how well one text compresses given the other.
 
-Every document is also compared with an edited copy that ends in the next document's beginning. Documents are dealt
-to ranges of ids, each range also gets the first document of the next one, and a task streams through its sorted
-range holding two documents at a time.
+Every document is also compared with an edited copy that ends in the next document's beginning. Spark sorts the
+documents into ranges, and a task streams through its range holding two documents at a time. Rows of one doc_id are
+parted by a hash of their text and equal rows by their place in the input, so that no id is bound to one range. The
+last document of a range meets the first of the next in a second, small pass.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidegauge.llm._shared import written
 
 BINS = 64
 EMPTY = 0xFFFF
+#: Rows of a range, and ranges at most: a task streams, so that longer ranges cost time and no memory.
 RANGE_ROWS = 2_048
 MAX_RANGES = 100_000
 
@@ -90,24 +95,47 @@ class _Parsed:
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [x.split()[0] for x in _OUT.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: A range's first (0) and last (1) document, its place in the order and its text; ``edge`` is null for results.
+_EDGE = "edge int, id long, hash long, row long, text string"
+_EDGE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range, then borrowed last, then id: each row meets its successor of the same range."""
-    current, where = None, None
+    """Rows of a range in order: each but the last meets its successor; the first and the last are given out too."""
+    names, types = [*_NAMES, *(x.split()[0] for x in _EDGE.split(", "))], [*_TYPES, *_EDGE_TYPES]
+    current, place = None, None
+
+    def edge(kind: int) -> tuple:
+        return (current.doc_id, *[None] * (len(_TYPES) - 1), kind, *place, current.text)
+
     for batch in batches:
         rows = []
-        heads = [batch.column(c).to_pylist() for c in ("range", "lent", "doc_id")]
-        for at, lent, doc_id, text in zip(*heads, batch.column("text"), strict=True):
+        keys = [batch.column(c).to_pylist() for c in ("doc_id", "id", "hash", "row")]
+        for doc_id, *at, text in zip(*keys, batch.column("text"), strict=True):
             own = _Parsed(doc_id, text.as_py())
-            if current is not None and where == at:
-                rows.append(current.row(own))
-            current, where = (None if lent else own), at
+            if current is not None:
+                rows.append((*current.row(own), *[None] * len(_EDGE_TYPES)))
+            first = current is None
+            current, place = own, at
+            if first:
+                rows.append(edge(0))
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], [x.split()[0] for x in _OUT.split(", ")]
-            )
+            yield _batch(rows, names, types)
+    if current is not None:
+        yield _batch([edge(1)], names, types)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True)
+        yield _batch([_Parsed(i, a).row(_Parsed(None, b)) for i, a, b in rows], _NAMES, _TYPES)
 
 
 def lz_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -115,36 +143,21 @@ def lz_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     ``docs(doc_id, text)``; other columns are not read.
 
     A null text is empty. The next document is the one with the next doc_id, after the last the first; a null
-    doc_id counts as the lowest. Rows that share a doc_id follow each other in the order of a hash of their text. A single document is its own next one. An empty table gives an
-    empty result.
+    doc_id counts as the lowest. Rows that share a doc_id follow each other in the order of a hash of their text, equal
+    ones in the order of the input. A single document is its own next one. An empty table gives an empty result.
     """
-    low = F.lit(-(2**63))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("id"))
-    n, first = ids.agg(F.count(F.lit(1)), F.min("id")).first()
-    n_ranges = max(1, min(MAX_RANGES, n // range_rows))
-    # the first ids of the ranges: at most MAX_RANGES longs
-    cuts = ids.agg(F.percentile_approx("id", [i / n_ranges for i in range(n_ranges)], 100 * n_ranges).alias("q")).first()[0] if n else []
-    cuts = np.array(sorted({first, *(cuts or [])}) if n else [], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(cuts)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = shared.value
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            own = np.searchsorted(starts, ids, "right") - 1
-            heads = np.flatnonzero(ids == starts[own])  # lent to the range before
-            take = np.concatenate([np.arange(len(ids)), heads])
-            at = np.concatenate([own, (own[heads] - 1) % len(starts)])
-            lent = np.concatenate([np.zeros(len(ids), bool), np.ones(len(heads), bool)])
-            out = batch.take(pa.array(take))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array(lent), *out.columns], ["range", "lent", *out.schema.names]
-            )
-
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return (
-        rows.mapInArrow(deal, "range int, lent boolean, id long, doc_id long, text string")
-        .repartition(max(len(cuts), 1), "range")
-        .sortWithinPartitions("range", "lent", "id", F.xxhash64("text"))
-        .mapInArrow(_stream, _OUT)
+    n_ranges = max(1, min(MAX_RANGES, -(-docs.count() // range_rows)))
+    order = ["id", "hash", "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
+        F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "doc_id", "text"
     )
+    dealt = rows.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order).mapInArrow(_stream, f"{_OUT}, {_EDGE}")
+    ranges = written(dealt, "ranges")
+    edges = ranges.where("edge is not null").select("edge", *order, "doc_id", "text")
+    # two keys a range, no texts: at most 2 * MAX_RANGES rows meet in one task
+    along = Window.orderBy(*order, "edge")
+    follower = F.coalesce(F.lead("row").over(along), F.first("row").over(along))
+    after = edges.select("edge", F.col("row").alias("at"), follower.alias("next")).where("edge = 1").select("at", "next")
+    heads = edges.where("edge = 0").select(F.col("row").alias("next"), F.col("text").alias("next_text"))
+    pairs = edges.where("edge = 1").join(after, F.col("row") == F.col("at")).join(heads, "next").select("doc_id", "text", "next_text")
+    return ranges.where("edge is null").select(*_NAMES).union(pairs.mapInArrow(_meet, _OUT))
