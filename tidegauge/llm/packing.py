@@ -38,7 +38,8 @@ from tidegauge.llm._shared import scratch_path, written
 MAX_TOKENS = 2048
 END_ID = 0
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-MEMO_BYTES = 384 << 20
+#: Bytes of encoded words that a Python worker remembers, in two generations of half as much.
+MEMO_BYTES = 96 << 20
 
 
 @lru_cache(maxsize=2)
@@ -54,6 +55,7 @@ def _tokenizer(definition: str):
 
 
 _memo: dict[bytes, bytes] = {}
+_older: dict[bytes, bytes] = {}
 _memo_bytes = 0
 _TAIL = re.compile(rb"[A-Za-z0-9]([.,!?:;%*&$|#]+)$")
 
@@ -69,24 +71,28 @@ def _stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
 def word_ids(tokenizer, text: str | None) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers, without the end id.
 
-    The tokenizer never merges across ASCII blanks, so words between them are encoded once and remembered,
-    up to about ``MEMO_BYTES`` of memory in a Python worker.
+    The tokenizer never merges across ASCII blanks, so words between them are encoded once and remembered, up to
+    about ``MEMO_BYTES`` of memory in a Python worker. A word met again moves to the younger generation, so the
+    frequent ones stay however many rare ones pass.
     """
-    global _memo_bytes
+    global _memo, _older, _memo_bytes
     words = (text or "").encode().split()
     try:
         return b"".join([_memo[w] for w in words])
     except KeyError:
-        if _memo_bytes > MEMO_BYTES:
-            _memo.clear()
-            _memo_bytes = 0
-        new = {w: _stem_and_tail(w) for w in set(words) if w not in _memo}
-        parts = list({p for pair in new.values() for p in pair if p not in _memo})
-        for p, e in zip(parts, tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
-            _memo[p] = array("I", e.ids).tobytes() if _LITTLE else b"".join([i.to_bytes(4, "little") for i in e.ids])
+        if _memo_bytes > MEMO_BYTES // 2:
+            _memo, _older, _memo_bytes = {}, _memo, 0
+        missing = set(words).difference(_memo)
+        new = {w: _stem_and_tail(w) for w in missing if w not in _older}
+        parts = {p for pair in new.values() for p in pair}.difference(_memo)
+        fresh = [p for p in parts if p not in _older]
+        added = {w: _older[w] for w in (missing | parts) if w in _older}
+        for p, e in zip(fresh, tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False), strict=True):
+            added[p] = array("I", e.ids).tobytes() if _LITTLE else b"".join([i.to_bytes(4, "little") for i in e.ids])
+        _memo.update(added)
         for w, (stem, tail) in new.items():
-            _memo[w] = _memo[stem] + _memo[tail]
-        _memo_bytes += sum(2 * len(w) + 2 * len(_memo[w]) for w in new) + 200 * len(new)
+            added[w] = _memo[w] = _memo[stem] + _memo[tail]
+        _memo_bytes += sum(len(w) + len(ids) for w, ids in added.items()) + 200 * len(added)
         return b"".join([_memo[w] for w in words])
 
 
