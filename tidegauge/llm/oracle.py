@@ -9,17 +9,16 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def license_sql() -> str:
-    """Every start of every notice is tried."""
+    """Every start of every template is tried; the index and its IDF have no part in it."""
     parts = []
     pad = max(len(n.words) for n in build_index())
     for n in build_index():
         at = lambda i: f"coalesce(pw[s + {pad} + {i} + 1] = '{n.words[i]}', false)"  # noqa: B023, E731
-        votes = " + ".join(f"{at(i)}::int" for i in n.anchors)
-        must = " AND ".join(at(i) for a, k in n.phrases for i in range(a, a + k))
+        must = " AND ".join(at(i) for i in n.must)
         share = " + ".join(f"{at(i)}::int" for i in range(len(n.words)))
         m = len(n.words)
         parts.append(
-            f"list_transform(list_filter(range(-{m}, len(ws)), lambda s: ({votes}) >= {n.need} AND {must}), "
+            f"list_transform(list_filter(range(-{m}, len(ws)), lambda s: {must}), "
             f"lambda s: {{'label': '{n.label}', 's': s, 'base': {str(n.base).lower()}, 'share': ({share}) / {m}.0}})"
         )
     hits = "flatten([" + ",\n".join(parts) + "])"
