@@ -1,11 +1,17 @@
-"""URL filter: a sort-merge range join of URLs with nested host rules.
+"""URL filter: a sort-merge range join of URLs with nested host and path rules.
 
 A host becomes a canonical key, its labels reversed and each closed by a dot
 (``www.example.org`` -> ``org.example.www.``), so that a rule's host and all its
 subdomains are one interval of keys. URLs and rule keys are dealt to buckets,
 sorted by key and swept once: the window carries the rule node opened last, and
-every node holds the stack of nodes that enclose it. Intervals nest, so what is
-active at a URL is the part of that stack that has not closed yet.
+every node holds the stack of hosts with rules that enclose it. Intervals nest, so
+what is active at a URL is the part of that stack that has not closed yet.
+
+The path rules of one host are intervals of paths, nested in the same way: for each
+level of the stack the URLs are sorted by (host of that level, path) among the rules
+of that host and swept again, with the stack of the rules whose paths are prefixes
+of the path opened last. So a host's rules are rows, never one array, and a stack
+is no longer than a path.
 
 Each bucket gets all rules and at least four times as many URLs, so the copies of
 the rules stay below a quarter of the input whatever the number of rules, and a
@@ -30,6 +36,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 MIN_BUCKET_ROWS = 100_000
+_BEST = "struct<size: int, hosts: int, rule: string, verdict: string>"
 
 
 def url_host(url: Column) -> Column:
@@ -48,10 +55,8 @@ def host_key(host: Column) -> Column:
 
 
 def _nodes(rules: DataFrame) -> DataFrame:
-    """One row per rule host: its key and the stack of rules of all enclosing hosts, its own included."""
-    own = rules.groupBy(host_key(F.col("host")).alias("key")).agg(
-        F.collect_set(F.struct("host", "path", "verdict")).alias("own")
-    )
+    """``key, stack``: one row per rule host, its key and all enclosing hosts with rules, its own included."""
+    own = rules.select("host", host_key(F.col("host")).alias("key")).distinct()
     labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.")
     chain = own.select(
         F.col("key").alias("at"),
@@ -59,7 +64,27 @@ def _nodes(rules: DataFrame) -> DataFrame:
             F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))
         ).alias("key"),
     )
-    return chain.join(own, "key").groupBy("at").agg(F.flatten(F.collect_list("own")).alias("stack"))
+    return chain.join(own, "key").groupBy(F.col("at").alias("key")).agg(F.array_sort(F.collect_set("host")).alias("stack"))
+
+
+def _chains(rules: DataFrame) -> DataFrame:
+    """``at, path, chain``: one row per host and path of a rule, with the rules of that host whose paths are prefixes."""
+    own = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    prefix = F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n)))
+    longer = own.select("host", F.col("path").alias("whole"), prefix.alias("path"))
+    return (
+        longer.join(own, ["host", "path"])
+        .groupBy(F.col("host").alias("at"), F.col("whole").alias("path"))
+        .agg(F.collect_list(F.struct("path", "verdict")).alias("chain"))
+    )
+
+
+def _sweep(points: DataFrame, opened: DataFrame, carried: str, order: list[str], n_buckets: int) -> DataFrame:
+    """Each of ``points`` with the column ``carried`` of the row of ``opened`` that comes last before it in ``order``."""
+    everywhere = opened.select(F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("bucket"), "*", F.lit(0).alias("kind"))
+    before = Window.partitionBy("bucket").orderBy(*order, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = points.withColumn("kind", F.lit(1)).unionByName(everywhere, allowMissingColumns=True)
+    return both.withColumn(carried, F.last(carried, ignorenulls=True).over(before)).where("kind = 1").drop("kind")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -76,8 +101,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
     rules = rules.select(
         ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
     ).where("host is not null and verdict is not null")
-    nodes = _nodes(rules)
+    nodes, chains = _nodes(rules), _chains(rules).select("at", "path", F.struct("at", "chain").alias("top"))
     n_rules = rules.count()
+    levels = nodes.agg(F.max(F.size("stack"))).first()[0] or 0
     n_buckets = max(1, math.ceil(pages.select("page_id").count() / max(MIN_BUCKET_ROWS, 4 * n_rules)))
     n_buckets = max(n_buckets, min(spark.sparkContext.defaultParallelism, 64) if n_rules <= 4096 else 1)
 
@@ -90,42 +116,34 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
             F.coalesce("path", F.lit("")).alias("path"),
             F.pmod(F.xxhash64("page_id", "url"), F.lit(n_buckets)).cast("int").alias("bucket"),
         )
-        .select("bucket", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "host", "path")
-    )
-    opened = nodes.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("bucket"), F.col("at").alias("key"), F.lit(0).alias("kind"), "stack"
+        .select("bucket", host_key(F.col("host")).alias("key"), "page_id", "host", "path")
     )
-    swept = points.unionByName(opened, allowMissingColumns=True).withColumn(
-        "top",
-        F.last("stack", ignorenulls=True).over(
-            Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        ),
+    fit = F.filter("stack", lambda h: (F.col("host") == h) | F.endswith(F.col("host"), F.concat(F.lit("."), h)))
+    judged = _sweep(points, nodes, "stack", ["key"], n_buckets).select(
+        "bucket", "page_id", "host", "path", fit.alias("hosts"), F.lit(None).cast(_BEST).alias("best")
     )
-    fits = F.filter(
-        "top",
-        lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"])))
-        & F.startswith(F.col("path"), r["path"]),
-    )
-    # the smallest of (-length, -host length, text, verdict) is the longest rule
-    best = F.array_min(
-        F.transform(
-            fits,
-            lambda r: F.struct(
-                (-(F.length(r["host"]) + F.length(r["path"]))).alias("size"),
-                (-F.length(r["host"])).alias("hosts"),
-                F.concat(r["host"], r["path"]).alias("rule"),
-                r["verdict"].alias("verdict"),
-            ),
+    for level in range(levels):
+        points = judged.withColumn("at", F.get("hosts", F.lit(level)))
+        fits = F.filter("top.chain", lambda r: (F.col("top.at") == F.col("at")) & F.startswith(F.col("path"), r["path"]))
+        # the smallest of (-length, -host length, text, verdict) is the longest rule
+        best = F.array_min(
+            F.transform(
+                fits,
+                lambda r: F.struct(
+                    (-(F.length("at") + F.length(r["path"]))).alias("size"),
+                    (-F.length("at")).alias("hosts"),
+                    F.concat("at", r["path"]).alias("rule"),
+                    r["verdict"].alias("verdict"),
+                ),
+            )
         )
-    )
-    return (
-        swept.where("kind = 1")
-        .select("page_id", "host", "path", best.alias("best"))
-        .select(
-            "page_id",
-            "host",
-            "path",
-            F.col("best.rule").alias("rule"),
-            F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        judged = _sweep(points, chains, "top", ["at", "path"], n_buckets).select(
+            "bucket", "page_id", "host", "path", "hosts", F.least("best", best).alias("best")
         )
+    return judged.select(
+        "page_id",
+        "host",
+        "path",
+        F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
