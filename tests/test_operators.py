@@ -1,6 +1,7 @@
 """Properties that SQL comparisons do not show: ties, nulls, empty inputs, folds, models, streams, files."""
 
 import json
+import math
 from datetime import datetime
 
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import decide, labels, text
-from tidegauge.operators import asof, columns, grids, metrics, models, ranking, runs, series, slices, splits
+from tidegauge.operators import asof, columns, grids, metrics, models, ranking, retrieval, runs, series, slices, splits
 from tidegauge.plans import registry
 from tidegauge.sources import tables
 
@@ -272,3 +273,25 @@ def test_folds_carry_their_state_over_pieces(spark, width):
     assert all((r["ewma"] is None and want[r["t"]][0] is None) or abs(r["ewma"] - want[r["t"]][0]) < 1e-9 for r in e)
     assert all(r["state"] == want[r["t"]][1] for r in h) and all(r["alarm"] == want[r["t"]][2] for r in m)
     assert series.ewma(df.limit(0), ["sensor"], 0.25).collect() == []
+
+
+def test_queries_in_blocks_find_the_same_neighbours(spark):
+    df = spark.range(400).select("id", F.array((F.col("id") * 37 % 101).cast("double"), (F.col("id") * 53 % 89).cast("double")).alias("z"))
+    asked = df.where("id % 3 = 0")
+    whole, parted = (sorted(map(tuple, retrieval.neighbours(asked, df, 4, block_rows=n).collect())) for n in (1000, 20))
+    assert whole == parted and len(whole) == 4 * 134
+
+
+def test_score_curve_over_ranges(spark):
+    rows = [(g, (i * 37 % 211) / 211.0, (i * 7919) % 10 > 6) for g in (None, "a", "b") for i in range(300)] + [("c", 0.5, True), ("c", None, False), ("c", float("nan"), False)]
+    df = spark.createDataFrame(rows, "g string, s double, y boolean")
+    key = lambda s: math.inf if math.isnan(s) else s
+    for part in ([], ["g"]):
+        got = metrics.score_curve(df, "y", "s", part).collect()
+        assert len(got) == len({((g if part else 0), repr(s)) for g, s, _ in rows if s is not None})
+        for r in got:
+            own = [(s, y) for g, s, y in rows if s is not None and (not part or g == r["g"])]
+            reached = [y for s, y in own if key(s) >= key(r["s"])]
+            assert (r["tp"], r["fp"]) == (sum(reached), len(reached) - sum(reached))
+            assert (r["pos"], r["neg"]) == (sum(y for _, y in own), sum(not y for _, y in own))
+    assert metrics.score_curve(df.limit(0), "y", "s").collect() == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,13 +55,33 @@ def threshold_sweep(df: DataFrame, actual: str, score: str, thresholds: Sequence
     )
 
 
+#: Ranges of score that a curve is summed in.
+CURVE_RANGES = 64
+
+
 def score_curve(df: DataFrame, actual: str, score: str, part: list[str] | None = None) -> DataFrame:
-    """Cumulative true and false positives at every distinct score, highest first."""
+    """Cumulative true and false positives at every distinct score, highest first.
+
+    Distinct scores are summed in ranges between approximate quantiles, and each range starts from the totals of those
+    above it, so no task orders all of them.
+    """
     part = part or []
     counted = df.where(F.col(score).isNotNull()).groupBy(*part, score).agg(F.count_if(actual).alias("_p"), F.count_if(~F.col(actual)).alias("_n"))
-    w = Window.partitionBy(*part).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    full = Window.partitionBy(*part)
-    return counted.withColumns({"tp": F.sum("_p").over(w), "fp": F.sum("_n").over(w), "pos": F.sum("_p").over(full), "neg": F.sum("_n").over(full)})
+    cuts = counted.agg(F.percentile_approx(score, [i / CURVE_RANGES for i in range(1, CURVE_RANGES)]).alias("_c"))
+    placed = counted.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_c", lambda c: c < F.col(score)))).drop("_c")
+    above, full = Window.partitionBy(*part).orderBy(F.col("_b").desc()), Window.partitionBy(*part)
+    sums = placed.groupBy(*part, "_b").agg(F.sum("_p").alias("_sp"), F.sum("_n").alias("_sn"))
+    carried = sums.select(
+        *[F.col(c).alias(f"_k_{c}") for c in part], F.col("_b").alias("_r"),
+        (F.sum("_sp").over(above) - F.col("_sp")).alias("_tp"), (F.sum("_sn").over(above) - F.col("_sn")).alias("_fp"),
+        F.sum("_sp").over(full).alias("pos"), F.sum("_sn").over(full).alias("neg"),
+    )
+    w = Window.partitionBy(*part, "_b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({"tp": F.sum("_p").over(w), "fp": F.sum("_n").over(w)})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part], F.col("_b") == F.col("_r"))
+    return summed.join(carried, same).select(
+        *part, score, "_p", "_n", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "pos", "neg"
+    )
 
 
 def pr_curve(df: DataFrame, actual: str, score: str, part: list[str] | None = None) -> DataFrame:
@@ -102,9 +123,9 @@ def group_thresholds(scored: DataFrame, actual: str, score: str, group: str, is_
     enough = valid.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(actual).alias("p")).where(
         (F.col("n") >= min_rows) & (F.col("p") >= min_each) & (F.col("n") - F.col("p") >= min_each)
     )
-    own = best_f1(valid.join(F.broadcast(enough.select(group)), group), actual, score, [group]).select(group, F.col("threshold").alias("own"))
+    own = best_f1(valid.join(enough.select(group), group), actual, score, [group]).select(group, F.col("threshold").alias("own"))
     overall = best_f1(valid, actual, score).select(F.col("threshold").alias("overall"))
-    test = scored.where(is_test).join(F.broadcast(own), group, "left").crossJoin(F.broadcast(overall))
+    test = scored.where(is_test).join(own, group, "left").crossJoin(F.broadcast(overall))
     cut = F.coalesce("own", "overall")
     stats = confusion(F.col(actual), F.col(score) >= cut)
     return test.groupBy(group).agg(F.max(cut).alias("threshold"), *[stats[k].alias(k) for k in ("tp", "fp", "fn", "tn", "f1")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tidegauge.operators.aggregates import robust_reference
 from tidegauge.operators.columns import to_long
 from tidegauge.operators.metrics import ranked_metrics, safe
 from tidegauge.operators.ranking import choose
+from tidegauge.operators.retrieval import query_blocks
 
 
 def robust_vectors(df: DataFrame, reference: DataFrame, key: list[str], features: Sequence[str]) -> DataFrame:
@@ -28,17 +30,22 @@ def delayed_neighbours(queries: DataFrame, library: DataFrame, features: Sequenc
     library rows whose outcome is known ``delay`` before the query. Distance is the median of |z-differences|; weights are
     exp(-d / median d) x exp(-age / half life). With fewer than ``min_rows`` known rows the fallback score answers.
 
-    The queries are a stated set that is broadcast; each task keeps its own best ``k`` per query before the shuffle.
+    The queries are a stated set that is broadcast in blocks of a checked size; each task keeps its own best ``k`` per query
+    before the shuffle.
     """
     ref = robust_reference(to_long(library, ["id"], list(features)))
     q = robust_vectors(queries, ref, ["id", "t"], features).select(F.col("id").alias("query_id"), F.col("t").alias("query_t"), F.col("z").alias("_q"))
     cases = robust_vectors(library, ref, ["id", "t", "y"], features)
-    known = cases.join(F.broadcast(q), (cases["t"] <= F.col("query_t") - delay) & (cases["id"] != F.col("query_id")))
     gaps = F.array_sort(F.zip_with("z", "_q", lambda a, b: F.abs(a - b)))
     n = F.size(gaps)
     median = (F.get(gaps, F.floor((n - 1) / 2).cast("int")) + F.get(gaps, F.floor(n / 2).cast("int"))) / 2
-    scored = known.select("query_id", F.col("id").alias("case_id"), "y", ((F.col("query_t") - F.col("t")) / F.lit(float(DAY))).alias("age"), median.alias("d"))
-    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "case_id"))).where(F.col("rank") <= k)
+
+    def nearest(block: DataFrame) -> DataFrame:
+        known = cases.join(F.broadcast(block), (F.col("t") <= F.col("query_t") - delay) & (F.col("id") != F.col("query_id")))
+        scored = known.select("query_id", F.col("id").alias("case_id"), "y", ((F.col("query_t") - F.col("t")) / F.lit(float(DAY))).alias("age"), median.alias("d"))
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "case_id"))).where(F.col("rank") <= k)
+
+    near = reduce(DataFrame.union, map(nearest, query_blocks(q)))
     med = F.percentile("d", F.lit(0.5)).over(Window.partitionBy("query_id"))
     w = F.exp(-F.col("d") / F.greatest(F.col("m"), F.lit(1e-9))) * F.exp(-F.col("age") / half_life_days)
     blended = near.withColumn("m", med).withColumn("w", w).groupBy("query_id").agg(

@@ -182,7 +182,18 @@ def aps_sets(spark, d):
     return bins(spark, d).select("event_id", decide.aps_score(p, (F.col("event_id") % 5).cast("int")).alias("score"), F.array_join(decide.aps_set(p, F.lit(0.7)).cast("array<string>"), "|").alias("members"))
 
 
-@query()
+def _grown(before: str) -> str:
+    """One step of growth of the interval a..b (from 0) with the mass m."""
+    low, high = "CASE WHEN a > 0 THEN p[a] ELSE -1 END", "CASE WHEN b < 4 THEN p[b + 2] ELSE -1 END"
+    step = f"SELECT *, {low} AS low, {high} AS high FROM ({before})"
+    step = f"SELECT *, m < 0.7 AND (low >= 0 OR high >= 0) AS more FROM ({step})"
+    return f"SELECT event_id, p, a - (more AND low >= high)::int AS a, b + (more AND low < high)::int AS b, CASE WHEN more THEN m + greatest(low, high) ELSE m END AS m FROM ({step})"
+
+
+_MODE = "SELECT event_id, p, list_position(p, list_max(p)) - 1 AS a, list_position(p, list_max(p)) - 1 AS b, list_max(p) AS m FROM b"
+
+
+@query(f"{BINS_SQL} SELECT event_id, array_to_string(range(a, b + 1), '|') AS members FROM ({_grown(_grown(_grown(_grown(_MODE))))})")
 def ordered_interval_sets(spark, d):
     got = decide.ordered_interval([F.get("p", F.lit(i)) for i in range(5)], F.lit(0.7))
     return bins(spark, d).select("event_id", F.array_join(got.cast("array<string>"), "|").alias("members"))
@@ -216,11 +227,11 @@ def conformal_quantile(spark, d):
 _F1 = "coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)"
 
 
-@query(
-    f"""{SC}, g AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS threshold), c AS (SELECT threshold, count_if(y AND score >= threshold) AS tp, count_if(NOT y AND score >= threshold) AS fp, count_if(y AND score < threshold) AS fn, count_if(NOT y AND score < threshold) AS tn FROM z, g GROUP BY threshold)
-SELECT threshold::double AS threshold, tp::bigint AS tp, fp::bigint AS fp, fn::bigint AS fn, tn::bigint AS tn, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, {_F1} AS f1, coalesce(fp / nullif(fp + tn, 0), 0) AS fpr, (tp + fp) / (tp + fp + tn + fn) AS alarm_rate FROM c""",
-    "threshold precision recall f1 fpr alarm_rate",
-)
+SWEEP_SQL = f"""{SC}, g AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS threshold), c AS (SELECT threshold, count_if(y AND score >= threshold) AS tp, count_if(NOT y AND score >= threshold) AS fp, count_if(y AND score < threshold) AS fn, count_if(NOT y AND score < threshold) AS tn FROM z, g GROUP BY threshold)
+SELECT threshold::double AS threshold, tp::bigint AS tp, fp::bigint AS fp, fn::bigint AS fn, tn::bigint AS tn, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, {_F1} AS f1, coalesce(fp / nullif(fp + tn, 0), 0) AS fpr, (tp + fp) / (tp + fp + tn + fn) AS alarm_rate FROM c"""
+
+
+@query(SWEEP_SQL, "threshold precision recall f1 fpr alarm_rate")
 def confusion_sweep(spark, d):
     return metrics.threshold_sweep(scored(spark, d), "y", "score", [0.2, 0.4, 0.6, 0.8])
 
@@ -262,7 +273,20 @@ def curve_choices(spark, d):
     return ranking.best_curve_points(metrics.pr_curve(scored(spark, d), "y", "score", ["sensor"]), ["sensor"])
 
 
-@query()
+_BEST_CUT = "first(cut ORDER BY 2.0 * tp / (tp + fp + pos) DESC, tp / pos DESC, cut)"
+_AT_CUT = "count_if(y AND score >= cut) AS tp, count_if(NOT y AND score >= cut) AS fp, count_if(y) AS pos"
+
+
+@query(
+    f"""{SC}, v AS (SELECT * FROM z WHERE event_id % 2 = 0),
+o AS (SELECT sensor, {_BEST_CUT} AS own FROM (SELECT sensor, cut, {_AT_CUT} FROM v JOIN (SELECT DISTINCT sensor, score AS cut FROM v) USING (sensor) GROUP BY sensor, cut)
+  WHERE sensor IN (SELECT sensor FROM v GROUP BY sensor HAVING count(*) >= 100 AND count_if(y) >= 10 AND count_if(NOT y) >= 10) GROUP BY sensor),
+a AS (SELECT {_BEST_CUT} AS overall FROM (SELECT cut, {_AT_CUT} FROM v, (SELECT DISTINCT score AS cut FROM v) GROUP BY cut)),
+t AS (SELECT sensor, y, score, coalesce(own, overall) AS cut FROM z LEFT JOIN o USING (sensor), a WHERE event_id % 2 = 1),
+c AS (SELECT sensor, max(cut) AS threshold, count_if(y AND score >= cut) AS tp, count_if(NOT y AND score >= cut) AS fp, count_if(y AND score < cut) AS fn, count_if(NOT y AND score < cut) AS tn FROM t GROUP BY sensor)
+SELECT sensor, threshold, tp::bigint AS tp, fp::bigint AS fp, fn::bigint AS fn, tn::bigint AS tn, {_F1} AS f1 FROM c""",
+    "threshold f1",
+)
 def group_thresholds(spark, d):
     rows = scored(spark, d)
     return metrics.group_thresholds(rows, "y", "score", "sensor", F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1, 100, 10)
@@ -346,7 +370,10 @@ def gated_index_pair(spark, d):
     return metrics.gated_index(sweep, F.col("clear_bad") <= 0.3, parts, "gated")
 
 
-@query()
+@query(
+    f"""SELECT *, CASE WHEN recall >= 0.3 THEN 100 * (0.40 * precision + 0.25 * recall + 0.20 * (1 - fpr) + 0.15 * alarm_rate) ELSE 0 END AS gated FROM ({SWEEP_SQL})""",
+    "threshold precision recall f1 fpr alarm_rate gated",
+)
 def gated_index_single(spark, d):
     sweep = metrics.threshold_sweep(scored(spark, d), "y", "score", [0.2, 0.4, 0.6, 0.8])
     parts = {"center": (0.40, F.col("precision")), "lift": (0.25, F.col("recall")), "safety": (0.20, 1 - F.col("fpr")), "coverage": (0.15, F.col("alarm_rate"))}
@@ -363,7 +390,12 @@ def deployability(spark, d):
     return metrics.deployability(f, "sensor", "score", "gate")
 
 
-@query()
+@query(
+    f"""{CURVE}, k AS (SELECT sensor, y, score, {_R} AS r FROM z), a AS (SELECT sensor, count(score) / count(*) AS valid_ratio, corr(score, y::int) AS corr,
+  (sum(r) FILTER (WHERE y) - count_if(y) * (count_if(y) + 1) / 2.0) / (count_if(y) * count_if(NOT y)) AS auc FROM k GROUP BY sensor)
+SELECT sensor AS feature, valid_ratio, corr, auc, valid_ratio * (0.7 * (2 * greatest(auc, 1 - auc) - 1) + 0.3 * abs(corr)) AS score FROM a""",
+    "valid_ratio corr auc score",
+)
 def feature_screen(spark, d):
     long = scored(spark, d).select(F.col("sensor").alias("feature"), F.col("score").alias("value"), "y")
     return metrics.feature_scores(long, "y").select("feature", "valid_ratio", "corr", "auc", "score")

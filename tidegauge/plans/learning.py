@@ -223,7 +223,12 @@ def information_ranking(spark, d):
     return slices.binned_information(rows, "feature", "value", "y")
 
 
-@query()
+@query(
+    """SELECT * FROM (VALUES ('point_low', 'point', 0.3::double, 1::bigint, 1::bigint), ('point_mid', 'point', 0.5, 1, 1), ('point_high', 'point', 0.7, 1, 1),
+ ('run2_low', 'consecutive', 0.3, 2, 1), ('run2_mid', 'consecutive', 0.5, 2, 1), ('run3_low', 'consecutive', 0.3, 3, 1), ('run3_mid', 'consecutive', 0.5, 3, 1),
+ ('2of3_mid', 'k_of_n', 0.5, 2, 3), ('3of5_mid', 'k_of_n', 0.5, 3, 5), ('ema_0.3', 'ema', 0.5, 1, 1), ('ema_0.5', 'ema', 0.5, 1, 1)) v(name, kind, "on", k, n)""",
+    '"on"',
+)
 def alarm_policy_grid(spark, d):
     return grids.grid_frame(spark, [{"name": p.name, "kind": p.kind, "on": p.on, "k": p.k, "n": p.n} for p in grids.alarm_policies(0.3, 0.5, 0.7)])
 
