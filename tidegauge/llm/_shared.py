@@ -70,6 +70,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` rows in this session, where it has Spark's default of 10,000: whole texts are long, and
+    every task holds its batch several times, in the executor's buffers and in its Python worker. Results do not depend
+    on it."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, and no other letter."""
     return F.translate(text, UPPER, LOWER)

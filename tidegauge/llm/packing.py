@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm._shared import scratch_path, written
+from tidegauge.llm._shared import scratch_path, small_text_batches, written
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -100,6 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids`` as little-endian uint32 bytes): each document's ids
     plus the end id, cut into pieces of ``max_tokens`` where longer."""
     spark = docs.sparkSession
+    small_text_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())  # a fixed vocabulary file, 1.7 MB
 

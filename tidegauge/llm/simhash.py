@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm._shared import broadcast_if_small, checkpointed, written
+from tidegauge.llm._shared import broadcast_if_small, checkpointed, small_text_batches, written
 from tidegauge.llm.components import roots
 
 BITS = 64
@@ -106,6 +106,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, code`` (the fingerprint as a signed long) per row of ``docs``."""
+    small_text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, code long")
 
@@ -361,6 +362,7 @@ def similar_groups(docs: DataFrame, blocks: int | None = None, cell_rows: int =
     fingerprint of its five-word shingles confirms them (14 bits or fewer, a similarity of about 0.8). Each group keeps
     its first key: the smallest doc_id, null after all others, then the smallest hashes of the text.
     """
+    small_text_batches(docs.sparkSession)
     rows = docs.select(*_row_key(), "text").mapInArrow(_print_batches, "no_id boolean, id long, a long, b long, codes array<long>, check long")
     prints = written(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("codes").alias("codes"), F.first("check").alias("check")), "prints")
     first = F.min(F.struct(*_KEY)).alias("first")
