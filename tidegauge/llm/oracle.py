@@ -85,10 +85,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1)::bigint AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::varchar, '')) AS x,
+             regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS ws FROM documents),
+h AS (SELECT *, len(ws) AS n, ('0x' || substr(x, 1, 8))::bigint AS h1, ('0x' || substr(x, 9, 8))::bigint AS h2,
+        ('0x' || substr(x, 17, 8))::bigint AS h3, ('0x' || substr(x, 25, 8))::bigint AS h4 FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+p AS (SELECT *, array_to_string(ws[1:a], '') AS prefix, array_to_string(ws[a + 1:b], '') AS middle, array_to_string(ws[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 ORACLE = {
     "op1_license_scan": license_sql(),
     "op3_url_filter": url_sql(),
     "op5_warc": WARC_SQL,
     "op6_quality_rules": QUALITY_SQL,
     "op7_chat_format": CHAT_SQL,
+    "op11_fill_in_middle": FIM_SQL,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 from tidegauge.llm._shared import table
 from tidegauge.llm.bpe import bpe_encode
 from tidegauge.llm.chat import format_conversations, read_back
+from tidegauge.llm.fim import fill_in_middle
 from tidegauge.llm.license_scan import license_scan
 from tidegauge.llm.lzprint import lz_fingerprints
 from tidegauge.llm.packing import pack_documents
+from tidegauge.llm.periodic import periodic_runs
 from tidegauge.llm.pii import replace_entities, session_key
 from tidegauge.llm.quality import assess_documents
 from tidegauge.llm.simhash import near_duplicates
@@ -72,6 +76,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def planted_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document with a periodic tail, which a tenth of all doc_ids get."""
+    g, last = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if last or not n or doc_id is None:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a : a + p] * (-(-(n - a) // p)))[: n - a]]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), planted_tail)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,5 +108,7 @@ QUERIES = {
         op8_lz_fingerprint,
         op9_pii_surrogates,
         op10_byte_bpe,
+        op11_fill_in_middle,
+        op12_periodic_runs,
     )
 }
