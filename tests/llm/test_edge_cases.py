@@ -4,7 +4,7 @@ import public_tokenizers as tok
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, fim, license_scan, lzprint, packing, periodic, pii, quality, simhash, url_rules, warc
+from tidegauge.llm import bpe, chat, fim, license_scan, lzprint, mixing, packing, periodic, pii, quality, simhash, url_rules, warc
 from tidegauge.llm.queries import RANKS, WORD_BPE
 
 LONG = "The quick brown fox, jumps over 12 lazy dogs. " * 4000
@@ -29,6 +29,7 @@ OPERATORS = {
     "pii": lambda d: pii.replace_entities(d, "k"),
     "bpe": lambda d: bpe.bpe_encode(d, RANKS, tok.PATTERN),
     "fim": lambda d: fim.fill_in_middle(d),
+    "mixing": lambda d: mixing.score_documents(d),
     "periodic": lambda d: periodic.periodic_runs(d),
     "quality_filter": lambda d: quality.quality_filter(d),
     "drop_near": lambda d: simhash.drop_near_duplicates(d),
@@ -40,7 +41,7 @@ def test_empty_table(docs, name):
     assert OPERATORS[name](docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["license", "simhash", "quality", "lz", "pii", "bpe", "fim", "periodic"])
+@pytest.mark.parametrize("name", ["license", "simhash", "quality", "lz", "pii", "bpe", "fim", "periodic", "mixing"])
 def test_one_row_per_row(docs, name):
     assert OPERATORS[name](docs).count() == len(TEXTS) + 1
 

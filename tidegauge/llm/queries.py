@@ -14,6 +14,7 @@ from tidegauge.llm.chat import format_conversations, read_back
 from tidegauge.llm.fim import fill_in_middle
 from tidegauge.llm.license_scan import license_scan
 from tidegauge.llm.lzprint import lz_fingerprints
+from tidegauge.llm.mixing import score_documents
 from tidegauge.llm.packing import pack_documents
 from tidegauge.llm.periodic import periodic_runs
 from tidegauge.llm.pii import replace_entities, session_key
@@ -95,6 +96,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), planted_tail)
 
 
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -110,5 +115,6 @@ QUERIES = {
         op10_byte_bpe,
         op11_fill_in_middle,
         op12_periodic_runs,
+        op13_context_mixing,
     )
 }
