@@ -275,13 +275,6 @@ def test_folds_carry_their_state_over_pieces(spark, width):
     assert series.ewma(df.limit(0), ["sensor"], 0.25).collect() == []
 
 
-def test_queries_in_blocks_find_the_same_neighbours(spark):
-    df = spark.range(400).select("id", F.array((F.col("id") * 37 % 101).cast("double"), (F.col("id") * 53 % 89).cast("double")).alias("z"))
-    asked = df.where("id % 3 = 0")
-    whole, parted = (sorted(map(tuple, retrieval.neighbours(asked, df, 4, block_rows=n).collect())) for n in (1000, 20))
-    assert whole == parted and len(whole) == 4 * 134
-
-
 def test_score_curve_over_ranges(spark):
     rows = [(g, (i * 37 % 211) / 211.0, (i * 7919) % 10 > 6) for g in (None, "a", "b") for i in range(300)] + [("c", 0.5, True), ("c", None, False), ("c", float("nan"), False)]
     df = spark.createDataFrame(rows, "g string, s double, y boolean")

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.functions.timeline import DAY
 from tidegauge.operators.aggregates import robust_reference
+from tidegauge.operators.cells import build_index, nearest
 from tidegauge.operators.columns import to_long
+from tidegauge.operators.huber import local_boosting
 from tidegauge.operators.metrics import ranked_metrics, safe
 from tidegauge.operators.ranking import choose
-from tidegauge.operators.retrieval import query_blocks
 
 
 def robust_vectors(df: DataFrame, reference: DataFrame, key: list[str], features: Sequence[str]) -> DataFrame:
@@ -25,45 +27,72 @@ def robust_vectors(df: DataFrame, reference: DataFrame, key: list[str], features
     return listed.select(*key, F.transform("_l", lambda x: x["z"]).alias("z"))
 
 
-def delayed_neighbours(queries: DataFrame, library: DataFrame, features: Sequence[str], k: int, delay: int, half_life_days: float, min_rows: int, fallback: Column) -> DataFrame:
+def delayed_neighbours(
+    queries: DataFrame, library: DataFrame, features: Sequence[str], k: int, delay: int, half_life_days: float, min_rows: int, fallback: Column,
+    model_weight: float | None = None, trees: int = 60, blocked: Sequence[str] = (),
+) -> DataFrame:
     """``id, estimate, effective_n, neighbours, route`` per query (``id, t``, features): the weighted outcome ``y`` of the ``k`` nearest
     library rows whose outcome is known ``delay`` before the query. Distance is the median of |z-differences|; weights are
-    exp(-d / median d) x exp(-age / half life). With fewer than ``min_rows`` known rows the fallback score answers.
+    exp(-d / median d) x exp(-age / half life). With fewer than ``min_rows`` known rows the fallback score answers. Library rows
+    whose ``month`` is ``blocked`` are never known.
 
-    The queries are a stated set that is broadcast in blocks of a checked size; each task keeps its own best ``k`` per query
-    before the shuffle.
+    With ``model_weight`` three columns follow: ``local_model`` (boosted trees with a Huber loss on the neighbours, cut to 0..1),
+    ``local_mean`` (the estimate, cut alike) and ``local_blend`` (their mean by that weight).
+
+    The library is indexed by cells and time (``cells``); a query visits only slices that begin ``delay`` before it and whose
+    bound does not exceed its k-th distance.
     """
-    ref = robust_reference(to_long(library, ["id"], list(features)))
-    q = robust_vectors(queries, ref, ["id", "t"], features).select(F.col("id").alias("query_id"), F.col("t").alias("query_t"), F.col("z").alias("_q"))
-    cases = robust_vectors(library, ref, ["id", "t", "y"], features)
-    gaps = F.array_sort(F.zip_with("z", "_q", lambda a, b: F.abs(a - b)))
-    n = F.size(gaps)
-    median = (F.get(gaps, F.floor((n - 1) / 2).cast("int")) + F.get(gaps, F.floor(n / 2).cast("int"))) / 2
-
-    def nearest(block: DataFrame) -> DataFrame:
-        known = cases.join(F.broadcast(block), (F.col("t") <= F.col("query_t") - delay) & (F.col("id") != F.col("query_id")))
-        scored = known.select("query_id", F.col("id").alias("case_id"), "y", ((F.col("query_t") - F.col("t")) / F.lit(float(DAY))).alias("age"), median.alias("d"))
-        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "case_id"))).where(F.col("rank") <= k)
-
-    near = reduce(DataFrame.union, map(nearest, query_blocks(q)))
-    med = F.percentile("d", F.lit(0.5)).over(Window.partitionBy("query_id"))
-    w = F.exp(-F.col("d") / F.greatest(F.col("m"), F.lit(1e-9))) * F.exp(-F.col("age") / half_life_days)
-    blended = near.withColumn("m", med).withColumn("w", w).groupBy("query_id").agg(
+    known = library.where(~F.col("month").isin(list(blocked))) if blocked else library
+    ref = robust_reference(to_long(known, ["id"], list(features)))
+    q = robust_vectors(queries, ref, ["id", "t"], features)
+    index = build_index(robust_vectors(known, ref, ["id", "t", "y"], features), "median")
+    near = nearest(q, index, k, delay, with_z=model_weight is not None)
+    day = F.lit(float(DAY))
+    near = near.join(q.select(F.col("id").alias("query_id"), F.col("t").alias("query_t"), F.col("z").alias("query_z")), "query_id")
+    med = F.percentile("distance", F.lit(0.5)).over(Window.partitionBy("query_id"))
+    age = F.greatest((F.col("query_t") - F.col("t")) / day, F.lit(0.0))
+    w = F.exp(-F.col("distance") / F.greatest(F.col("m"), F.lit(1e-6))) * F.exp(-age / max(half_life_days, 1.0))
+    weighed = near.withColumn("m", med).withColumn("w", w)
+    blended = weighed.groupBy("query_id").agg(
         F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")).alias("_e"),
         F.try_divide(F.pow(F.sum("w"), F.lit(2.0)), F.sum(F.col("w") * F.col("w"))).alias("effective_n"),
         F.count(F.lit(1)).alias("neighbours"),
     )
-    out = queries.join(blended, queries["id"] == blended["query_id"], "left")
     enough = F.coalesce(F.col("neighbours"), F.lit(0)) >= min_rows
+    cut = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    local = []
+    if model_weight is not None:
+        blended = blended.join(_boosted(weighed, trees, min_rows), "query_id", "left")
+        model, mean = cut(F.col("_b")), cut(F.col("_e"))
+        local = [
+            F.when(enough, model).otherwise(fallback).alias("local_model"),
+            F.when(enough, mean).otherwise(fallback).alias("local_mean"),
+            F.when(enough, cut(model_weight * model + (1 - model_weight) * mean)).otherwise(fallback).alias("local_blend"),
+        ]
+    out = queries.join(blended, queries["id"] == blended["query_id"], "left")
     return out.select(
         "id",
         F.when(enough, F.col("_e")).otherwise(fallback).alias("estimate"),
         "effective_n",
         F.coalesce("neighbours", F.lit(0)).alias("neighbours"),
         F.when(enough, "local").otherwise("static").alias("route"),
+        *local,
     )
 
 
+def _boosted(weighed: DataFrame, trees: int, min_rows: int) -> DataFrame:
+    """``query_id, _b``: the local model at each query with ``min_rows`` neighbours; a group is one query's at most ``k`` rows."""
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) < min_rows:
+            return pd.DataFrame({"query_id": [], "_b": []}).astype({"query_id": "int64", "_b": "float64"})
+        g = g.sort_values("rank")
+        value = local_boosting(np.stack(g["z"].to_list()), g["y"].to_numpy(), g["w"].to_numpy(), np.asarray(g["query_z"].iloc[0]), trees)
+        return pd.DataFrame({"query_id": g["query_id"].head(1), "_b": [value]})
+
+    return weighed.select("query_id", "rank", "y", "w", "z", "query_z").groupBy("query_id").applyInPandas(fit, "query_id long, _b double")
+
+
 def fusion_weights(df: DataFrame, a: str, b: str, actual: str, weights: Sequence[float]) -> DataFrame:
     """Brier score of ``w a + (1 - w) b`` per fixed weight, best first column-wise: one aggregate over the rows, no copies of them."""
     y = F.col(actual).cast("double")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegauge.operators.cells import SLICE_ROWS, build_index, nearest
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -26,34 +26,11 @@ def scaled_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return filled.crossJoin(F.broadcast(moments)).select(*df.columns, z.alias("z"))
 
 
-#: Queries that one broadcast holds; a larger set is asked block by block.
-QUERY_ROWS = 65_536
-
-
-def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> list[DataFrame]:
-    """``queries`` by ``query_id`` in as many blocks as it takes for a block to have about ``rows`` rows, counted first."""
-    n = math.ceil(queries.count() / rows)
-    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
-
-
-def neighbours(queries: DataFrame, cases: DataFrame, k: int, exclude_self: bool = True, block_rows: int = QUERY_ROWS) -> DataFrame:
-    """``query_id, case_id, distance, rank``: the ``k`` cases nearest to each of a stated set of queries.
-
-    Each task holds a broadcast block of the queries, of a checked size, against its own part of the cases and keeps
-    their k best before anything is shuffled, so what moves is k rows per query and task.
-    """
-    asked = queries.select(F.col("id").alias("query_id"), F.col("z").alias("_q"))
-    own = cases.select(F.col("id").alias("case_id"), "z")
-    w = Window.partitionBy("query_id").orderBy("distance", "case_id")
-
-    def nearest(q: DataFrame) -> DataFrame:
-        pairs = own.crossJoin(F.broadcast(q))
-        if exclude_self:
-            pairs = pairs.where(F.col("case_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "case_id", F.sqrt(squared_distance(F.col("z"), F.col("_q"))).alias("distance"))
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    return reduce(DataFrame.union, map(nearest, query_blocks(asked, block_rows)))
+def neighbours(queries: DataFrame, cases: DataFrame, k: int, exclude_self: bool = True, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``query_id, case_id, distance, rank``: the ``k`` cases nearest to each of a stated set of queries, by an exact index over
+    the cases; both sides have ``id, z``."""
+    index = build_index(cases.select("id", "z"), "euclidean", slice_rows)
+    return nearest(queries.select("id", "z"), index, k, exclude_self=exclude_self).select("query_id", "case_id", "distance", "rank")
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame) -> DataFrame:

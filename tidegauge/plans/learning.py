@@ -353,13 +353,46 @@ def overfit_flags(spark, d):
     return metrics.overfit(f, "sensor")
 
 
-@query()
+CASES = f"""{EV}, c AS (SELECT s.sample_id AS id, s.t, (s.value > 60)::int::double AS y, avg(r.value) AS mean, max(r.value) AS max, count(r.value)::double AS count
+FROM s JOIN r ON r.t BETWEEN s.t - {2 * 3_600_000_000} AND s.t GROUP BY ALL)"""
+DELAYED = f"""{CASES}, l AS (UNPIVOT c ON mean, max, count INTO NAME f VALUE v), m AS (SELECT f, quantile_cont(v, 0.5) AS med, stddev_pop(v) AS sd FROM l GROUP BY f),
+a AS (SELECT f, any_value(med) AS med, any_value(sd) AS sd, quantile_cont(abs(v - med), 0.5) AS mad FROM l JOIN m USING (f) GROUP BY f),
+z AS (SELECT id, t, y, list((v - med) / CASE WHEN mad > 0 THEN 1.4826 * mad WHEN sd > 0 THEN sd ELSE 1 END ORDER BY f) AS z FROM l JOIN a USING (f) GROUP BY id, t, y),
+p AS (SELECT q.id AS query_id, k.id AS case_id, k.y, (q.t - k.t) / {float(DAY)} AS age, list_median(list_transform(range(1, 4), lambda i: abs(k.z[i] - q.z[i]))) AS d
+      FROM z q JOIN z k ON k.t <= q.t - {DAY} AND k.id <> q.id WHERE q.id % 100 = 0),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, case_id) AS rank FROM p) WHERE rank <= 25),
+w AS (SELECT *, exp(-d / greatest(quantile_cont(d, 0.5) OVER (PARTITION BY query_id), 1e-6)) * exp(-greatest(age, 0) / 10.0) AS w FROM n),
+b AS (SELECT query_id, sum(w * y) / sum(w) AS e, pow(sum(w), 2) / sum(w * w) AS effective_n, count(*) AS neighbours FROM w GROUP BY query_id)"""
+
+
+@query(
+    f"""{DELAYED} SELECT c.id, CASE WHEN coalesce(neighbours, 0) >= 5 THEN e ELSE 0.25 END AS estimate, effective_n, coalesce(neighbours, 0) AS neighbours,
+  CASE WHEN coalesce(neighbours, 0) >= 5 THEN 'local' ELSE 'static' END AS route FROM c LEFT JOIN b ON c.id = b.query_id WHERE c.id % 100 = 0""",
+    "estimate effective_n",
+)
 def delayed_neighbour_estimates(spark, d):
     cases = _cases(spark, d).select(F.col("sample_id").alias("id"), F.col("sample_t").alias("t"), F.col("y").cast("double").alias("y"), "mean", "max", F.col("count").cast("double").alias("count"))
     return online.delayed_neighbours(cases.where("id % 100 = 0"), cases, ["mean", "max", "count"], 25, DAY, 10.0, 5, F.lit(0.25))
 
 
-@query()
+@query(
+    f"""{CASES}, m AS (SELECT quantile_cont(mean, 0.5) AS m1, quantile_cont(max, 0.5) AS m2 FROM c), x AS (SELECT id, y, count, coalesce(mean, m1) AS x1, coalesce(max, m2) AS x2 FROM c, m),
+f AS (SELECT avg(x1) AS a1, stddev_pop(x1) AS s1, avg(x2) AS a2, stddev_pop(x2) AS s2 FROM x),
+z AS (SELECT id, y, count, (x1 - a1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END AS z1, (x2 - a2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END AS z2 FROM x, f),
+p AS (SELECT q.id AS query_id, q.count AS actual, k.count AS control, row_number() OVER (PARTITION BY q.id ORDER BY sqrt(pow(k.z1 - q.z1, 2) + pow(k.z2 - q.z2, 2)), k.id) AS rank
+      FROM z q JOIN z k ON k.id <> q.id WHERE q.id % 100 = 0 AND k.y = 0),
+g AS (SELECT query_id, any_value(actual) AS actual, quantile_cont(control, 0.1) AS low, quantile_cont(control, 0.5) AS best, quantile_cont(control, 0.9) AS high FROM p WHERE rank <= 25 GROUP BY query_id)
+SELECT query_id, low, best, high, actual, abs(best - actual) AS error, actual BETWEEN low AND high AS covered FROM g""",
+    "low best high actual error",
+)
 def recommendation_replay(spark, d):
     cases = _cases(spark, d).select(F.col("sample_id").alias("id"), "mean", "max", F.col("count").cast("double").alias("control"), (1 - F.col("y")).alias("is_in_spec"), (F.col("sample_id") % 100 == 0).alias("replay"))
     return facade.evaluate_recommendations(cases, ["mean", "max"], "control")
+
+
+@query()
+def delayed_local_models(spark, d):
+    """Boosted local models of the neighbours, their means and blends; tests hold the trees against a plain version."""
+    cases = _cases(spark, d).select(F.col("sample_id").alias("id"), F.col("sample_t").alias("t"), F.col("y").cast("double").alias("y"), "mean", "max", F.col("count").cast("double").alias("count"))
+    found = online.delayed_neighbours(cases.where("id % 100 = 0"), cases, ["mean", "max", "count"], 25, DAY, 10.0, 5, F.lit(0.25), model_weight=0.7)
+    return found.select("id", "local_model", "local_mean", "local_blend")
