@@ -45,8 +45,8 @@ def test_base(texts, scored):
 
 
 def test_base_by_shuffle(spark, scored, monkeypatch):
-    """A head of five tokens leaves all others to the join."""
-    monkeypatch.setattr(mixing, "HEAD_TOKENS", 5)
+    """A head of forty tokens leaves all others to the join."""
+    monkeypatch.setattr(mixing, "HEAD_TOKENS", 40)
     for r in queries.op13_context_mixing(spark, SF).collect():
         own = scored[r["doc_id"]]
         assert (r["n_known"], r["score"]) == (own["n_known"], own["score"])
@@ -142,7 +142,7 @@ def model(texts):
 def test_score_bit_by_bit(texts, scored, model):
     """The distributed tables give what one pass over all training texts gives, and blocks what single bits give."""
     for i in sorted(texts)[::9]:
-        if len(texts[i]) < 3000:
+        if len(texts[i]) < 3000:  # two blocks and more
             want = plain_bits(model, texts[i].encode())
             assert scored[i]["score"] == pytest.approx(-want * math.log10(2), rel=1e-4), i
 
@@ -204,6 +204,22 @@ def test_held_out_texts_are_predicted(texts, scored):
     assert all(r["bits_per_byte"] > 0 for r in scored.values())
 
 
+def test_head_bound(spark):
+    words = spark.createDataFrame([(bytes([i]), n) for i, n in enumerate([1, 1, 1, 2, 3, 50, 51, 900])], "token binary, n long")
+    assert mixing.head_bound(words.limit(0)) == 2**63 - 1
+    for most in (1, 2, 3, 5, 8):
+        held = words.where(f"n >= {(b := _with_head(words, most))}").count()
+        assert held <= most and (held == most or b > 1)
+
+
+def _with_head(words, most):
+    was, mixing.HEAD_TOKENS = mixing.HEAD_TOKENS, most
+    try:
+        return mixing.head_bound(words)
+    finally:
+        mixing.HEAD_TOKENS = was
+
+
 def test_long_tokens_and_edges(spark):
     rows = [(i, t) for i, t in enumerate(["a b", None, "", "q" * 100 + " a", "q" * 100, "Q" * 100 + " zz", "a b"] * 3)] + [(None, "a b"), (3, "a")]
     got = mixing.score_documents(spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, score double, token string")).collect()

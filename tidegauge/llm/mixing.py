@@ -41,7 +41,7 @@ HEAD_TOKENS, TOKEN_BYTES = 1 << 18, 40
 #: Tokens that a task counts before it hands them on.
 TASK_TOKENS = 400_000
 SCALE = 12.0  # log-odds are stored in twelfths
-FIRST_BLOCK, LAST_BLOCK, RATE = 512, 4096, 3e-6
+FIRST_BLOCK, LAST_BLOCK, RATE = 1024, 8192, 3e-6
 #: Weights of a document's first block, by gate: neither the fifth order nor the word knows the context, the one, the other, both.
 START_WEIGHTS = ((0.85, 0.1, 0.1), (0.45, 0.6, 0.1), (0.6, 0.1, 0.3), (0.27, 0.62, 0.28))
 _MIX, _STIR = np.uint32(0x2C1B3C6D), np.uint32(0x9E3779B1)
@@ -57,7 +57,7 @@ def held_out(doc_id) -> bool:
 def tokens_of(raw: bytes) -> list[bytes]:
     """Lower-cased words; long ones as a blank and a digest, which no word can be."""
     words = raw.lower().split()
-    if words and len(max(words, key=len)) > TOKEN_BYTES:
+    if words and max(map(len, words)) > TOKEN_BYTES:
         words = [w if len(w) <= TOKEN_BYTES else b" " + hashlib.blake2b(w, digest_size=32).digest() for w in words]
     return words
 
@@ -87,13 +87,14 @@ class Code:
         with np.errstate(over="ignore"):
             self.stir = np.array([v for v, _ in steps], np.uint32) * _STIR
         self.turn = np.array([t for _, t in steps], np.uint8)
+        self.sign = 2 * self.turn.astype(np.float32) - 1
 
     def expand(self, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For all bits in order: the place of their symbol, and of their step in ``stir`` and ``turn``."""
         ends = np.cumsum(lengths, dtype=np.int32)
         place = np.repeat(np.arange(len(symbols), dtype=np.int32), lengths)
         step = np.arange(len(place), dtype=np.int32)
-        step += (self.offset[symbols] - (ends - lengths))[place]
+        step += (self.offset[symbols] - (ends - lengths)).take(place)
         return place, step
 
 
@@ -147,8 +148,11 @@ def contexts(sym: np.ndarray) -> list[np.ndarray]:
 
 
 def slots(context: np.ndarray, stir: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((context + stir) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)
+    """Slots as indices; ``context`` is used up."""
+    context += stir
+    context *= np.uint32(0x85EBCA6B)
+    context >>= np.uint32(32 - TABLE_BITS)
+    return context.astype(np.intp)
 
 
 N_PREDICTORS = len(ORDERS) + 1
@@ -181,8 +185,8 @@ class Tables:
             keys = keys[first]
             pair_sym = (keys & np.uint64(511)).astype(np.int32)
             place, step = self.code.expand(self.code.length[pair_sym], pair_sym)
-            at = slots((keys >> np.uint64(9)).astype(np.uint32)[place], self.code.stir[step])
-            np.add.at(counts, (at << np.uint32(1)) | self.code.turn[step], times[place])
+            at = slots((keys >> np.uint64(9)).astype(np.uint32).take(place), self.code.stir.take(step))
+            np.add.at(counts, (at << 1) | self.code.turn.take(step), times.take(place))
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         """Blocks of the tables that are not empty, packed."""
@@ -235,17 +239,15 @@ class Model:
     def _inputs(self, sym: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.where(use, self.code.length[sym], 0)
         place, step = self.code.expand(lengths, sym)
-        stir = self.code.stir[step]
+        stir = self.code.stir.take(step)
         x = np.empty((N_PREDICTORS, len(place)), np.float32)
-        gate = np.zeros(len(place), np.uint8)
+        gate = np.zeros(len(place), np.intp)
         for k, h in enumerate(contexts(sym)):
-            v = self.tables[k][slots(h[place], stir)]
+            v = self.tables[k].take(slots(h.take(place), stir))
             x[k] = v
             if k:
-                gate |= (v != 0).astype(np.uint8) << np.uint8(k - 1)
-        sign = self.code.turn[step].astype(np.float32)
-        sign += sign
-        sign -= 1
+                gate += (v != 0).view(np.uint8) * np.uint8(1 << (k - 1))
+        sign = self.code.sign.take(step)
         return x, gate, sign, np.cumsum(lengths)
 
     def _group(self, texts: list[bytes]) -> list[float]:
@@ -285,24 +287,41 @@ class Mixer:
         self.block, self.bits = FIRST_BLOCK, 0.0
 
     def run(self, x: np.ndarray, gate: np.ndarray, sign: np.ndarray) -> None:
-        a, n, total = 0, x.shape[1], 0.0
+        """Most bits have the last gate, so all are mixed by it first and the others anew."""
+        a, n, total, last = 0, x.shape[1], 0.0, self.GATES - 1
+        others, cells = np.flatnonzero(gate != last), gate * self.RANGES
         while a < n:
             b = min(n, a + self.block)
             self.block = min(2 * self.block, LAST_BLOCK)
-            part, g, y = x[:, a:b], gate[a:b], sign[a:b]
-            at = np.arange(b - a)
-            mixed = (self.weights @ part)[g, at]
-            cell = np.clip(mixed * 2 + 16, 0, self.RANGES - 1).astype(np.int32)
-            cell += g * np.int32(self.RANGES)
-            mixed += self.shift[cell]
+            part, y = x[:, a:b], sign[a:b]
+            few = others[np.searchsorted(others, a) : np.searchsorted(others, b)] - a
+            mixed = self.weights[last] @ part
+            if len(few):
+                few_gates, few_part = gate[a:b].take(few), part.take(few, axis=1)
+                mixed[few] = (self.weights.T.take(few_gates, axis=1) * few_part).sum(axis=0)
+            cell = mixed * 2
+            cell += self.RANGES / 2
+            np.maximum(cell, 0, out=cell)
+            np.minimum(cell, self.RANGES - 1, out=cell)
+            cell = cell.astype(np.intp)
+            cell += cells[a:b]
+            mixed += self.shift.take(cell)
             mixed *= y
-            wrong = np.exp(-np.clip(mixed, -20, 20))
+            np.maximum(mixed, -20, out=mixed)
+            np.negative(mixed, out=mixed)
+            wrong = np.exp(mixed, out=mixed)
             odds = wrong + 1
-            total += float(np.log(odds).sum(dtype=np.float64))
-            miss = y * (wrong / odds)
-            spread = np.zeros((self.GATES, b - a), np.float32)
-            spread[g, at] = miss
-            self.weights += RATE * (spread @ part.T)
+            miss = wrong / odds
+            miss *= y
+            total += float(np.log(odds, out=odds).sum(dtype=np.float64))
+            slope = np.zeros_like(self.weights)
+            slope[last] = part @ miss
+            if len(few):
+                spread = np.zeros((self.GATES, len(few)), np.float32)
+                spread[few_gates, np.arange(len(few))] = miss.take(few)
+                slope += spread @ few_part.T
+                slope[last] -= slope[:last].sum(axis=0)
+            self.weights += RATE * slope
             self.shift += np.bincount(cell, miss, len(self.shift)).astype(np.float32) / self.seen
             self.seen += 0.25 * np.bincount(cell, minlength=len(self.seen))
             a = b
@@ -340,6 +359,19 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(count, "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
 
 
+def head_bound(words: DataFrame) -> int:
+    """The least count of the tokens that are broadcast: all with that count or more, ``HEAD_TOKENS`` at most. Counts are
+    grouped by eighths of a power of two, so some hundred rows decide."""
+    grade = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("long")
+    held, least = 0, 2**63 - 1
+    for r in sorted(words.groupBy(grade.alias("grade")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).collect(), key=lambda r: -r["grade"]):
+        held += r["tokens"]
+        if held > HEAD_TOKENS:
+            break
+        least = r["least"]
+    return least
+
+
 def context_tables(docs: DataFrame, code: Code) -> list[np.ndarray]:
     """The predictors' tables over the training rows. What tasks send grows with the input; what arrives is 12 MB."""
     spark = docs.sparkSession
@@ -402,8 +434,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     for r in counts.where("kind = 1").collect():  # 256 rows at most
         alphabet[r["token"][0]] = r["n"]
     alphabet[END] = total.ends
-    head = {bytes(r["token"]): r["n"] for r in words.orderBy(F.desc("n"), "token").limit(HEAD_TOKENS).collect()}
-    least = min(head.values(), default=0)
+    least = head_bound(words)
+    head = {bytes(r["token"]): r["n"] for r in words.where(F.col("n") >= least).collect()}  # HEAD_TOKENS at most
     tables = context_tables(source, Code(alphabet))
     sent = spark.sparkContext.broadcast((alphabet, tables, head))
 
@@ -430,7 +462,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         scored, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<binary>"
     )
     stored = written(plain, "lm-scores")
-    rest = words.where((F.col("n") <= least) | F.lit(not head))  # none of them is more frequent than the head's last
+    rest = words.where(F.col("n") < least)
     log_p: Column = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(bottom))
     tail = (
         stored.select("row", F.explode("rare").alias("token"))
