@@ -73,3 +73,46 @@ def test_paths_of_random_trees(spark):
             path.insert(0, up[t, path[0]])
         want.add((t, n, tuple(path), sum(score[t, x] for x in path)))
     assert {(r["tree_id"], r["leaf"], tuple(r["path"]), r["score"]) for r in chat.tree_paths(messages).collect()} == want
+
+
+def test_rows_alike_in_id_and_text_leave_the_same_one(spark):
+    """Eight rows of one doc_id and text, told apart by another column: one and the same stays, however they are dealt."""
+    from tidegauge.llm.simhash import drop_near_duplicates
+
+    rows = [(1, "a text of some words that repeats", i) for i in range(8)] + [(2, "quite another text", 9)]
+    kept = set()
+    for n in (1, 3, 8):
+        df = spark.createDataFrame(rows, "doc_id long, text string, other long").repartition(n)
+        kept.add(tuple(sorted((r["doc_id"], r["other"]) for r in drop_near_duplicates(df).collect())))
+    assert len(kept) == 1 and len(kept.pop()) == 2
+
+
+def test_stored_steps_leave_the_session_as_it_was(spark):
+    from tidegauge.llm._shared import written
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    sizes = lambda batches: (b.from_arrays([b.column(0).take([0])], ["id"]) for b in batches)
+    assert written(spark.range(0, 40, 1, 1).mapInArrow(sizes, "id long"), "x", 10).count() == 4
+    assert spark.conf.get(name) == was
+    spark.conf.set(name, "7")
+    try:
+        assert written(spark.range(0, 14, 1, 1).mapInArrow(sizes, "id long"), "x", 10).count() == 2  # a user's own size stays
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, was)
+
+
+def test_bpe_memo_is_bounded_by_bytes(monkeypatch):
+    import public_tokenizers
+
+    from tidegauge.llm import bpe, queries
+
+    own = bpe.Codec(open(queries.RANKS, "rb").read(), public_tokenizers.PATTERN)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)] + ["long" * 2000]
+    want = [own.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    own.memo, own.held = {}, 0
+    for t, w in zip(texts, want, strict=True):
+        assert own.encode(t) == w and own.held <= 20_000
+        assert own.held == sum(bpe.ENTRY_BYTES + 4 * len(k) + len(v) for k, v in own.memo.items())

@@ -46,11 +46,25 @@ def clear_scratch(spark: SparkSession) -> int:
     return n
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the scratch folder and read back: later readers neither
-    compute it again nor depend on the executors that made it."""
+    compute it again nor depend on the executors that made it.
+
+    With ``batch_rows`` the write hands its Python workers so many rows at a time, where the session has Spark's default of
+    10,000: whole texts are long, and a task holds its batch several times. The setting is put back when the write ends."""
+    conf = df.sparkSession.conf
     path = scratch_path(df.sparkSession, "tables", name)
-    df.write.parquet(path)
+    lowered = batch_rows is not None and conf.get(_BATCH_ROWS) == "10000"
+    if lowered:
+        conf.set(_BATCH_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if lowered:
+            conf.set(_BATCH_ROWS, "10000")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +74,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of whole texts that a Python worker is handed at a time.
+TEXT_ROWS = 1000
 #: Bytes of rows that a broadcast may have.
 BROADCAST_BYTES = 32 << 20
 
@@ -70,17 +86,6 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows`` rows in this session, where it has Spark's default of 10,000: whole texts are long, and
-    every task holds its batch several times, in the executor's buffers and in its Python worker. Results do not depend
-    on it."""
-    if spark.conf.get(_BATCH_ROWS) == "10000":
-        spark.conf.set(_BATCH_ROWS, str(rows))
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, and no other letter."""
     return F.translate(text, UPPER, LOWER)

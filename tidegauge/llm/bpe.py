@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_TOKENS = 1_000_000
+#: Bytes that remembered pre-tokens may take in a worker, with ``ENTRY_BYTES`` for each besides its letters and ids.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 180
 _MASK = (1 << 64) - 1
 
 
@@ -100,6 +101,7 @@ class Codec:
         for key, r in ranks.items():
             self.entry[r] = key
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode_token(self, token: str) -> bytes:
         raw = token.encode()
@@ -108,14 +110,20 @@ class Codec:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. Encoded pre-tokens are remembered, ``MEMO_TOKENS`` at most."""
-        tokens, memo = self.pattern.findall(text), self.memo
-        missing = set(tokens).difference(memo)
-        if len(memo) + len(missing) > MEMO_TOKENS:
-            memo.clear()
-            missing = set(tokens)
-        for t in missing:
-            memo[t] = self._encode_token(t)
+        """Ids as little-endian unsigned 32-bit integers. Encoded pre-tokens are remembered, ``MEMO_BYTES`` at most."""
+        tokens = self.pattern.findall(text)
+        missing = set(tokens).difference(self.memo)
+        fresh = {t: self._encode_token(t) for t in missing}
+        size = sum(ENTRY_BYTES + 4 * len(t) + len(ids) for t, ids in fresh.items())
+        if self.held + size > MEMO_BYTES:
+            fresh = {t: self.memo.get(t) or self._encode_token(t) for t in set(tokens)} if self.memo else fresh
+            self.memo, self.held = {}, 0
+            size = sum(ENTRY_BYTES + 4 * len(t) + len(ids) for t, ids in fresh.items())
+        memo = fresh
+        if size <= MEMO_BYTES:  # a single text may have more different pre-tokens than that; it keeps them for itself
+            self.memo.update(fresh)
+            self.held += size
+            memo = self.memo
         return b"".join([memo[t] for t in tokens])
 
     def decode(self, ids: bytes) -> bytes:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm._shared import scratch_path, small_text_batches, written
+from tidegauge.llm._shared import TEXT_ROWS, scratch_path, written
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -100,7 +100,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids`` as little-endian uint32 bytes): each document's ids
     plus the end id, cut into pieces of ``max_tokens`` where longer."""
     spark = docs.sparkSession
-    small_text_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())  # a fixed vocabulary file, 1.7 MB
 
@@ -269,7 +268,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_T
     gives an empty result. Offsets of a sequence are gapless from 0.
     """
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, tokenizer_path, max_tokens, with_ids), "pieces")
+    pieces = written(token_pieces(docs, tokenizer_path, max_tokens, with_ids), "pieces", TEXT_ROWS)
     rows = place_lengths(pieces.groupBy("length").count(), max_tokens)
     # a few placements a length and superstep: bounded by the sequence size, not by the corpus
     by_length = rows.groupBy(F.col("size").alias("length")).agg(

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm._shared import broadcast_if_small, checkpointed, small_text_batches, written
+from tidegauge.llm._shared import TEXT_ROWS, broadcast_if_small, checkpointed, written
 from tidegauge.llm.components import roots
 
 BITS = 64
@@ -106,7 +106,6 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, code`` (the fingerprint as a signed long) per row of ``docs``."""
-    small_text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, code long")
 
@@ -315,7 +314,7 @@ def near_duplicates(docs: DataFrame, blocks: int | None = None, cell_rows: int =
     smallest doc_id that links lead to; null ids are passed over, unless a component has no other. Repeated
     rows give repeated results. ``blocks`` defaults to ``blocks_for`` the number of distinct fingerprints.
     """
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs), "fingerprints", TEXT_ROWS)
     distinct = checkpointed(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")))
     codes = distinct.select(F.col("code").alias("id"), F.lit(0).alias("print"), "code", F.lit(0).cast("long").alias("check"))
     link = roots(near_links(codes, blocks or blocks_for(distinct.count()), cell_rows))
@@ -362,9 +361,8 @@ def similar_groups(docs: DataFrame, blocks: int | None = None, cell_rows: int =
     fingerprint of its five-word shingles confirms them (14 bits or fewer, a similarity of about 0.8). Each group keeps
     its first key: the smallest doc_id, null after all others, then the smallest hashes of the text.
     """
-    small_text_batches(docs.sparkSession)
     rows = docs.select(*_row_key(), "text").mapInArrow(_print_batches, "no_id boolean, id long, a long, b long, codes array<long>, check long")
-    prints = written(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("codes").alias("codes"), F.first("check").alias("check")), "prints")
+    prints = written(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("codes").alias("codes"), F.first("check").alias("check")), "prints", TEXT_ROWS)
     first = F.min(F.struct(*_KEY)).alias("first")
     members = written(prints.groupBy("codes", "check").agg(first).withColumn("member", F.monotonically_increasing_id()), "members")
     codes = members.select(F.col("member").alias("id"), F.posexplode("codes").alias("print", "code"), "check")
@@ -379,7 +377,7 @@ def similar_groups(docs: DataFrame, blocks: int | None = None, cell_rows: int =
 def drop_near_duplicates(docs: DataFrame, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One document of each group of ``similar_groups`` stays, with the columns it came with: exactly one row, the one
     with the group's first key. Rows with one doc_id but other texts are judged apart, and so are rows with a null doc_id;
-    of rows alike in doc_id and text one stays. A null text counts as empty in similarity.
+    of rows alike in doc_id and text the one with the smallest hash of all its columns stays. A null text counts as empty in similarity.
 
     Texts are not shuffled while the keys of rows to drop fit ``broadcast_if_small``; beyond that they meet the rows by a
     sort-merge join on the key, which is spread evenly.
@@ -392,4 +390,5 @@ def drop_near_duplicates(docs: DataFrame, blocks: int | None = None, cell_rows:
     single = marked.where("chosen is null").select("row.*")
     if verdicts.where("chosen").isEmpty():
         return single
-    return single.union(marked.where("chosen").dropDuplicates(_KEY).select("row.*"))
+    alike = marked.where("chosen").groupBy(*_KEY).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.union(alike.select("row.*"))
