@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm._shared import written
+from tidegauge.llm._shared import TEXT_ROWS, written
 
 END = 256
 ORDERS = (3, 5)
@@ -35,7 +35,7 @@ BLOCK_BITS = 14
 #: Bytes of the word so far that its predictor sees.
 WORD_BYTES = 32
 #: Symbols of a window: contexts are made for so many at once, in scoring and in training.
-WINDOW, TRAIN_WINDOW = 1 << 15, 1 << 22
+WINDOW, TRAIN_WINDOW = 1 << 15, 1 << 20
 #: Tokens that are broadcast, and the bytes of the longest: longer ones are named by a digest. At most 2^18 * 49 bytes.
 HEAD_TOKENS, TOKEN_BYTES = 1 << 18, 40
 #: Tokens that a task counts before it hands them on.
@@ -426,7 +426,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = written(corpus_counts(source), "lm-counts")
+    counts = written(corpus_counts(source), "lm-counts", TEXT_ROWS)
     words = counts.where("kind = 0").select("token", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("token") == _END_TOKEN, F.col("n"))), F.lit(0)).alias("ends")).first()
     bottom = total.n + 0.1 * (total.v + 1)
@@ -461,7 +461,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     plain = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
         scored, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<binary>"
     )
-    stored = written(plain, "lm-scores")
+    stored = written(plain, "lm-scores", TEXT_ROWS)
     rest = words.where(F.col("n") < least)
     log_p: Column = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(bottom))
     tail = (
