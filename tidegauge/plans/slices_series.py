@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions.timeline import DAY, HOUR, MINUTE
-from tidegauge.operators import asof, runs, series, slices
+from tidegauge.operators import asof, moments, runs, series, slices
 from tidegauge.plans.registry import EVENTS_SQL as EV
 from tidegauge.plans.registry import events, query, samples, stream
 
@@ -17,9 +17,8 @@ SLOPE = "CASE WHEN count(*) > 1 THEN regr_slope(r.value, (r.t - s.t) / 6e7) END"
 
 @query(f"{EV} SELECT sample_id, count(*) AS n, {CORE}, {SLOPE} AS slope, any_value(s.value BETWEEN 40 AND 60) AS in_spec FROM s JOIN r ON r.t BETWEEN s.t - {H} AND s.t GROUP BY sample_id HAVING count(*) >= 3", "last mean std min max delta valid_ratio slope")
 def slice_features_60m(spark, d):
-    s = samples(spark, d)
-    joined = slices.slice_join(s.withColumn("in_spec", F.col("value").between(40, 60)), stream(spark, d), HOUR)
-    return slices.encode_slices(joined, ["sample_id", "in_spec"], ["count", *slices.CORE_STATS], 3).withColumnRenamed("count", "n")
+    s = samples(spark, d).withColumn("in_spec", F.col("value").between(40, 60))
+    return moments.encode(s, stream(spark, d), HOUR, ["sample_id", "in_spec"], ["count", *slices.CORE_STATS], 3).withColumnRenamed("count", "n")
 
 
 @query(f"{EV} SELECT sample_id, {CORE}, coalesce({SLOPE}, 0) AS slope FROM s JOIN r ON r.t BETWEEN s.t - {H // 2} AND s.t GROUP BY sample_id", "last mean std min max delta valid_ratio slope")
@@ -52,6 +51,21 @@ def multiscale_windows(spark, d):
     return slices.multi_window(samples(spark, d), stream(spark, d), [15, 60, 180], ["mean", "count"])
 
 
+@query(
+    f"""{EV}, y AS (SELECT sample_id, l.lag, max(r.t) AS e FROM s, (VALUES (0), (60)) l(lag) JOIN r ON r.t BETWEEN s.t - l.lag * 60000000::bigint - 600000000 AND s.t - l.lag * 60000000::bigint GROUP BY ALL),
+j AS (SELECT y.sample_id, y.lag, w.w AS "window", r.sensor, r.value FROM y, (VALUES (30), (120)) w(w) JOIN r ON r.t > y.e - w.w * 60000000::bigint AND r.t <= y.e),
+n AS (SELECT sample_id, lag, "window", count(*) AS whole FROM j GROUP BY ALL),
+g AS (SELECT sample_id, lag, "window", sensor, count(value) AS n, avg(value) AS mean, var_pop(value) AS var, stddev_pop(value) AS std, min(value) AS min, max(value) AS max,
+  max(value) - min(value) AS range, stddev_pop(value) / nullif(abs(avg(value)), 0) AS cv, quantile_cont(value, 0.5) AS median FROM j GROUP BY ALL)
+SELECT g.* , 1 - n / whole AS missing_rate,
+  max(CASE WHEN "window" = 30 THEN mean END) OVER p - max(CASE WHEN "window" = 120 THEN mean END) OVER p AS drift
+FROM g JOIN n USING (sample_id, lag, "window") WINDOW p AS (PARTITION BY sample_id, lag, sensor)""",
+    "mean var std min max range cv median missing_rate drift",
+)
+def window_lag_grid(spark, d):
+    return moments.window_lag_grid(samples(spark, d), stream(spark, d), [30, 120], [0, 60], 10 * MINUTE, ["sensor"])
+
+
 SLICE2H = f"{EV}, j AS (SELECT sample_id, s.t AS sample_t, r.* EXCLUDE (unit) FROM s JOIN r ON r.t BETWEEN s.t - {2 * H} AND s.t)"
 
 
