@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegauge.operators.selection import exact_quantiles, running_totals
+from tidegauge.sources.scratch import stored
+
 
 def first_non_null(df: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
     """Per key and column the first value that is not null, by ``order``."""
@@ -30,9 +35,22 @@ def repeat_stats(df: DataFrame, key: str, target: str, tag: str, context: list[s
     )
 
 
-def range_summary(value: Column) -> list[Column]:
-    q = F.percentile(value, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    return [F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))] + [F.min(value).alias("min"), F.max(value).alias("max")]
+def range_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Five quantiles, least and greatest value per group."""
+    names = ("p10", "p25", "median", "p75", "p90")
+    ends = df.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"))
+    return joined_quantiles(ends, df, by, value, (0.1, 0.25, 0.5, 0.75, 0.9), names)
+
+
+def joined_quantiles(table: DataFrame, df: DataFrame, by: list[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """``table`` (a row for each group) with exact quantiles of ``df``'s values; NULL for a group without any."""
+    found = exact_quantiles(df, by, value, probs, names).withColumnsRenamed({c: f"_q_{c}" for c in by})
+    if not by:
+        return table.crossJoin(F.broadcast(found))  # a row each
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return table.join(found, on, "left").drop(*[f"_q_{c}" for c in by])
 
 
 def row_stats(columns: list[str]) -> dict[str, Column]:
@@ -74,20 +92,21 @@ def group_shifts(long: DataFrame, group: str, k: int, name: str = "feature", val
 
 def roll_up_scores(scores: DataFrame, part: str, score: str = "score", name: str = "feature") -> DataFrame:
     """Feature scores rolled up to sensors or statistics: count, best feature, max, mean, median."""
-    return scores.groupBy(part).agg(
+    table = scores.groupBy(part).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.struct(F.col(score), F.col(name)))[name].alias("best"),
         F.max(score).alias("max_score"),
         F.avg(score).alias("mean_score"),
-        F.percentile(score, F.lit(0.5)).alias("median_score"),
     )
+    return joined_quantiles(table, scores, [part], score, [0.5], ["median_score"])
 
 
 def average_rank(df: DataFrame, part: list[str], value: str, out: str) -> DataFrame:
-    """Average rank of ``value`` within ``part`` (ties share it). Values are counted first, so ties never meet in a list."""
+    """Average rank of ``value`` within ``part`` (ties share it). Values are counted first, so ties never meet in a list, and summed
+    in ranges, so no task orders all of them."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counted.withColumn("_r", before + (F.col("_n") + 1) / 2).select(*[F.col(p).alias(f"_k{i}") for i, p in enumerate(part)], F.col(value).alias("_v"), "_r")
+    placed = running_totals(counted, part, value, ["_n"]).withColumn("_r", F.col("_n_before") + (F.col("_n") + 1) / 2)
+    ranks = placed.select(*[F.col(p).alias(f"_k{i}") for i, p in enumerate(part)], F.col(value).alias("_v"), "_r")
     match = F.col(value) == F.col("_v")
     for i, p in enumerate(part):
         match = match & F.col(p).eqNullSafe(F.col(f"_k{i}"))
@@ -114,8 +133,7 @@ def stability(splits: DataFrame, feature: str = "feature", split: str = "split",
 def interarrival(df: DataFrame, by: list[str], t: str = "t") -> DataFrame:
     """Median, p10 and p90 of the gaps (minutes) between a key's rows."""
     gap = (F.col(t) - F.lag(t).over(Window.partitionBy(*by).orderBy(t))) / F.lit(60e6)
-    q = F.percentile("gap", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return df.select(*by, gap.alias("gap")).groupBy(*by).agg(*[F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("p10", "median", "p90"))])
+    return exact_quantiles(df.select(*by, gap.alias("gap")), by, "gap", [0.1, 0.5, 0.9], ["p10", "median", "p90"])
 
 
 def weighted_shares(df: DataFrame, keys: list[str], period: str, weight: str, n: int) -> DataFrame:
@@ -136,36 +154,40 @@ def period_shares(shares: Column, now: Column, before: Column) -> dict[str, Colu
 
 def robust_reference(long: DataFrame, name: str = "feature", value: str = "value") -> DataFrame:
     """Median and MAD per feature, with the std and then 1 as fallback scales."""
-    med = long.groupBy(name).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std"))
-    dev = long.join(F.broadcast(med), name).groupBy(name).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    med = joined_quantiles(long.groupBy(name).agg(F.stddev_pop(value).alias("std")), long, [name], value, [0.5], ["median"])
+    med = stored(med, "medians")
+    off = long.join(med.select(name, "median"), name).select(name, F.abs(F.col(value) - F.col("median")).alias("off"))
     scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).when(F.col("std") > 0, F.col("std")).otherwise(1.0)
-    return med.join(dev, name).select(name, "median", "mad", scale.alias("scale"))
+    return joined_quantiles(med, off, [name], "off", [0.5], ["mad"]).select(name, "median", "mad", scale.alias("scale"))
 
 
 def shift_scores(long: DataFrame, reference: DataFrame, key: str, name: str = "feature", value: str = "value", cap: float = 20.0) -> DataFrame:
     """Per row the median of |robust z| over its features, capped; the reference has a row per feature."""
-    z = F.least(F.abs(F.col(value) - F.col("median")) / F.col("scale"), F.lit(cap))
-    return long.join(F.broadcast(reference), name).groupBy(key).agg(F.percentile(z, F.lit(0.5)).alias("shift"))
+    z = F.least(F.abs(F.col(value) - F.col("median")) / F.col("scale"), F.lit(cap)).alias("shift")
+    return exact_quantiles(long.join(reference, name).select(key, z), [key], "shift", [0.5], ["shift"])
 
 
 def drift_flags(scored: DataFrame, calibration: Column, period: str, score: str = "shift") -> DataFrame:
-    """Rows with the calibration part's p90 and p95, the period's median score, and ``confidence``."""
-    q = F.percentile(F.when(calibration, F.col(score)), F.array(F.lit(0.9), F.lit(0.95)))
-    cuts = scored.agg(q.alias("_q")).select(F.get("_q", F.lit(0)).alias("p90"), F.get("_q", F.lit(1)).alias("p95"))
-    by = scored.groupBy(period).agg(F.percentile(score, F.lit(0.5)).alias("period_median"))
+    """Rows with the calibration part's p90 and p95, the period's median score, and ``confidence``. Where no calibration row has a
+    score the two are null and every row is of high confidence."""
+    cuts = exact_quantiles(scored.where(calibration), [], score, [0.9, 0.95], ["p90", "p95"])
+    cuts = cuts.agg(F.max("p90").alias("p90"), F.max("p95").alias("p95"))  # one row, whatever there is
+    by = exact_quantiles(scored, [period], score, [0.5], ["period_median"])
     level = F.when(F.col(score) >= F.col("p95"), "low").when(F.col(score) >= F.col("p90"), "medium").otherwise("high")
-    return scored.join(F.broadcast(by), period).crossJoin(F.broadcast(cuts)).withColumn("confidence", level)
+    return scored.join(by, period).crossJoin(F.broadcast(cuts)).withColumn("confidence", level)
 
 
 def accuracy_summary(df: DataFrame, group: list[str], error: str, covered: str) -> DataFrame:
-    return df.groupBy(*group).agg(
+    table = df.groupBy(*group).agg(
         F.count(error).alias("n"),
         F.avg(F.abs(error)).alias("mae"),
-        F.percentile(F.abs(error), F.lit(0.5)).alias("median_error"),
-        F.percentile(F.abs(error), F.lit(0.9)).alias("p90_error"),
         F.max(F.abs(error)).alias("max_error"),
         F.avg(F.col(covered).cast("int")).alias("coverage"),
     )
+    sizes = df.select(*group, F.abs(error).alias("_e"))
+    return joined_quantiles(table, sizes, group, "_e", [0.5, 0.9], ["median_error", "p90_error"]).select(
+        *group, "n", "mae", "median_error", "p90_error", "max_error", "coverage"
+    )
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:

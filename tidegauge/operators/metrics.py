@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.operators.aggregates import average_rank
+from tidegauge.operators.selection import ranked_values, running_totals
 
 
 def safe(a: Column, b: Column) -> Column:
@@ -55,32 +55,14 @@ def threshold_sweep(df: DataFrame, actual: str, score: str, thresholds: Sequence
     )
 
 
-#: Ranges of score that a curve is summed in.
-CURVE_RANGES = 64
-
-
 def score_curve(df: DataFrame, actual: str, score: str, part: list[str] | None = None) -> DataFrame:
-    """Cumulative true and false positives at every distinct score, highest first.
-
-    Distinct scores are summed in ranges between approximate quantiles, and each range starts from the totals of those
-    above it, so no task orders all of them.
-    """
+    """Cumulative true and false positives at every distinct score, highest first; distinct scores are summed in ranges
+    (``selection.running_totals``), so no task orders all of them."""
     part = part or []
     counted = df.where(F.col(score).isNotNull()).groupBy(*part, score).agg(F.count_if(actual).alias("_p"), F.count_if(~F.col(actual)).alias("_n"))
-    cuts = counted.agg(F.percentile_approx(score, [i / CURVE_RANGES for i in range(1, CURVE_RANGES)]).alias("_c"))
-    placed = counted.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_c", lambda c: c < F.col(score)))).drop("_c")
-    above, full = Window.partitionBy(*part).orderBy(F.col("_b").desc()), Window.partitionBy(*part)
-    sums = placed.groupBy(*part, "_b").agg(F.sum("_p").alias("_sp"), F.sum("_n").alias("_sn"))
-    carried = sums.select(
-        *[F.col(c).alias(f"_k_{c}") for c in part], F.col("_b").alias("_r"),
-        (F.sum("_sp").over(above) - F.col("_sp")).alias("_tp"), (F.sum("_sn").over(above) - F.col("_sn")).alias("_fp"),
-        F.sum("_sp").over(full).alias("pos"), F.sum("_sn").over(full).alias("neg"),
-    )
-    w = Window.partitionBy(*part, "_b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumns({"tp": F.sum("_p").over(w), "fp": F.sum("_n").over(w)})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part], F.col("_b") == F.col("_r"))
-    return summed.join(carried, same).select(
-        *part, score, "_p", "_n", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "pos", "neg"
+    placed = running_totals(counted, part, score, ["_p", "_n"], descending=True)
+    return placed.select(
+        *part, score, "_p", "_n", (F.col("_p_before") + F.col("_p")).alias("tp"), (F.col("_n_before") + F.col("_n")).alias("fp"), F.col("_p_all").alias("pos"), F.col("_n_all").alias("neg")
     )
 
 
@@ -281,13 +263,10 @@ def acceptance(summary: DataFrame, limits: dict[str, tuple[str, float]]) -> Data
 
 
 def conformal_quantile(scores: DataFrame, score: str, alpha: float, part: list[str] | None = None, min_rows: int = 1) -> DataFrame:
-    """The ceil((n + 1)(1 - alpha))-th smallest score per part (the largest where that passes n). Equal scores are counted first."""
-    part = part or []
-    counted = scores.groupBy(*part, score).agg(F.count(F.lit(1)).alias("c"))
-    full = Window.partitionBy(*part)
-    upto, n = F.sum("c").over(full.orderBy(score)), F.sum("c").over(full)
-    hit = counted.withColumns({"upto": upto, "n": n}).withColumn("k", F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n")))
-    return hit.where((F.col("upto") >= F.col("k")) & (F.col("n") >= min_rows)).groupBy(*part).agg(F.min(score).alias("qhat"), F.max("n").alias("n"))
+    """The ceil((n + 1)(1 - alpha))-th smallest score per part (the largest where that passes n), by exact selection."""
+    last = lambda n: F.array(F.least(F.ceil((n + 1) * (1 - alpha)), n) - 1)
+    found = ranked_values(scores, part or [], score, last)
+    return found.where(F.col("n") >= min_rows).select(*(part or []), F.col("value").alias("qhat"), "n")
 
 
 def threshold_table(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

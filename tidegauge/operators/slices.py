@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.functions.timeline import MINUTE, bucket, halo
+from tidegauge.operators.selection import exact_quantiles
 
 
 def slice_join(samples: DataFrame, stream: DataFrame, width: int, lag: int | Column = 0, by: list[str] | None = None) -> DataFrame:
@@ -249,10 +250,12 @@ def time_context(samples: DataFrame, ts: str) -> DataFrame:
 
 
 def binned_information(features: DataFrame, feature: str, value: str, label: str, bins: int = 10) -> DataFrame:
-    """Mutual information (nats) of each feature's quantile bins with the label, largest first; long form, one shuffle per step."""
-    edges = features.groupBy(feature).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 10_000).alias("edges"))
-    placed = features.where(F.col(value).isNotNull()).join(F.broadcast(edges), feature)
-    counts = placed.groupBy(feature, F.size(F.filter("edges", lambda e: e < F.col(value))).alias("bin"), label).count()
+    """Mutual information (nats) of each feature's quantile bins with the label; long form. Edges are exact quantiles: a bin is the
+    number of edges below the value."""
+    names = [f"_e{i}" for i in range(1, bins)]
+    edges = exact_quantiles(features, [feature], value, [i / bins for i in range(1, bins)], names)
+    below = sum(((F.col(e) < F.col(value)).cast("int") for e in names), F.lit(0))
+    counts = features.where(F.col(value).isNotNull()).join(edges, feature).groupBy(feature, below.alias("bin"), label).count()
     part = Window.partitionBy(feature)
     p = F.col("count") / F.sum("count").over(part)
     px = F.sum("count").over(Window.partitionBy(feature, "bin")) / F.sum("count").over(part)

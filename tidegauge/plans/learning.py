@@ -217,7 +217,13 @@ def isolation_scores(spark, d):
     return models.isolation_scores(rows, rows, ["l_quantity", "l_extendedprice"], "id")
 
 
-@query()
+@query(
+    f"""{SC}, q AS (SELECT sensor, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM z GROUP BY sensor),
+b AS (SELECT sensor, y, len(list_filter(edges, lambda e: e < score)) AS bin FROM z JOIN q USING (sensor)), c AS (SELECT sensor, bin, y, count(*) AS n FROM b GROUP BY ALL),
+p AS (SELECT sensor, n / sum(n) OVER s AS p, sum(n) OVER (PARTITION BY sensor, bin) / sum(n) OVER s AS px, sum(n) OVER (PARTITION BY sensor, y) / sum(n) OVER s AS py FROM c WINDOW s AS (PARTITION BY sensor))
+SELECT sensor AS feature, sum(p * ln(p / (px * py))) AS mi FROM p GROUP BY sensor""",
+    "mi",
+)
 def information_ranking(spark, d):
     rows = scored(spark, d).select(F.col("sensor").alias("feature"), F.col("score").alias("value"), "y")
     return slices.binned_information(rows, "feature", "value", "y")

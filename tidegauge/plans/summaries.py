@@ -154,7 +154,7 @@ _Q = "quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.25) AS p25, quant
 
 @query(f"{EV} SELECT sensor, {_Q} FROM e GROUP BY sensor", "p10 p25 median p75 p90 min max")
 def range_summary(spark, d):
-    return events(spark, d).groupBy("sensor").agg(*aggregates.range_summary(F.col("value")))
+    return aggregates.range_summary(events(spark, d), ["sensor"], "value")
 
 
 @query(
