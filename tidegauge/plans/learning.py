@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.timeline import DAY
 from tidegauge import facade
-from tidegauge.operators import asof, grids, metrics, models, online, ranking, retrieval, slices, splits
+from tidegauge.operators import asof, gram, grids, metrics, models, online, ranking, retrieval, slices, splits
 from tidegauge.plans.decisions import SC, scored
 from tidegauge.plans.registry import EVENTS_SQL as EV
 from tidegauge.plans.registry import events, query, read, samples, stream
@@ -402,3 +402,38 @@ def delayed_local_models(spark, d):
     cases = _cases(spark, d).select(F.col("sample_id").alias("id"), F.col("sample_t").alias("t"), F.col("y").cast("double").alias("y"), "mean", "max", F.col("count").cast("double").alias("count"))
     found = online.delayed_neighbours(cases.where("id % 100 = 0"), cases, ["mean", "max", "count"], 25, DAY, 10.0, 5, F.lit(0.25), model_weight=0.7)
     return found.select("id", "local_model", "local_mean", "local_blend")
+
+
+LAG_ROWS = f"""{EV}, d AS ({" UNION ALL ".join(f"SELECT {m} AS lag, sample_id, t, value AS y, v AS x1, (t % {DAY}) / {float(DAY)} AS x2 FROM (SELECT a.sample_id, a.value, a.t, CASE WHEN a.at - r.t <= 600000000 THEN r.v END AS v FROM (SELECT sample_id, value, t, t - {m} * 60000000::bigint AS at FROM s) a ASOF LEFT JOIN (SELECT t, value AS v FROM r) r ON a.at >= r.t)" for m in (0, 30, 60))}),
+p AS (SELECT *, row_number() OVER (PARTITION BY lag ORDER BY t, sample_id) - 1 AS pos, count(*) OVER (PARTITION BY lag) AS n FROM d WHERE x1 IS NOT NULL),
+o AS (SELECT DISTINCT lag, i AS outer_fold, 0 AS inner_fold, n - (5 - i + 1) * (n // 6) AS first, n - (5 - i) * (n // 6) AS last FROM p, range(1, 6) x(i))"""
+#: Two standardised features: the normal equations are two by two.
+_FITTED = """c AS (SELECT f.lag, outer_fold, inner_fold, first, last, count(*) AS m, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
+  corr(x1, x2) AS r, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM f JOIN p ON p.lag = f.lag AND p.pos < f.first GROUP BY ALL),
+w AS (SELECT *, m * ((m + 1) * c1 / s1 - m * r * c2 / s2) / ((m + 1) * (m + 1) - m * r * m * r) / s1 AS w1, m * ((m + 1) * c2 / s2 - m * r * c1 / s1) / ((m + 1) * (m + 1) - m * r * m * r) / s2 AS w2 FROM c),
+g AS (SELECT p.lag, sample_id, outer_fold, inner_fold, y, ay + w1 * (x1 - a1) + w2 * (x2 - a2) AS score FROM p JOIN w ON p.lag = w.lag AND pos >= first AND pos < last)"""
+
+
+def _lag_rows(spark, d):
+    own, at = samples(spark, d), stream(spark, d).select("t", F.col("value").alias("v"))
+    rows = [asof.asof_join(own, at, ["v"], 10 * 60_000_000, lag=m * 60_000_000).withColumn("lag", F.lit(m)) for m in (0, 30, 60)]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return both.select("lag", "sample_id", "t", F.col("value").alias("y"), F.col("v").alias("x1"), ((F.col("t") % DAY) / float(DAY)).alias("x2"))
+
+
+@query(
+    f"""{LAG_ROWS}, f AS (SELECT * FROM o), {_FITTED}, h AS (SELECT lag, outer_fold, 1 - sum(pow(y - score, 2)) / (var_pop(y) * count(*)) AS r2, avg(abs(y - score)) AS mae FROM g GROUP BY ALL)
+SELECT lag, any_value(n) AS n, avg(r2) AS r2, avg(mae) AS mae FROM h JOIN (SELECT DISTINCT lag, n FROM p) USING (lag) GROUP BY lag""",
+    "r2 mae",
+)
+def lag_ridge_scores(spark, d):
+    return gram.ridge_cv(_lag_rows(spark, d), "lag", ["x1", "x2"], "y", "sample_id", 5)
+
+
+@query(
+    f"""{LAG_ROWS}, f AS (SELECT * FROM o UNION ALL SELECT lag, outer_fold, j, first - (3 - j + 1) * (first // 4), first - (3 - j) * (first // 4) FROM o, range(1, 4) x(j)), {_FITTED}
+SELECT lag::bigint AS lag, sample_id, outer_fold::int AS "outer", inner_fold::int AS "inner", score, y AS target FROM g""",
+    "score target",
+)
+def nested_fold_scores(spark, d):
+    return gram.ridge_folds(_lag_rows(spark, d), "lag", ["x1", "x2"], "y", "sample_id", 5, 3)
