@@ -52,3 +52,20 @@ def test_hysteresis_follows_time(spark, scattered):
         want[r["event_id"]] = state[r["sensor"]] = next_state(state.get(r["sensor"], NORMAL), r["value"], 60.0, 120.0, 0.80, 0.85)
     got = registry.QUERIES["stream_hysteresis"](spark, scattered).collect()
     assert len(got) == len(want) and {r["event_id"]: r["state"] for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["stream_ordered_hysteresis", "stream_filled_steps", "stream_released_labels"])
+def test_streams_in_no_order_match_sql(spark, name):
+    """Files of rows in no order of time, each a micro-batch or all in one: the SQL over the whole table."""
+    import duckdb
+    from test_queries import SF, plain
+
+    df = registry.QUERIES[name](spark, SF)
+    names = sorted(df.columns)
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    cursor = c.execute(registry.ORACLE[name])
+    columns = [x[0] for x in cursor.description]
+    want = sorted((tuple(plain(r[columns.index(x)]) for x in names) for r in cursor.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[x]) for x in names) for r in df.collect()), key=repr) == want and want

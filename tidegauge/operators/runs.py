@@ -54,12 +54,14 @@ def k_of_n(df: DataFrame, by: list[str], flag: str, k: int, n: int, t: str = "t"
 
 
 def next_state(state: int, p: float | None, warn: float, alarm: float, warn_release: float = 0.80, alarm_release: float = 0.85) -> int:
-    """One step of the two-level hysteresis: up at a threshold at once, down below its release share; a missing score holds."""
+    """One step of the two-level hysteresis: up at a threshold at once, down below its release share; a missing score holds. An
+    alarm gives way to a warning from the warning's threshold up to its own release, and to normal below the warning's release;
+    between the warning's release and its threshold it holds."""
     if p is None or p != p:
         return state
-    if p >= alarm or (state == ALARM and p >= alarm * alarm_release):
+    if p >= alarm or (state == ALARM and (p >= alarm * alarm_release or warn * warn_release <= p < warn)):
         return ALARM
-    if p >= warn or (state in (WARNING, ALARM) and p >= warn * warn_release):
+    if p >= warn or (state == WARNING and p >= warn * warn_release):
         return WARNING
     return NORMAL
 

@@ -12,7 +12,7 @@ from tidegauge.operators import asof, gram, grids, metrics, models, online, rank
 from tidegauge.plans.decisions import SC, scored
 from tidegauge.plans.registry import EVENTS_SQL as EV
 from tidegauge.plans.registry import events, query, read, samples, stream
-from tidegauge.streaming import alarms
+from tidegauge.streaming import alarms, timed
 
 POS = f"{EV}, p AS (SELECT sample_id, unit, t, value, row_number() OVER (ORDER BY t, sample_id) - 1 AS pos, count(*) OVER () AS n FROM s)"
 
@@ -251,21 +251,24 @@ def shared_folder(spark):
     return named or "file://" + tempfile.mkdtemp()
 
 
-def _streamed(spark, d, make, key):
+def _streamed(spark, d, make, key, ahead="INTERVAL 1 DAY", scattered=False):
     """A bounded file stream of the events through ``make`` into a table, by one ``availableNow`` run.
 
-    The files are ingested in order of time, so that no row is late. A last file holds one row without a key, a day after
-    the newest event: it takes the watermark past the end of every open window, and its own window stays open.
+    The files are ingested in order of time, so that no row is late; with ``scattered`` rows are dealt to files by a hash, and come
+    in no order. A last file holds one row without a key, ``ahead`` of the newest event: it takes the watermark past the end of
+    every open window, and its own window stays open.
     """
     base = f"{shared_folder(spark)}/{key}-{abs(hash((d, key))) % 10**9}-{spark.sparkContext.startTime}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     source = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("sensor"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    source.repartitionByRange("time", "event_id").sortWithinPartitions("time", "event_id").write.parquet(f"{base}/in")
-    end = source.agg(F.max("time").alias("time")).where("time IS NOT NULL").select(F.lit(None).cast("long").alias("event_id"), (F.col("time") + F.expr("INTERVAL 1 DAY")).alias("time"))
+    dealt = source.repartition(4, F.xxhash64("event_id")) if scattered else source.repartitionByRange("time", "event_id").sortWithinPartitions("time", "event_id")
+    dealt.write.parquet(f"{base}/in")
+    end = source.agg(F.max("time").alias("time")).where("time IS NOT NULL").select(F.lit(None).cast("long").alias("event_id"), (F.col("time") + F.expr(ahead)).alias("time"))
     end.select("event_id", "time", *[F.lit(None).cast(source.schema[c].dataType).alias(c) for c in ("sensor", "value", "t")]).coalesce(1).write.parquet(f"{base}/end")
     files = alarms.in_order(spark, f"{base}/in", f"{base}/end", STREAM_BATCH)
     flow = make(alarms.file_stream(spark, f"{base}/in", source.schema.simpleString()[7:-1].replace(":", " "), files))
-    done = flow.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
-    done.awaitTermination()
+    with timed.rocksdb(spark):
+        done = flow.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
+        done.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
@@ -437,3 +440,52 @@ SELECT lag::bigint AS lag, sample_id, outer_fold::int AS "outer", inner_fold::in
 )
 def nested_fold_scores(spark, d):
     return gram.ridge_folds(_lag_rows(spark, d), "lag", ["x1", "x2"], "y", "sample_id", 5, 3)
+
+
+#: All events lie within this of each other, so that files in no order lose no row.
+WHOLE = "400 days"
+AHEAD = "INTERVAL 460 DAYS"
+_STATES = f"""{EV}, o AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY t, event_id) AS rn FROM e),
+h AS (SELECT * FROM (WITH RECURSIVE x(sensor, rn, event_id, state) AS (
+  SELECT sensor, rn, event_id, CASE WHEN value >= 120 THEN 2 WHEN value >= 60 THEN 1 ELSE 0 END FROM o WHERE rn = 1
+  UNION ALL SELECT o.sensor, o.rn, o.event_id, CASE WHEN x.state = 0 THEN CASE WHEN value >= 120 THEN 2 WHEN value >= 60 THEN 1 ELSE 0 END
+    WHEN x.state = 1 THEN CASE WHEN value >= 120 THEN 2 WHEN value < 48 THEN 0 ELSE 1 END
+    ELSE CASE WHEN value >= 102 THEN 2 WHEN value >= 60 THEN 1 WHEN value < 48 THEN 0 ELSE 2 END END
+  FROM x JOIN o ON o.sensor = x.sensor AND o.rn = x.rn + 1) SELECT * FROM x))"""
+
+
+def _rows(stream, kind):
+    return stream.select("sensor", "time", "t", "event_id", "value", kind.cast("int").alias("kind"))
+
+
+@query(f"{_STATES} SELECT sensor, event_id, state::int AS state FROM h")
+def stream_ordered_hysteresis(spark, d):
+    make = lambda s: timed.ordered_hysteresis(_rows(s, F.lit(0)), "sensor", 60.0, 120.0, DAY, WHOLE)
+    return _streamed(spark, d, make, "ordered", AHEAD, scattered=True)
+
+
+@query(
+    f"""{EV}, w AS (SELECT sensor, floor(t / 600000000)::bigint * 600000000 AS start, arg_max(value, (t, event_id)) AS value FROM e WHERE value IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, lead(start) OVER (PARTITION BY sensor ORDER BY start) AS next FROM w)
+SELECT sensor, start + k * 600000000 AS start, value, k > 0 AS filled FROM n, range(0, 4) x(k) WHERE k = 0 OR next IS NULL OR start + k * 600000000 < next"""
+)
+def stream_filled_steps(spark, d):
+    make = lambda s: timed.filled_steps(_rows(s, F.lit(0)), "sensor", 600_000_000, WHOLE, 3)
+    return _streamed(spark, d, make, "filled", AHEAD, scattered=True)
+
+
+@query(
+    f"""{EV}, k AS (SELECT *, CASE WHEN unit % 2 = 0 THEN 'even' ELSE 'odd' END AS side FROM e), q AS (SELECT * FROM k WHERE sensor = 'purchase'), l AS (SELECT * FROM k WHERE sensor = 'view' AND floor(t / {7 * DAY})::bigint % 3 <> 0)
+SELECT q.event_id, count(l.value) AS library, avg(l.value) AS mean FROM q LEFT JOIN l ON l.side = q.side AND l.t <= q.t - {DAY} AND l.t > q.t - {4 * DAY} GROUP BY q.event_id""",
+    "mean",
+)
+def stream_released_labels(spark, d):
+    side = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("side"))
+    blocked = F.floor(F.col("t") / (7 * DAY)) % 3 == 0
+    kind = F.when(F.col("sensor") == "purchase", timed.QUERY).when((F.col("sensor") == "view") & ~blocked, timed.LABEL).otherwise(timed.BLOCKED)
+
+    def make(s):
+        rows = s.withColumn("kind", kind).join(side, "event_id", "left").select("side", "time", "t", "event_id", "value", "kind")
+        return timed.released_labels(rows, "side", DAY, 3 * DAY, DAY, WHOLE)
+
+    return _streamed(spark, d, make, "released", AHEAD, scattered=True).select("event_id", "library", "mean")

@@ -436,11 +436,11 @@ def alarm_policies(spark, d):
 
 
 RECURSE = EV.replace("WITH e", "WITH RECURSIVE e") + f", n AS MATERIALIZED (SELECT sensor, event_id, value, row_number() OVER {W} AS rn FROM e)"
-_STEP = "CASE WHEN v >= 120 OR (s = 2 AND v >= 102) THEN 2 WHEN v >= 60 OR (s IN (1, 2) AND v >= 48) THEN 1 ELSE 0 END"
+_STEP = "CASE WHEN v >= 120 OR (s = 2 AND (v >= 102 OR (v >= 48 AND v < 60))) THEN 2 WHEN v >= 60 OR (s = 1 AND v >= 48) THEN 1 ELSE 0 END"
 
 
 @query(
-    f"""{RECURSE}, x AS (SELECT sensor, event_id, rn, {_STEP.replace('v >=', 'value >=').replace('s = 2', 'false').replace('s IN (1, 2)', 'false')} AS state FROM n WHERE rn = 1 UNION ALL
+    f"""{RECURSE}, x AS (SELECT sensor, event_id, rn, CASE WHEN value >= 120 THEN 2 WHEN value >= 60 THEN 1 ELSE 0 END AS state FROM n WHERE rn = 1 UNION ALL
  SELECT sensor, event_id, rn, {_STEP} FROM (SELECT n.sensor, n.event_id, n.rn, n.value AS v, x.state AS s FROM x JOIN n ON n.sensor = x.sensor AND n.rn = x.rn + 1)) SELECT event_id, state FROM x"""
 )
 def alarm_hysteresis(spark, d):
