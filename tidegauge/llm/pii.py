@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tidegauge.llm._shared import checkpointed, written
 
 _EDGE = r"(?<![\p{L}\p{N}])"
+#: A capital, and whatever letters, apostrophes and hyphens between letters follow: a name is replaced whole or not at all.
+_NAME = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
 #: Order matters: the first kind that fits a match names it.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
@@ -33,7 +35,7 @@ KINDS = {
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3} ?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|" + _EDGE + r"\(\d{3}\) \d{3}-\d{4}(?!\d)",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "name": _EDGE + r"(?:Mrs?\.|Ms\.|Herr|Frau|Mme\.?|Monsieur|Señora?|г-н|г-жа) \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": _EDGE + rf"(?:Mrs?\.|Ms\.|Dr\.|Prof\.|Herr|Frau|Mme\.?|Monsieur|Señora?|г-н|г-жа) {_NAME}(?: {_NAME})?(?![\p{{L}}\p{{M}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 FEMALE = r"^(?:Mrs\.|Ms\.|Frau|Mme|Señora|г-жа)"
@@ -49,7 +51,7 @@ SYLLABLES = {
     "cyrillic": "ба бе би бо да де ди до га ге ка ке ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се та те".split(),
 }
 #: What a text must contain for the pattern to be tried: one of these literals, or a match of one of these short patterns.
-LITERALS = ("@", "AKIA", "ASIA", "Mr", "Ms.", "Herr ", "Frau ", "Mme", "Monsieur ", "Señor", "г-н ", "г-жа ")
+LITERALS = ("@", "AKIA", "ASIA", "Mr", "Ms.", "Dr.", "Prof.", "Herr ", "Frau ", "Mme", "Monsieur ", "Señor", "г-н ", "г-жа ")
 DIGITS_IN_LINE = r"[0-9]{4}|[0-9]\.[0-9]{1,3}\.[0-9]"
 LABEL = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]"
 #: Draws before the search for a free surrogate gives up with an error.
