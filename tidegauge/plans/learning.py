@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.timeline import DAY
 from tidegauge import facade
-from tidegauge.operators import asof, gram, grids, metrics, models, online, ranking, retrieval, slices, splits
+from tidegauge.operators import asof, gram, grids, metrics, models, online, ranking, retrieval, selection, slices, splits
 from tidegauge.plans.decisions import SC, scored
 from tidegauge.plans.registry import EVENTS_SQL as EV
 from tidegauge.plans.registry import events, query, read, samples, stream
@@ -91,7 +91,17 @@ def composite_scores(spark, d):
     return ranking.enable_policy(made, 0.1, 2000).select("sensor", "composite", "enabled")
 
 
-GRID_SQL = "WITH g AS (SELECT i.i * 10.0 / 30 AS a, j.i * 5.0 / 30 AS b FROM range(31) i(i), range(31) j(i)), p AS (SELECT a::double AS a, b::double AS b, 1 / (1 + exp(-(0.8 * a - 1.1 * b - 1))) AS p, sqrt(pow(a - 3, 2) + pow(b - 2, 2)) AS d FROM g)"
+#: Controls between their least and greatest values in the table; the anchor is where they are on average.
+GRID_SQL = """WITH c AS (SELECT l_quantity AS a, 100 * l_discount AS b FROM lineitem), r AS (SELECT min(a) AS a0, max(a) AS a1, avg(a) AS ma, min(b) AS b0, max(b) AS b1, avg(b) AS mb FROM c),
+g AS (SELECT a0 + i.i * (a1 - a0) / 30 AS a, b0 + j.i * (b1 - b0) / 30 AS b, ma, mb FROM r, range(31) i(i), range(31) j(i)),
+p AS (SELECT a, b, 1 / (1 + exp(-(0.16 * a - 0.55 * b - 1))) AS p, sqrt(pow(a - ma, 2) + pow(b - mb, 2)) AS d FROM g)"""
+
+
+def _controls(spark, d):
+    c = read(spark, d, "lineitem").select(F.col("l_quantity").alias("a"), (100 * F.col("l_discount")).alias("b"))
+    r = c.agg(*[f(x).alias(f"{n}_{x}") for x in "ab" for n, f in (("low", F.min), ("high", F.max), ("mean", F.avg))]).first()
+    grid = retrieval.control_grid(spark, (r["low_a"], r["low_b"]), (r["high_a"], r["high_b"]), 31)
+    return grid, 1 / (1 + F.exp(-(0.16 * F.col("a") - 0.55 * F.col("b") - 1))), (r["mean_a"], r["mean_b"])
 
 
 @query(
@@ -99,15 +109,15 @@ GRID_SQL = "WITH g AS (SELECT i.i * 10.0 / 30 AS a, j.i * 5.0 / 30 AS b FROM ran
     "a b p a_min a_max b_min b_max",
 )
 def grid_feasible_best(spark, d):
-    grid = retrieval.control_grid(spark, (0.0, 0.0), (10.0, 5.0), 31)
-    return retrieval.grid_recommendation(grid, 1 / (1 + F.exp(-(0.8 * F.col("a") - 1.1 * F.col("b") - 1))), (3.0, 2.0), 0.9)
+    grid, probability, anchor = _controls(spark, d)
+    return retrieval.grid_recommendation(grid, probability, anchor, 0.9)
 
 
 @query(f"{GRID_SQL}, t AS (SELECT * FROM p ORDER BY p DESC, a, b LIMIT 25) SELECT a, b, p FROM t ORDER BY d, p DESC LIMIT 1", "a b p")
 def grid_fallback(spark, d):
-    grid = retrieval.control_grid(spark, (0.0, 0.0), (10.0, 5.0), 31).withColumn("p", 1 / (1 + F.exp(-(0.8 * F.col("a") - 1.1 * F.col("b") - 1))))
-    distance = F.sqrt(F.pow(F.col("a") - 3, F.lit(2.0)) + F.pow(F.col("b") - 2, F.lit(2.0)))
-    return ranking.feasible_or_top(grid, "p", 2.0, distance)
+    grid, probability, (a, b) = _controls(spark, d)
+    distance = F.sqrt(F.pow(F.col("a") - a, F.lit(2.0)) + F.pow(F.col("b") - b, F.lit(2.0)))
+    return ranking.feasible_or_top(grid.withColumn("p", probability), "p", 2.0, distance)
 
 
 def vectors(spark, d):
@@ -230,13 +240,19 @@ def information_ranking(spark, d):
 
 
 @query(
-    """SELECT * FROM (VALUES ('point_low', 'point', 0.3::double, 1::bigint, 1::bigint), ('point_mid', 'point', 0.5, 1, 1), ('point_high', 'point', 0.7, 1, 1),
- ('run2_low', 'consecutive', 0.3, 2, 1), ('run2_mid', 'consecutive', 0.5, 2, 1), ('run3_low', 'consecutive', 0.3, 3, 1), ('run3_mid', 'consecutive', 0.5, 3, 1),
- ('2of3_mid', 'k_of_n', 0.5, 2, 3), ('3of5_mid', 'k_of_n', 0.5, 3, 5), ('ema_0.3', 'ema', 0.5, 1, 1), ('ema_0.5', 'ema', 0.5, 1, 1)) v(name, kind, "on", k, n)""",
+    f"""{EV}, q AS (SELECT sensor, quantile_cont(value, 0.5) AS low, quantile_cont(value, 0.75) AS mid, quantile_cont(value, 0.9) AS high FROM e GROUP BY sensor)
+SELECT sensor, name, kind, CASE level WHEN 0 THEN low WHEN 1 THEN mid ELSE high END AS "on", k, n FROM q, (VALUES ('point_low', 'point', 0, 1::bigint, 1::bigint), ('point_mid', 'point', 1, 1, 1), ('point_high', 'point', 2, 1, 1),
+ ('run2_low', 'consecutive', 0, 2, 1), ('run2_mid', 'consecutive', 1, 2, 1), ('run3_low', 'consecutive', 0, 3, 1), ('run3_mid', 'consecutive', 1, 3, 1),
+ ('2of3_mid', 'k_of_n', 1, 2, 3), ('3of5_mid', 'k_of_n', 1, 3, 5), ('ema_0.3', 'ema', 1, 1, 1), ('ema_0.5', 'ema', 1, 1, 1)) v(name, kind, level, k, n)""",
     '"on"',
 )
 def alarm_policy_grid(spark, d):
-    return grids.grid_frame(spark, [{"name": p.name, "kind": p.kind, "on": p.on, "k": p.k, "n": p.n} for p in grids.alarm_policies(0.3, 0.5, 0.7)])
+    """Eleven policies a sensor, by its own quantiles."""
+    cuts = selection.exact_quantiles(events(spark, d), ["sensor"], "value", [0.5, 0.75, 0.9], ["low", "mid", "high"])
+    rows = [(p.name, p.kind, int(p.on), p.k, p.n) for p in grids.alarm_policies(0, 1, 2)]
+    policies = spark.createDataFrame(rows, "name string, kind string, level int, k long, n long")
+    level = F.get(F.array("low", "mid", "high"), F.col("level")).alias("on")
+    return cuts.crossJoin(F.broadcast(policies)).select("sensor", "name", "kind", level, "k", "n")  # eleven rows
 
 
 #: Bytes of files in a micro-batch.
@@ -272,17 +288,30 @@ def _streamed(spark, d, make, key, ahead="INTERVAL 1 DAY", scattered=False):
     return spark.read.parquet(f"{base}/out")
 
 
-@query()
+_STATES = f"""{EV}, o AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY t, event_id) AS rn FROM e),
+h AS (SELECT * FROM (WITH RECURSIVE x(sensor, rn, event_id, state) AS (
+  SELECT sensor, rn, event_id, CASE WHEN value >= 120 THEN 2 WHEN value >= 60 THEN 1 ELSE 0 END FROM o WHERE rn = 1
+  UNION ALL SELECT o.sensor, o.rn, o.event_id, CASE WHEN x.state = 0 THEN CASE WHEN value >= 120 THEN 2 WHEN value >= 60 THEN 1 ELSE 0 END
+    WHEN x.state = 1 THEN CASE WHEN value >= 120 THEN 2 WHEN value < 48 THEN 0 ELSE 1 END
+    ELSE CASE WHEN value >= 102 THEN 2 WHEN value >= 60 THEN 1 WHEN value < 48 THEN 0 ELSE 2 END END
+  FROM x JOIN o ON o.sensor = x.sensor AND o.rn = x.rn + 1) SELECT * FROM x))"""
+
+
+@query(f"{_STATES} SELECT sensor, event_id, state::int AS state FROM h")
 def stream_hysteresis(spark, d):
     return _streamed(spark, d, lambda s: alarms.hysteresis_stream(s.where("event_id IS NOT NULL").withColumn("score", F.col("value")), "sensor", 60.0, 120.0), "hysteresis")
 
 
-@query()
+@query(f"{EV} SELECT sensor, floor(t / 21600000000)::bigint * 21600000000 AS start, arg_max(value, (t, event_id)) AS value FROM e GROUP BY ALL")
 def stream_tumbling_last(spark, d):
     return _streamed(spark, d, lambda s: alarms.tumbling_last(s, "6 hours", ["sensor"]), "tumbling").select("sensor", F.unix_micros("start").alias("start"), "value")
 
 
-@query()
+@query(
+    f"""{EV}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY sensor ORDER BY t) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM e),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY sensor ORDER BY t, event_id) AS session FROM g)
+SELECT sensor, min(t) AS start, max(t) + 1800000000 AS "end", count(*) AS "rows" FROM n GROUP BY sensor, session"""
+)
 def stream_sessions(spark, d):
     return _streamed(spark, d, lambda s: alarms.sessions(s, "30 minutes", ["sensor"]), "sessions").select("sensor", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "rows")
 
@@ -445,15 +474,6 @@ def nested_fold_scores(spark, d):
 #: All events lie within this of each other, so that files in no order lose no row.
 WHOLE = "400 days"
 AHEAD = "INTERVAL 460 DAYS"
-_STATES = f"""{EV}, o AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY t, event_id) AS rn FROM e),
-h AS (SELECT * FROM (WITH RECURSIVE x(sensor, rn, event_id, state) AS (
-  SELECT sensor, rn, event_id, CASE WHEN value >= 120 THEN 2 WHEN value >= 60 THEN 1 ELSE 0 END FROM o WHERE rn = 1
-  UNION ALL SELECT o.sensor, o.rn, o.event_id, CASE WHEN x.state = 0 THEN CASE WHEN value >= 120 THEN 2 WHEN value >= 60 THEN 1 ELSE 0 END
-    WHEN x.state = 1 THEN CASE WHEN value >= 120 THEN 2 WHEN value < 48 THEN 0 ELSE 1 END
-    ELSE CASE WHEN value >= 102 THEN 2 WHEN value >= 60 THEN 1 WHEN value < 48 THEN 0 ELSE 2 END END
-  FROM x JOIN o ON o.sensor = x.sensor AND o.rn = x.rn + 1) SELECT * FROM x))"""
-
-
 def _rows(stream, kind):
     return stream.select("sensor", "time", "t", "event_id", "value", kind.cast("int").alias("kind"))
 
