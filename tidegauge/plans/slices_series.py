@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions.timeline import DAY, HOUR, MINUTE
-from tidegauge.operators import asof, moments, runs, series, slices
+from tidegauge.operators import asof, moments, runs, series, slices, sweep
 from tidegauge.plans.registry import EVENTS_SQL as EV
 from tidegauge.plans.registry import events, query, samples, stream
 
@@ -170,7 +170,7 @@ SELECT sample_id, (last - min) / (max - min + 1e-6) AS place, std / (abs(mean) +
     "place std_over_mean range_over_mean delta_over_std last_minus_mean mean_minus_min mean_over_min",
 )
 def relative_dynamics(spark, d):
-    f = slices.encode_slices(_joined(spark, d, HOUR), ["sample_id"], slices.CORE_STATS[:-1]).where("std > 0.001")
+    f = sweep.encode(samples(spark, d), stream(spark, d), HOUR, ["sample_id"], slices.CORE_STATS[:-1]).where("std > 0.001")
     both = slices.interactions(slices.relative(f), [("mean", "min")])
     return both.select("sample_id", "place", "std_over_mean", "range_over_mean", "delta_over_std", "last_minus_mean", "mean_minus_min", "mean_over_min")
 
