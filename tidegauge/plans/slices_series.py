@@ -108,7 +108,7 @@ SELECT sample_id, avg(abs(z)) AS mean_abs_z, avg(CASE WHEN abs(z) <= 1.05 THEN 1
     "mean_abs_z band_ratio stay_ratio last_z tail_bias reversion",
 )
 def slice_centered(spark, d):
-    return slices.centered(_joined(spark, d), ["sample_id"], 1.05)
+    return sweep.centered(samples(spark, d), stream(spark, d), 2 * HOUR, 1.05)
 
 
 @query(
