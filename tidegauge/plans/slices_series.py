@@ -129,7 +129,7 @@ b AS (SELECT sample_id, v[-1] AS last, list_reduce(v, lambda x, y: 0.8 * x + 0.2
     "last ewma last_minus_ewma",
 )
 def slice_ewma(spark, d):
-    return slices.ewma_slice(_joined(spark, d), ["sample_id"], 0.8)
+    return sweep.ewma(samples(spark, d), stream(spark, d), 2 * HOUR, 0.8)
 
 
 _PATH = ", ".join(f"max(CASE WHEN k = {i} THEN v END) AS r{i}" for i in range(6))
