@@ -120,7 +120,7 @@ SELECT *, q75 - q25 AS iqr, head - 2 * middle + tail AS curvature FROM c""",
     "q25 q50 q75 head middle tail argmax_place argmin_place iqr curvature",
 )
 def slice_shape(spark, d):
-    return slices.shape(_joined(spark, d), ["sample_id"])
+    return sweep.shape(samples(spark, d), stream(spark, d), 2 * HOUR)
 
 
 @query(
