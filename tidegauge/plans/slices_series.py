@@ -140,7 +140,7 @@ l AS (SELECT sample_id, k, arg_max(value, (t, event_id)) AS v FROM j GROUP BY AL
 
 @query(f"{PATH_SQL} SELECT * FROM path", "p0 p1 p2 p3 p4 p5")
 def slice_step_path(spark, d):
-    return slices.step_path(samples(spark, d), stream(spark, d), 6, 20 * MINUTE)
+    return sweep.step_path(samples(spark, d), stream(spark, d), 6, 20 * MINUTE)
 
 
 @query(
