@@ -150,7 +150,7 @@ SELECT sample_id, p5 - p0 AS change, (coalesce(p5, p4) + coalesce(p4, p5)) / 2 -
     "change near_minus_far path_slope",
 )
 def path_key_change(spark, d):
-    path = slices.step_path(samples(spark, d), stream(spark, d), 6, 20 * MINUTE)
+    path = sweep.step_path(samples(spark, d), stream(spark, d), 6, 20 * MINUTE)
     return slices.key_change(path, [f"p{i}" for i in range(5, -1, -1)]).select("sample_id", "change", "near_minus_far", "path_slope")
 
 
