@@ -63,16 +63,12 @@ FROM g JOIN n USING (sample_id, lag, "window") WINDOW p AS (PARTITION BY sample_
     "mean var std min max range cv median missing_rate drift",
 )
 def window_lag_grid(spark, d):
-    return moments.window_lag_grid(samples(spark, d), stream(spark, d), [30, 120], [0, 60], 10 * MINUTE, ["sensor"])
+    return sweep.window_lag_grid(samples(spark, d), stream(spark, d), [30, 120], [0, 60], 10 * MINUTE, "sensor")
 
 
 SLICE2H = f"{EV}, j AS (SELECT sample_id, s.t AS sample_t, r.* EXCLUDE (unit) FROM s JOIN r ON r.t BETWEEN s.t - {2 * H} AND s.t)"
 
 
-def _joined(spark, d, width=2 * HOUR):
-    return slices.slice_join(samples(spark, d), stream(spark, d), width)
-
-
 @query(
     f"""{SLICE2H}, a AS (SELECT *, lag(value) OVER w AS prev FROM j WINDOW w AS (PARTITION BY sample_id ORDER BY t, event_id)),
 b AS (SELECT *, value - prev AS d, CASE WHEN value <> prev THEN sign(value - prev) END AS s FROM a),
