@@ -28,7 +28,7 @@ def slice_zero_policy(spark, d):
 
 @query(f"{EV} SELECT sample_id, r.sensor, count(*) AS count, avg(r.value) AS mean, quantile_cont(r.value, 0.5) AS median, max(r.value) - min(r.value) AS range FROM s JOIN r ON r.t BETWEEN s.t - {2 * H} AND s.t GROUP BY ALL", "mean median range")
 def slice_by_sensor(spark, d):
-    return slices.encode_slices(slices.slice_join(samples(spark, d), stream(spark, d), 2 * HOUR), ["sample_id", "sensor"], ["count", "mean", "median", "range"])
+    return sweep.encode(samples(spark, d), stream(spark, d), 2 * HOUR, ["sample_id"], ["count", "mean", "median", "range"], per="sensor")
 
 
 @query(f"{EV} SELECT sample_id, {CORE} FROM s JOIN r ON s.unit = r.unit AND r.t BETWEEN s.t - {24 * H} AND s.t GROUP BY sample_id", "last mean std min max delta valid_ratio")
