@@ -78,7 +78,7 @@ SELECT sample_id, avg(d) AS diff_mean, stddev_pop(d) AS diff_std, max(abs(d)) AS
     "diff_mean diff_std diff_max_abs up_ratio down_ratio std_ratio",
 )
 def slice_dynamics(spark, d):
-    return slices.dynamics(_joined(spark, d), ["sample_id"]).drop("autocorr")
+    return sweep.dynamics(samples(spark, d), stream(spark, d), 2 * HOUR).drop("autocorr")
 
 
 @query(
