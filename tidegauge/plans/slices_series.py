@@ -90,8 +90,8 @@ SELECT sample_id, 0.0::double AS missing_ratio, count(*) AS valid, any_value(lon
     "missing_ratio freeze_ratio max_jump minutes_since_jump gap_std",
 )
 def slice_quality(spark, d):
-    rows = _joined(spark, d).withColumn("value", F.floor(F.col("value") / 25).cast("double"))
-    return slices.data_quality(rows, ["sample_id"], 1.0).withColumn("minutes_since_jump", F.round("minutes_since_jump", 2))
+    rows = stream(spark, d).withColumn("value", F.floor(F.col("value") / 25).cast("double"))
+    return sweep.data_quality(samples(spark, d), rows, 2 * HOUR, 1.0).withColumn("minutes_since_jump", F.round("minutes_since_jump", 2))
 
 
 @query(
