@@ -23,7 +23,7 @@ def slice_features_60m(spark, d):
 
 @query(f"{EV} SELECT sample_id, {CORE}, coalesce({SLOPE}, 0) AS slope FROM s JOIN r ON r.t BETWEEN s.t - {H // 2} AND s.t GROUP BY sample_id", "last mean std min max delta valid_ratio slope")
 def slice_zero_policy(spark, d):
-    return slices.encode_slices(slices.slice_join(samples(spark, d), stream(spark, d), HOUR // 2), ["sample_id"], zero_undefined=True)
+    return sweep.encode(samples(spark, d), stream(spark, d), HOUR // 2, ["sample_id"], slices.CORE_STATS, zero_undefined=True, min_rows=1)
 
 
 @query(f"{EV} SELECT sample_id, r.sensor, count(*) AS count, avg(r.value) AS mean, quantile_cont(r.value, 0.5) AS median, max(r.value) - min(r.value) AS range FROM s JOIN r ON r.t BETWEEN s.t - {2 * H} AND s.t GROUP BY ALL", "mean median range")
