@@ -156,7 +156,7 @@ WINDOW w AS (PARTITION BY sensor ORDER BY t RANGE BETWEEN {2 * H - 1} PRECEDING
     "mean min max",
 )
 def rolling_time_windows(spark, d):
-    return slices.rolling_grid(stream(spark, d), ["sensor"], 2 * HOUR).select("event_id", "n", "mean", "min", "max")
+    return sweep.rolling(stream(spark, d), ["sensor"], 2 * HOUR).select("event_id", "n", "mean", "min", "max")
 
 
 @query(
