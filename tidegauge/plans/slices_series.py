@@ -48,7 +48,7 @@ _MULTI = ", ".join(f"avg(r.value) FILTER (WHERE r.t >= s.t - {w} * 60000000::big
 
 @query(f"{EV} SELECT sample_id, {_MULTI} FROM s JOIN r ON r.t BETWEEN s.t - {3 * H} AND s.t GROUP BY sample_id", "w15__mean w60__mean w180__mean")
 def multiscale_windows(spark, d):
-    return slices.multi_window(samples(spark, d), stream(spark, d), [15, 60, 180], ["mean", "count"])
+    return sweep.multi_window(samples(spark, d), stream(spark, d), [15, 60, 180], ["mean", "count"])
 
 
 @query(
