@@ -39,8 +39,8 @@ def slice_by_unit(spark, d):
 @query(f"{EV}, l(sensor, lag) AS (VALUES ('click', 15), ('view', 30), ('error', 45), ('signup', 60)) SELECT sample_id, l.sensor, count(*) AS count, avg(r.value) AS mean, max(r.value) AS max FROM s, l JOIN r ON r.sensor = l.sensor AND r.t BETWEEN s.t - l.lag * 60000000::bigint - {2 * H} AND s.t - l.lag * 60000000::bigint GROUP BY ALL", "mean max")
 def slice_sensor_lags(spark, d):
     lags = spark.createDataFrame([("click", 15 * MINUTE), ("view", 30 * MINUTE), ("error", 45 * MINUTE), ("signup", 60 * MINUTE)], "sensor string, lag long")
-    joined = slices.sensor_lag_slices(samples(spark, d), stream(spark, d), lags, 2 * HOUR)
-    return slices.encode_slices(joined, ["sample_id", "sensor"], ["count", "mean", "max"])
+    asked = samples(spark, d).crossJoin(F.broadcast(lags))
+    return sweep.encode(asked, stream(spark, d), 2 * HOUR, ["sample_id", "sensor"], ["count", "mean", "max"], by=["sensor"], lag=F.col("lag"))
 
 
 _MULTI = ", ".join(f"avg(r.value) FILTER (WHERE r.t >= s.t - {w} * 60000000::bigint) AS w{w}__mean, count(r.value) FILTER (WHERE r.t >= s.t - {w} * 60000000::bigint) AS w{w}__count" for w in (15, 60, 180))
