@@ -490,7 +490,7 @@ def joint_states(spark, d):
     "seg0__mean seg1__mean",
 )
 def slice_segments(spark, d):
-    return slices.segment_stats(_joined(spark, d), ["sample_id"], [0, HOUR // 2, 2 * HOUR])
+    return sweep.segment_stats(samples(spark, d), stream(spark, d), 2 * HOUR, [0, HOUR // 2, 2 * HOUR])
 
 
 @query(
