@@ -18,7 +18,7 @@ SLOPE = "CASE WHEN count(*) > 1 THEN regr_slope(r.value, (r.t - s.t) / 6e7) END"
 @query(f"{EV} SELECT sample_id, count(*) AS n, {CORE}, {SLOPE} AS slope, any_value(s.value BETWEEN 40 AND 60) AS in_spec FROM s JOIN r ON r.t BETWEEN s.t - {H} AND s.t GROUP BY sample_id HAVING count(*) >= 3", "last mean std min max delta valid_ratio slope")
 def slice_features_60m(spark, d):
     s = samples(spark, d).withColumn("in_spec", F.col("value").between(40, 60))
-    return moments.encode(s, stream(spark, d), HOUR, ["sample_id", "in_spec"], ["count", *slices.CORE_STATS], 3).withColumnRenamed("count", "n")
+    return sweep.encode(s, stream(spark, d), HOUR, ["sample_id", "in_spec"], ["count", *slices.CORE_STATS], 3).withColumnRenamed("count", "n")
 
 
 @query(f"{EV} SELECT sample_id, {CORE}, coalesce({SLOPE}, 0) AS slope FROM s JOIN r ON r.t BETWEEN s.t - {H // 2} AND s.t GROUP BY sample_id", "last mean std min max delta valid_ratio slope")
