@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions.timeline import DAY, HOUR, MINUTE
-from tidegauge.operators import asof, moments, runs, series, slices, sweep
+from tidegauge.operators import asof, runs, series, slices, sweep
 from tidegauge.plans.registry import EVENTS_SQL as EV
 from tidegauge.plans.registry import events, query, samples, stream
 

@@ -219,7 +219,7 @@ SELECT width, avg((n >= 5)::int) AS share FROM w GROUP BY width""",
     "share",
 )
 def window_coverage(spark, d):
-    from tidegauge.operators.slices import multi_window
+    from tidegauge.operators.sweep import multi_window
 
     s = samples(spark, d)
     counts = s.select("sample_id").join(multi_window(s, stream(spark, d), [30, 60, 120], ["count"]), "sample_id", "left")
