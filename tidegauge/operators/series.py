@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
-from tidegauge.functions.timeline import DAY, carried_fold
+from tidegauge.functions.timeline import DAY, carried_fold, halo
 
 PAST, NOW = Window.unboundedPreceding, Window.currentRow
 
@@ -146,10 +146,40 @@ def tau_alpha(tau: float) -> float:
     return 1 - exp(-1 / tau)
 
 
-def segment_ewma(df: DataFrame, by: list[str], alpha: float) -> DataFrame:
-    """EWMA started anew in every contiguous run of valid rows."""
-    valid = runs(df, by, F.col("value").isNotNull(), "segment").where("value is not null")
-    return ewma(valid, [*by, "segment"], alpha)
+def segment_ewma(df: DataFrame, by: list[str], alpha: float, width: int = DAY) -> DataFrame:
+    """EWMA started anew in every contiguous run of valid rows.
+
+    A missing row ends the state. A piece of time without one is affine in the state before it, as in ``ewma``; one with such a row
+    ends in a state of its own. So a run is no group of its own, and a task holds ``width`` micros of a key."""
+
+    def after(state, x):
+        return state if x != x else x if state is None else alpha * x + (1 - alpha) * state
+
+    def fold(g, state):
+        out = []
+        for x, ok in zip(g["value"], g["_ok"], strict=True):
+            state = after(state, x) if ok else None
+            out.append(state)
+        return out
+
+    def summarise(g):
+        n, b, own, cut = 0, 0.0, None, False
+        for x, ok in zip(g["value"], g["_ok"], strict=True):
+            if not ok:
+                own, cut = None, True
+            elif x == x:
+                n, b, own = n + 1, alpha * x + (1 - alpha) * b, after(own, x)
+        return [float(n), b, float("nan") if own is None else own, float(cut)]
+
+    def carry(state, s):
+        own = None if s[2] != s[2] else s[2]
+        if s[3] or state is None:
+            return own
+        return (1 - alpha) ** s[0] * state + s[1]
+
+    marked = runs(df, by, F.col("value").isNotNull(), "segment").withColumn("_ok", F.col("value").isNotNull())
+    folded = carried_fold(marked, by, ["value", "_ok", "segment"], width, summarise, carry, None, fold, "ewma")
+    return folded.where("_ok").select(*by, "segment", "event_id", "t", "value", "ewma")
 
 
 def invalid_segments(df: DataFrame, by: list[str], bad: Column) -> DataFrame:
