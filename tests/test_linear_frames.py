@@ -31,3 +31,25 @@ def test_segment_ewma(spark, width):
         if v is not None:
             want[i] = round(state, 9)
     assert {r["event_id"]: round(r["ewma"], 9) for r in got.collect()} == want
+
+
+def test_merged_segments(spark):
+    draw, at, made = random.Random(4), 1, []
+    for _ in range(400):
+        at += draw.randrange(1, 5)
+        n = draw.randrange(1, 4)
+        made.append((draw.choice("ab"), at, at + n - 1, n))
+        at += n
+    got = series.merge_segments(spark.createDataFrame(made, "sensor string, first_row int, last_row int, points long").repartition(3), ["sensor"], 9, 2)
+    assert "collect_list" not in plan(got)  # no list of a key's segments, copied at every step
+    want = []
+    for k in "ab":
+        kept = []
+        for _, a, b, n in (r for r in made if r[0] == k):
+            gap = a - kept[-1][2] - 1 if kept else 99
+            if gap <= 9 and kept[-1][3] >= 2 and n >= 2:
+                kept[-1] = (k, kept[-1][1], b, kept[-1][3] + gap + n)
+            else:
+                kept.append((k, a, b, n))
+        want += kept
+    assert sorted(map(tuple, got.collect())) == want

@@ -191,20 +191,16 @@ def invalid_segments(df: DataFrame, by: list[str], bad: Column) -> DataFrame:
 
 def merge_segments(segments: DataFrame, by: list[str], max_gap: int, min_points: int) -> DataFrame:
     """Left-to-right merge of segments of at least ``min_points`` (the merged one counts with the gap) when at most ``max_gap``
-    rows lie between; a fold over each key's segments."""
-    listed = segments.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("first_row", "last_row", "points"))).alias("s"))
-    kind = "array<struct<first_row:int,last_row:int,points:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        gap = x["first_row"] - last["last_row"] - 1
-        join = (F.size(acc) > 0) & (gap <= max_gap) & (last["points"] >= min_points) & (x["points"] >= min_points)
-        merged = F.struct(last["first_row"].alias("first_row"), x["last_row"].alias("last_row"), (last["points"] + gap + x["points"]).alias("points"))
-        kept = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(F.size(acc) == 0, F.array(x)).otherwise(F.when(join, F.concat(kept, F.array(merged))).otherwise(F.concat(acc, F.array(x))))
-
-    folded = F.aggregate(F.col("s").cast(kind), F.array().cast(kind), lambda a, x: step(a, x).cast(kind))
-    return listed.select(*by, F.inline(folded))
+    rows lie between. A merged segment is at least as long as its last part, so each pair of neighbours decides by itself."""
+    w = Window.partitionBy(*by).orderBy("first_row", "last_row", "points")
+    gap = F.col("first_row") - F.lag("last_row").over(w) - 1
+    joins = (gap <= max_gap) & (F.lag("points").over(w) >= min_points) & (F.col("points") >= min_points)
+    marked = segments.select(*by, "first_row", "last_row", "points", gap.alias("_gap"), F.coalesce(joins, F.lit(False)).alias("_joins"))
+    placed = marked.withColumn("_group", F.sum((~F.col("_joins")).cast("int")).over(w))
+    points = F.sum("points") + F.sum(F.when(F.col("_joins"), F.col("_gap")).otherwise(0))
+    last = F.max(F.struct("first_row", "last_row"))["last_row"]
+    merged = placed.groupBy(*by, "_group").agg(F.min("first_row").alias("first_row"), last.alias("last_row"), points.cast("long").alias("points"))
+    return merged.select(*by, F.col("first_row").cast("int").alias("first_row"), F.col("last_row").cast("int").alias("last_row"), "points")
 
 
 def continuous_base(df: DataFrame, by: list[str]) -> DataFrame:
