@@ -53,3 +53,15 @@ def test_merged_segments(spark):
                 kept.append((k, a, b, n))
         want += kept
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_future_flag(spark):
+    df, made = rows(spark)
+    df = df.withColumn("t", F.when(F.col("event_id") % 50 > 0, F.col("t")))
+    made = [(i, k, t if i % 50 else None, v) for i, k, t, v in made]
+    got = series.future_flag(df, ["sensor"], 30, F.col("value") > 60)
+    assert not re.search(r"RangeFrame, -?\d", plan(got))  # no frame that is read anew for every row
+    inside = lambda t, u: u is None if t is None else u is not None and t < u <= t + 30
+    want = {i: max((int(v > 60) for _, q, u, v in made if q == k and v is not None and inside(t, u)), default=None) for i, k, t, _ in made}
+    found = got.collect()
+    assert len(found) == len(made) and {r["event_id"]: r["future"] for r in found} == want

@@ -263,9 +263,19 @@ def resample_last(df: DataFrame, by: list[str], step: int) -> DataFrame:
 
 
 def future_flag(df: DataFrame, by: list[str], horizon: int, flag: Column) -> DataFrame:
-    """Max of a 0/1 flag in (t, t + horizon]; NULL where no row follows in time."""
-    w = Window.partitionBy(*by).orderBy("t").rangeBetween(1, horizon)
-    return df.withColumn("future", F.max(flag.cast("int")).over(w))
+    """Max of a 0/1 flag in (t, t + horizon]; NULL where no row follows in time.
+
+    It is the next flagged row's time that decides, and a frame that only grows finds it; buckets of the horizon, each with a copy of
+    the next, keep a long key parallel. Rows without a time are one another's window."""
+    rows = halo(df.withColumn("_flag", flag.cast("int")), "t", horizon, False, True)
+    part = Window.partitionBy(*by, "_bucket")
+    after = part.orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    end = F.col("t") + F.lit(horizon)
+    raised = F.min(F.when(F.col("_flag") > 0, F.col("t"))).over(after) <= end
+    known = F.min(F.when(F.col("_flag").isNotNull(), F.col("t"))).over(after) <= end
+    untimed = F.max(F.when(F.col("t").isNull(), F.col("_flag"))).over(part)
+    future = F.when(F.col("t").isNull(), untimed).when(raised, 1).when(known, 0)
+    return rows.withColumn("future", future).where("_own").select(*df.columns, "future")
 
 
 #: Policies by the leading letters of a tag: kind, fill, time constant (rows).
