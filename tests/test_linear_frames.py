@@ -65,3 +65,21 @@ def test_future_flag(spark):
     want = {i: max((int(v > 60) for _, q, u, v in made if q == k and v is not None and inside(t, u)), default=None) for i, k, t, _ in made}
     found = got.collect()
     assert len(found) == len(made) and {r["event_id"]: r["future"] for r in found} == want
+
+
+def test_prewarn_lead(spark):
+    df, made = rows(spark)
+    df = df.withColumns({"bad": F.coalesce(F.col("value") > 60, F.lit(False)), "w": F.col("event_id") % 10 < 2})
+    got = runs.prewarn_lead(df, ["sensor"], "bad", "w", 1_000, 9)
+    assert not re.search(r"RangeFrame, -?\d", plan(got))
+    want = []
+    for k in "ab":
+        before = None
+        for i, q, t, v in sorted((r for r in made if r[1] == k), key=lambda r: (r[2], r[0])):
+            bad = v == 80.0
+            if bad and not before:
+                first = min((u for j, p, u, _ in made if p == k and j % 10 < 2 and t - 9 <= u < t), default=None)
+                want.append((k, i % 10 < 2, None if first is None else (t - first) / 60e6))
+            before = bad
+    found = [(r["sensor"], r["start_hit"], r["lead_minutes"]) for r in got.orderBy("sensor", "segment").collect()]
+    assert found == want and any(x[2] for x in want)

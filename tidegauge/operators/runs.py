@@ -135,8 +135,10 @@ def evaluate_states(df: DataFrame, by: list[str], bad: str, state: str, gap: int
 def prewarn_lead(df: DataFrame, by: list[str], bad: str, warned: str, gap: int, horizon: int) -> DataFrame:
     """Per bad segment: hit at its start, and the lead (minutes) of the earliest warning within ``horizon`` before it."""
     rows = segments(df, by, bad, gap)
-    back = Window.partitionBy(*by).orderBy("t").rangeBetween(-horizon, -1)
-    rows = rows.withColumn("_first", F.min(F.when(F.col(warned), F.col("t"))).over(back))
+    # backwards in time the frame of all rows from ``t - horizon`` on only grows
+    since = Window.partitionBy(*by).orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, horizon)
+    rows = rows.withColumn("_first", F.min(F.when(F.col(warned), F.col("t"))).over(since))
+    rows = rows.withColumn("_first", F.when(F.col("_first") < F.col("t"), F.col("_first")))
     first = F.min(F.struct("t", "event_id", warned, "_first"))
     per = rows.where(bad).groupBy(*by, "segment").agg(first.alias("x"))
     return per.select(*by, "segment", F.col(f"x.{warned}").alias("start_hit"), ((F.col("x.t") - F.col("x._first")) / F.lit(60e6)).alias("lead_minutes"))
