@@ -83,3 +83,18 @@ def test_prewarn_lead(spark):
             before = bad
     found = [(r["sensor"], r["start_hit"], r["lead_minutes"]) for r in got.orderBy("sensor", "segment").collect()]
     assert found == want and any(x[2] for x in want)
+
+
+def test_warned_before(spark):
+    df, made = rows(spark)
+    df = df.withColumns({"bad": F.coalesce(F.col("value") > 60, F.lit(False)), "state": (F.col("event_id") % 10 < 2).cast("int")})
+    got = runs.evaluate_states(df, ["sensor"], "bad", "state", 1_000, 9)
+    assert not re.search(r"RangeFrame, -\d", plan(got).replace("unboundedpreceding$(), -1", ""))
+    starts = []
+    for k in "ab":
+        before = None
+        for _, _, t, v in sorted((r for r in made if r[1] == k), key=lambda r: (r[2], r[0])):
+            if v == 80.0 and not before:
+                starts.append(any(p == k and j % 10 < 2 and t - 9 <= u < t for j, p, u, _ in made))
+            before = v == 80.0
+    assert got.first()["prewarned"] == sum(starts) / len(starts)

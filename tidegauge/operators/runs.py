@@ -109,8 +109,10 @@ def evaluate_states(df: DataFrame, by: list[str], bad: str, state: str, gap: int
     rows = segments(df, by, bad, gap)
     w = Window.partitionBy(*by, "segment").orderBy("t", "event_id")
     rows = rows.withColumn("pos", F.row_number().over(w) - 1)
-    back = Window.partitionBy(*by).orderBy("t").rangeBetween(-horizon, -1)
-    rows = rows.withColumn("warned_before", F.coalesce(F.max((F.col(state) >= WARNING).cast("int")).over(back), F.lit(0)))
+    # the last warning before a row decides, and a frame that only grows finds it
+    back = Window.partitionBy(*by).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col(state) >= WARNING, F.col("t"))).over(back)
+    rows = rows.withColumn("warned_before", F.coalesce((last >= F.col("t") - F.lit(horizon)).cast("int"), F.lit(0)))
     hit = F.when(F.col(state) >= WARNING, F.struct("pos", "t"))
     per = rows.groupBy(*by, "segment").agg(
         F.first(bad).alias("bad"),
