@@ -30,24 +30,29 @@ def asof_join(
     right_time: str = "t",
     lag: int = 0,
     suffix: str = "",
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Every left row with ``values`` of the right row nearest to ``left_time - lag`` (microseconds) within the inclusive
     tolerance, plus ``gap`` (micros, right minus left). Backward: at or before; nearest: either side, the earlier on ties.
-    Of right rows at the same time the last in the order of ``values`` counts. Unmatched rows get NULLs."""
+    Of right rows at the same time the last in the ``order`` of these columns, then of ``values``, counts; looking ahead the first
+    by ``order``. Unmatched rows get NULLs."""
     by = by or []
     width = max(int(tolerance), 1)
     names = left.columns
     l = left.withColumn("_at", F.col(left_time) - F.lit(lag)).select(
         *by, F.col("_at").alias("_t"), bucket(F.col("_at"), width).alias("_bucket"), F.lit(1).alias("_side"), F.struct(*names).alias("_row")
     )
-    found = F.struct(F.col(right_time).alias("t"), *values).alias("_found")
+    order = order or []
+    ranks = [F.col(c).alias(f"_o_{i}") for i, c in enumerate(order)]
+    found = F.struct(F.col(right_time).alias("t"), *ranks, *values).alias("_found")
     r = halo(right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("_t"), found), "_t", width, True, direction == "nearest")
     r = r.select(*by, "_t", "_bucket", F.lit(0).alias("_side"), "_found")
     w = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side", "_found")
     both = l.unionByName(r, allowMissingColumns=True)
     both = both.withColumn("_back", F.last("_found", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if direction == "nearest":
-        forward = Window.partitionBy(*by, "_bucket").orderBy(F.col("_t").desc(), F.col("_side"), F.col("_found"))
+        ties = [F.col(f"_found._o_{i}").desc() for i in range(len(order))]
+        forward = Window.partitionBy(*by, "_bucket").orderBy(F.col("_t").desc(), F.col("_side"), *ties, F.col("_found"))
         both = both.withColumn("_next", F.last("_found", ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, 0)))
         ahead, behind = F.col("_next.t") - F.col("_t"), F.col("_t") - F.col("_back.t")
         pick = F.when(F.col("_back").isNull() | (F.coalesce(ahead < behind, F.lit(False))), F.col("_next")).otherwise(F.col("_back"))
@@ -63,16 +68,16 @@ def asof_snapshot(samples: DataFrame, values: DataFrame, names: list[str], lag_m
     return asof_join(samples, unique, names, tolerance_minutes * MINUTE, by, lag=lag_minutes * MINUTE)
 
 
-def lagged_snapshots(samples: DataFrame, values: DataFrame, names: list[str], lags: list[int], tolerance_minutes: int, by: list[str] | None = None) -> DataFrame:
+def lagged_snapshots(samples: DataFrame, values: DataFrame, names: list[str], lags: list[int], tolerance_minutes: int, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """One snapshot column per lag and value (``{name}__lag{m}``), and ``available``, the share that was found.
 
     Every sample asks once per lag in one as-of pass; the answers meet again by a row number, texts and other columns of the
-    samples travel once."""
+    samples travel once. ``order`` decides between values at the same time."""
     rows = samples.withColumn("_row", F.monotonically_increasing_id())
     asks = rows.select(*(by or []), "_row", "t", F.struct(*samples.columns).alias("_sample"), F.explode(F.array(*map(F.lit, lags))).alias("_lag"))
     # the sample's own columns go with the first lag
     asks = asks.withColumn("_sample", F.when(F.col("_lag") == lags[0], F.col("_sample"))).withColumn("t", F.col("t") - F.col("_lag").cast("long") * MINUTE)
-    found = asof_join(asks, values, names, tolerance_minutes * MINUTE, by)
+    found = asof_join(asks, values, names, tolerance_minutes * MINUTE, by, order=order)
     at = lambda n, m: F.max(F.when(F.col("_lag") == m, F.col(n))).alias(f"{n}__lag{m}")
     wide = found.groupBy("_row").agg(F.first("_sample", ignorenulls=True).alias("_sample"), *[at(n, m) for m in lags for n in names])
     out = wide.select("_sample.*", *[f"{n}__lag{m}" for m in lags for n in names])

@@ -183,8 +183,8 @@ def time_context(spark, d):
 
 @query(f"{EV} SELECT sample_id, CASE WHEN s.t - r.t <= {12 * H} THEN r.value END AS found, CASE WHEN s.t - r.t <= {12 * H} THEN r.t - s.t END AS gap FROM s ASOF LEFT JOIN r ON s.unit = r.unit AND s.t >= r.t", "found")
 def asof_backward_12h(spark, d):
-    r = stream(spark, d).select("unit", "t", F.col("value").alias("found"))
-    return asof.asof_join(samples(spark, d), r, ["found"], 12 * HOUR, ["unit"]).select("sample_id", "found", "gap")
+    r = stream(spark, d).select("unit", "t", F.col("value").alias("found"), "event_id")
+    return asof.asof_join(samples(spark, d), r, ["found"], 12 * HOUR, ["unit"], order=["event_id"]).select("sample_id", "found", "gap")
 
 
 @query(
@@ -194,8 +194,8 @@ SELECT sample_id, CASE WHEN abs(nt - t) <= 120000000 THEN nv END AS found, CASE
     "found",
 )
 def asof_nearest_2m(spark, d):
-    r = stream(spark, d).select("t", F.col("value").alias("found"))
-    return asof.asof_join(samples(spark, d), r, ["found"], 2 * MINUTE, direction="nearest").select("sample_id", "found", "gap")
+    r = stream(spark, d).select("t", F.col("value").alias("found"), "event_id")
+    return asof.asof_join(samples(spark, d), r, ["found"], 2 * MINUTE, direction="nearest", order=["event_id"]).select("sample_id", "found", "gap")
 
 
 def _lag_sql(m):
@@ -208,8 +208,8 @@ FROM {_lag_sql(0)} JOIN {_lag_sql(30)} USING (sample_id) JOIN {_lag_sql(60)} USI
     "v__lag0 v__lag30 v__lag60 available",
 )
 def lagged_snapshot_grid(spark, d):
-    r = stream(spark, d).select("t", F.col("value").alias("v"))
-    return asof.lagged_snapshots(samples(spark, d), r, ["v"], [0, 30, 60], 10).drop("unit", "t", "value")
+    r = stream(spark, d).select("t", F.col("value").alias("v"), "event_id")
+    return asof.lagged_snapshots(samples(spark, d), r, ["v"], [0, 30, 60], 10, order=["event_id"]).drop("unit", "t", "value")
 
 
 @query(
