@@ -1,5 +1,8 @@
 """Ties: what decides where values, times or sums are equal."""
 
+from pyspark.sql import functions as F
+
+from tidegauge.functions import decide
 from tidegauge.operators import asof
 
 M = 60_000_000
@@ -12,3 +15,18 @@ def test_rows_at_the_same_time_go_by_their_order(spark):
     assert {r["sample_id"]: r["v__lag0"] for r in snap.collect()} == {1: 1.0, 2: 1.0}
     near = asof.asof_join(left, right, ["v"], 2 * M, direction="nearest", order=["event_id"])
     assert {r["sample_id"]: r["v"] for r in near.collect()} == {1: 1.0, 2: 2.0}  # ahead: the first
+
+
+def test_a_sum_of_one_shifts_no_probability(spark):
+    for seed in range(300):
+        m = sorted((seed * a % b) / b for a, b in ((37, 101), (53, 103), (71, 107), (91, 109)))
+        raw = [b - a for a, b in zip([0.0, *m], [*m, 1.0], strict=True)]
+        total = 0.0
+        for v in raw:
+            total += v
+        if total != 1.0 and [v / total for v in raw] != raw:
+            break
+    got = spark.range(1).select(decide.interval_probabilities([F.lit(x) for x in m]).alias("p")).first()["p"]
+    assert total != 1.0 and got == raw
+    other = spark.range(1).select(decide.normalised(F.array(F.lit(1.0), F.lit(3.0))).alias("p")).first()["p"]
+    assert other == [0.25, 0.75]

@@ -27,8 +27,9 @@ def interval_probabilities(cumulative: Sequence[Column]) -> Column:
 
 
 def normalised(p: Column) -> Column:
+    """Shares of the sum; a sum that is 1 up to rounding divides nothing, as it would shift what ties with a threshold."""
     total = _sum(p)
-    return F.transform(p, lambda v: F.when(total > 0, v / total).otherwise(0.0))
+    return F.transform(p, lambda v: F.when(F.abs(total - 1) <= 1e-12, v).when(total > 0, v / total).otherwise(0.0))
 
 
 def merged_classes(bins: Column, groups: Sequence[Sequence[int]]) -> list[Column]:
