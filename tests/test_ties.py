@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegauge.functions import decide
-from tidegauge.operators import asof
+from tidegauge.operators import aggregates, asof
 
 M = 60_000_000
 
@@ -30,3 +30,8 @@ def test_a_sum_of_one_shifts_no_probability(spark):
     assert total != 1.0 and got == raw
     other = spark.range(1).select(decide.normalised(F.array(F.lit(1.0), F.lit(3.0))).alias("p")).first()["p"]
     assert other == [0.25, 0.75]
+
+
+def test_equal_sums_of_periods_tie_whatever_their_last_bit(spark):
+    rows = spark.createDataFrame([(1, 1, 0.3), (1, 2, 0.1), (1, 2, 0.2), (1, 3, 0.05)], "k long, week long, w double").coalesce(1)
+    assert aggregates.weighted_shares(rows, ["k"], "week", "w", 1).first()["shares"] == {1: 1.0}
