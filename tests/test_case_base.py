@@ -23,3 +23,13 @@ def test_pruning_by_half_of_the_features_loses_no_row():
 def test_cases_are_read_from_a_table_and_not_swept_for_every_reader(spark):
     plan = learning._library(spark, SMOKE)._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "Window" not in plan
+
+
+def test_a_column_without_values_drops_no_row_and_medians_hold_no_column(spark):
+    from tidegauge.operators import retrieval
+
+    rows = spark.createDataFrame([(1, 1.0, None), (2, 5.0, None), (3, None, None)], "id long, a double, b double")
+    scaled = retrieval.scaled_features(rows, ["a", "b"])
+    assert "percentile" not in scaled._jdf.queryExecution().toString()
+    got = {r["id"]: r["z"] for r in scaled.collect()}
+    assert len(got) == 3 and got[3][0] == 0.0 and got[3][1] is None
