@@ -80,3 +80,15 @@ def test_idle_keys_lose_their_state(spark, tmp_path):
     (tmp_path / "w").mkdir()
     assert run(spark, tmp_path / "z", later, make(100 * S))[1] == ("a", 2, 0)  # the alarm is forgotten
     assert run(spark, tmp_path / "w", later, make(5000 * S))[1] == ("a", 2, 2)  # the alarm holds
+
+
+def test_a_fold_gets_one_piece_at_a_time(spark, tmp_path):
+    """All pieces fall due at once; none is gathered with another, and a second micro-batch adds to a piece."""
+    batches = [[("a", s, s, 1.0, 0) for s in (1, 2, 11, 12, 13, 35)], [("a", 3, 3, None, 0)], [(None, 900, 0, None, 0)], [(None, 910, 0, None, 0)]]
+
+    def fold(state, rows, upto):
+        rows = list(rows)
+        return state, [(len(rows), upto)] if rows else [], None
+
+    got = run(spark, tmp_path, batches, lambda s: timed.timed(s, "key", 10 * S, "100 seconds", "n long, upto long", fold))
+    assert got == [("a", 1, 40 * S), ("a", 3, 10 * S), ("a", 3, 20 * S)]
