@@ -209,6 +209,44 @@ def cumulative_models(train: DataFrame, test: DataFrame, features: Sequence[str]
     return out.withColumns({f"p{i}": F.greatest(F.lit(0.0), *[F.col(f"p{j}") for j in range(i + 1)]) for i in range(len(cuts))})
 
 
+def flat_tree(tree, average: Callable) -> tuple:
+    """A tree of ``(feature, cut, below, above)`` and leaf sizes as arrays: feature, cut, both next nodes, depth at the leaf. A leaf leads to
+    itself."""
+    import numpy as np
+
+    feature, cut, after, depth = [], [], [], []
+
+    def add(node, steps: int) -> int:
+        at = len(feature)
+        inner = isinstance(node, tuple)
+        value = 0.0 if inner else float(average(node))
+        for _ in range(0 if inner else steps):
+            value = 1 + value
+        feature.append(node[0] if inner else 0)
+        cut.append(node[1] if inner else np.inf)
+        after.append([at, at])
+        depth.append(value)
+        if inner:
+            after[at] = [add(node[2], steps + 1), add(node[3], steps + 1)]
+        return at
+
+    add(tree, 0)
+    return np.array(feature, np.int64), np.array(cut), np.array(after, np.int64).reshape(-1), np.array(depth)
+
+
+def tree_depths(flat: tuple, x, levels: int):
+    """The leaf depth of every row, all rows a level at a time."""
+    import numpy as np
+
+    feature, cut, after, depth = flat
+    values, start = np.ascontiguousarray(x).reshape(-1), np.arange(len(x)) * x.shape[1]
+    at = np.zeros(len(x), np.int64)
+    for _ in range(levels):
+        below = values[start + feature[at]] < cut[at]
+        at = after[2 * at + ~below]
+    return depth[at]
+
+
 def isolation_scores(train: DataFrame, test: DataFrame, features: Sequence[str], key: str, trees: int = 64, sample: int = 256, seed: int = 42) -> DataFrame:
     """Isolation forest: each tree is grown from a bounded random sample (``sample`` rows, a parameter of the method) and the scores
     of the test rows are computed in Arrow batches, min-max scaled by the training sample's scores."""
@@ -234,16 +272,14 @@ def isolation_scores(train: DataFrame, test: DataFrame, features: Sequence[str],
     def average(n: int) -> float:
         return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
-    def depth(node, x: np.ndarray) -> np.ndarray:
-        if not isinstance(node, tuple):
-            return np.full(len(x), average(node))
-        f, cut, a, b = node
-        out, left = np.empty(len(x)), x[:, f] < cut
-        out[left], out[~left] = 1 + depth(a, x[left]), 1 + depth(b, x[~left])
-        return out
+    levels = int(np.ceil(np.log2(size)))
+    flat = [flat_tree(t, average) for t in forest]
 
     def raw(x: np.ndarray) -> np.ndarray:
-        return 2 ** (-np.mean([depth(t, x) for t in forest], axis=0) / average(size))
+        total = np.zeros(len(x))
+        for t in flat:
+            total += tree_depths(t, x, levels)
+        return 2 ** (-(total / len(flat)) / average(size))
 
     base = raw(rows)
     low, span = float(base.min()), float(max(base.max() - base.min(), 1e-12))
