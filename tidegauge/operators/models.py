@@ -5,22 +5,43 @@ Solvers differ from other libraries in the last digits; results are checked by p
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Bucketizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.operators.selection import ranked_values, value_cuts
+from tidegauge.sources.scratch import stored
 
-def _prepared(features: Sequence[str]) -> list:
+
+def _missing(c: str) -> str:
+    return f"(`{c}` IS NULL OR isnan(`{c}`))"
+
+
+def medians(train: DataFrame, features: Sequence[str]) -> list[float]:
+    """The exact lower median of every feature (nulls and NaN apart), by selection: ``Imputer`` with a relative error of 0 gathers
+    all values of all columns in the driver."""
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(f"CASE WHEN NOT {_missing(c)} THEN double(`{c}`) END").alias("v")) for i, c in enumerate(features)])).alias("_s")
+    found = ranked_values(train.select(values).select("_s.i", "_s.v"), ["i"], "v", lambda n: F.array(F.floor((n - 1) / 2).cast("long")))
+    by = {r["i"]: r["value"] for r in found.collect()}  # a row per feature
+    if empty := [c for i, c in enumerate(features) if i not in by]:
+        raise ValueError(f"no value to take a median of: {empty}")
+    return [by[i] for i in range(len(features))]
+
+
+def _prepared(train: DataFrame, features: Sequence[str]) -> list:
     filled = [f"_f_{c}" for c in features]
+    cases = ", ".join(f"CASE WHEN {_missing(c)} THEN double('{m!r}') ELSE double(`{c}`) END AS `{f}`" for c, f, m in zip(features, filled, medians(train, features), strict=True))
     return [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=0.0),
+        SQLTransformer(statement=f"SELECT *, {cases} FROM __THIS__"),
         VectorAssembler(inputCols=filled, outputCol="_raw", handleInvalid="keep"),
         StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
     ]
@@ -46,7 +67,7 @@ class Constant:
 class Scored:
     """A fitted pipeline whose ``transform`` adds ``score`` and leaves no work columns."""
 
-    def __init__(self, model: PipelineModel, column: str, index: int | None):
+    def __init__(self, model: PipelineModel | Stages, column: str, index: int | None):
         self.model, self.column, self.index = model, column, index
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -62,7 +83,7 @@ def fit_binary(train: DataFrame, features: Sequence[str], label: str, balanced:
         return Constant(float(p or 0) / max(n, 1))
     rows = train.withColumn("_y", F.col(label).cast("double"))
     rows = balanced_weights(rows, "_y") if balanced and not weight else rows.withColumn("_w", F.col(weight) if weight else F.lit(1.0))
-    model = Pipeline(stages=[*_prepared(features), LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / n, maxIter=200)]).fit(rows)
+    model = Pipeline(stages=[*_prepared(rows, features), LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / n, maxIter=200)]).fit(rows)
     return Scored(model, "probability", 1)
 
 
@@ -76,7 +97,7 @@ def fit_soft_binary(train: DataFrame, features: Sequence[str], target: str) -> S
 def fit_distribution(train: DataFrame, features: Sequence[str], masses: str, k: int) -> Scored:
     """Multinomial model on soft class masses (array): a weighted row per class with mass; ``score`` is the class array."""
     rows = train.select("*", F.posexplode(masses).alias("_y", "_m")).where("_m > 0").withColumn("_y", F.col("_y").cast("double"))
-    model = Pipeline(stages=[*_prepared(features), LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_m", family="multinomial", regParam=1e-3)]).fit(rows)
+    model = Pipeline(stages=[*_prepared(rows, features), LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_m", family="multinomial", regParam=1e-3)]).fit(rows)
 
     class Distribution(Scored):
         def transform(self, df: DataFrame) -> DataFrame:
@@ -89,7 +110,7 @@ def fit_distribution(train: DataFrame, features: Sequence[str], masses: str, k:
 
 def fit_ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> Scored:
     n = max(train.count(), 1)
-    model = Pipeline(stages=[*_prepared(features), LinearRegression(featuresCol="_x", labelCol=target, regParam=alpha / n, elasticNetParam=0.0)]).fit(train)
+    model = Pipeline(stages=[*_prepared(train, features), LinearRegression(featuresCol="_x", labelCol=target, regParam=alpha / n, elasticNetParam=0.0)]).fit(train)
     return Scored(model, "prediction", None)
 
 
@@ -110,26 +131,108 @@ REGRESSORS: dict[str, Callable] = {
     "elastic": lambda: LinearRegression(featuresCol="_x", labelCol="_y", regParam=0.1, elasticNetParam=0.5),
     "huber": lambda: LinearRegression(featuresCol="_x", labelCol="_y", loss="huber", regParam=0.01),
     "forest": lambda: RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=60, maxDepth=6, seed=42),
-    "boosting": lambda: GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=20, maxDepth=3, subsamplingRate=0.8, seed=42),
+    "boosting": lambda: BoostedTrees(rounds=20, depth=3, share=0.8, seed=42),
 }
 
 
-def fit_regressor(name: str, train: DataFrame, features: Sequence[str], target: str) -> Scored:
+def bin_cuts(df: DataFrame, columns: Sequence[str], most: int = 32) -> list[list[float]]:
+    """Rising cuts that part a column into ``most`` bins at most: between all its different values where they are that few, else at
+    quantiles."""
+    near = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    out = []
+    for c in columns:
+        few = sorted(r[0] for r in df.select(c).distinct().limit(most + 1).collect()) if near[c] <= 2 * most else []
+        if 0 < len(few) <= most:
+            out.append([(a + b) / 2 if a < (a + b) / 2 < math.inf else b for a, b in itertools.pairwise(few)] or few)
+        else:
+            out.append(value_cuts(df, c, most))
+    return out
+
+
+class BoostedTrees:
+    """Least-squares boosting as ``GBTRegressor`` does it (step 0.1, 32 bins a feature, each tree from a random ``share`` of the
+    rows). A tree sees a row's bins and target only, so rows of equal bins are summed once, for each tree those that its coins
+    take; the trees then grow from the sums, with the number of rows as weight."""
+
+    STEP = 0.1
+
+    def __init__(self, rounds: int, depth: int, share: float, seed: int):
+        self.rounds, self.depth, self.share, self.seed = rounds, depth, share, seed
+
+    def fit(self, rows: DataFrame, columns: Sequence[str]) -> BoostedModel:
+        """``rows`` have the ``columns`` (no null, no NaN) and the target ``_y``."""
+        bins = [f"_b{i}" for i in range(len(columns))]
+        splits = [[-math.inf, *(c for c in cuts if -math.inf < c < math.inf), math.inf] for cuts in bin_cuts(rows, columns)]
+        splits = [s if len(s) > 2 else [-math.inf, 0.0, math.inf] for s in splits]
+        model = BoostedModel(Bucketizer(inputCols=list(columns), outputCols=bins, splitsArray=splits), VectorAssembler(inputCols=bins, outputCol="_v"))
+        every = range(self.rounds)
+        drawn = model.binned(rows).select(*bins, "_y", *[(F.rand(self.seed + i) < self.share).alias(f"_c{i}") for i in every])
+        sums = drawn.groupBy(*bins).agg(*[F.sum(F.when(F.col(f"_c{i}"), F.col("_y"))).alias(f"_s{i}") for i in every], *[F.sum(F.col(f"_c{i}").cast("double")).alias(f"_n{i}") for i in every])
+        groups = stored(model.vectors.transform(sums).withColumn("_f", F.lit(0.0)), "boosting")
+        taken = groups.agg(*[F.sum(f"_n{i}") for i in every]).first()
+        for i in every:
+            if not taken[i]:  # no row at all, of a few
+                continue
+            first = not model.trees
+            own = groups.where(f"_n{i} > 0").select("_v", ((F.col(f"_s{i}") / F.col(f"_n{i}") - F.col("_f")) * (1 if first else 2)).alias("_r"), F.col(f"_n{i}").alias("_w"))
+            tree = DecisionTreeRegressor(featuresCol="_v", labelCol="_r", weightCol="_w", maxDepth=self.depth, seed=self.seed + i, predictionCol="_t").fit(own)
+            model.trees.append((tree, 1.0 if first else self.STEP))
+            if i + 1 < self.rounds:
+                groups = stored(tree.transform(groups).withColumn("_f", F.col("_f") + F.col("_t") * model.trees[-1][1]).drop("_t"), "boosting")
+        return model
+
+
+class BoostedModel:
+    """Each different vector of bins is scored once, and rows look their score up."""
+
+    def __init__(self, bins: Bucketizer, vectors: VectorAssembler):
+        self.bins, self.vectors, self.trees = bins, vectors, []
+
+    def binned(self, df: DataFrame) -> DataFrame:
+        """Bins as plain numbers: ``Bucketizer`` marks them as categories, whose order trees ignore."""
+        return self.bins.transform(df).withColumns({b: F.col(b) + F.lit(0.0) for b in self.bins.getOutputCols()})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        names, rows = self.bins.getOutputCols(), self.binned(df)
+        scored = self.vectors.transform(rows.select(*names).distinct()).withColumn("prediction", F.lit(0.0))
+        for tree, step in self.trees:
+            scored = tree.transform(scored).withColumn("prediction", F.col("prediction") + F.col("_t") * step).drop("_t")
+        return rows.join(stored(scored.drop("_v"), "boosted"), names)
+
+
+class Stages:
+    """Fitted stages one after the other, as a fitted pipeline has them."""
+
+    def __init__(self, *stages):
+        self.stages = stages
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for s in self.stages:
+            df = s.transform(df)
+        return df
+
+
+def fit_regressor(name: str, train: DataFrame, features: Sequence[str], target: str, prepared: PipelineModel | None = None) -> Scored:
+    """``prepared``: the preparing stages where they are fitted on ``train`` already."""
     rows = train.withColumn("_y", F.col(target).cast("double"))
-    return Scored(Pipeline(stages=[*_prepared(features), REGRESSORS[name]()]).fit(rows), "prediction", None)
+    prepared = prepared or Pipeline(stages=_prepared(rows, features)).fit(rows)
+    learner, ready = REGRESSORS[name](), prepared.transform(rows)
+    model = learner.fit(ready, [f"_f_{c}" for c in features]) if isinstance(learner, BoostedTrees) else learner.fit(ready)
+    return Scored(Stages(prepared, model), "prediction", None)
 
 
 def fit_classifier(name: str, train: DataFrame, features: Sequence[str], label: str) -> Scored:
     rows = train.withColumn("_y", F.col(label).cast("double"))
-    return Scored(Pipeline(stages=[*_prepared(features), CLASSIFIERS[name]()]).fit(rows), "probability", 1)
+    return Scored(Pipeline(stages=[*_prepared(rows, features), CLASSIFIERS[name]()]).fit(rows), "probability", 1)
 
 
 def model_search(train: DataFrame, valid: DataFrame, features: Sequence[str], target: str, names: Sequence[str] | None = None) -> list[tuple]:
     """(rmse, mae, name) of every candidate on the valid rows, best first."""
     out = []
+    prepared = Pipeline(stages=_prepared(train, features)).fit(train)
     for name in names or REGRESSORS:
         e = F.col(target) - F.col("score")
-        r = fit_regressor(name, train, features, target).transform(valid).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")).first()
+        r = fit_regressor(name, train, features, target, prepared).transform(valid).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")).first()
         out.append((r["rmse"], r["mae"], name))
     return sorted(out)
 
@@ -173,7 +276,7 @@ def platt(calibration: DataFrame, score: str, label: str):
 
 def cluster_regimes(train: DataFrame, features: Sequence[str], k: int, components: int | None = None, seed: int = 42):
     """K-means over scaled context (optionally reduced by PCA); returns a function that adds ``regime``."""
-    stages = _prepared(features)
+    stages = _prepared(train, features)
     column = "_x"
     if components:
         stages.append(PCA(k=components, inputCol="_x", outputCol="_p"))
@@ -196,7 +299,7 @@ def per_group_scores(train: DataFrame, test: DataFrame, features: Sequence[str],
 def importance(train: DataFrame, features: Sequence[str], label: str, top: int) -> list[tuple[str, float]]:
     """Features by random-forest importance."""
     rows = train.withColumn("_y", F.col(label).cast("double"))
-    model = Pipeline(stages=[*_prepared(features), RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=60, minInstancesPerNode=5, seed=42)]).fit(rows)
+    model = Pipeline(stages=[*_prepared(rows, features), RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=60, minInstancesPerNode=5, seed=42)]).fit(rows)
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:top]
 
 
