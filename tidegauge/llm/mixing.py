@@ -34,8 +34,10 @@ TABLE_BITS = 22
 BLOCK_BITS = 14
 #: Bytes of the word so far that its predictor sees.
 WORD_BYTES = 32
-#: Symbols of a window: contexts are made for so many at once, in scoring and in training.
+#: Symbols of a window: a longer text is scored in windows, and so many symbols at once train.
 WINDOW, TRAIN_WINDOW = 1 << 15, 1 << 20
+#: Symbols of texts that are scored side by side, and that get their contexts at once in training; no result depends on them.
+GROUP, TRAIN_GROUP = 1 << 15, 1 << 14
 #: Tokens that are broadcast, and the bytes of the longest: longer ones are named by a digest. At most 2^18 * 49 bytes.
 HEAD_TOKENS, TOKEN_BYTES = 1 << 18, 40
 #: Tokens that a task counts before it hands them on.
@@ -82,7 +84,8 @@ class Code:
             else:
                 todo += [(below[v - END - 1][turn], [*path, (v, turn)]) for turn in (0, 1)]
         self.length = np.array([len(paths[s]) for s in range(END + 1)], np.int32)
-        self.offset = np.cumsum(self.length, dtype=np.int32) - self.length
+        self.length = self.length.astype(np.intp)
+        self.offset = np.cumsum(self.length) - self.length
         steps = [step for s in range(END + 1) for step in paths[s]]
         with np.errstate(over="ignore"):
             self.stir = np.array([v for v, _ in steps], np.uint32) * _STIR
@@ -91,10 +94,9 @@ class Code:
 
     def expand(self, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For all bits in order: the place of their symbol, and of their step in ``stir`` and ``turn``."""
-        ends = np.cumsum(lengths, dtype=np.int32)
-        place = np.repeat(np.arange(len(symbols), dtype=np.int32), lengths)
-        step = np.arange(len(place), dtype=np.int32)
-        step += (self.offset[symbols] - (ends - lengths)).take(place)
+        place = np.repeat(np.arange(len(symbols)), lengths)
+        step = (self.offset.take(symbols) - (np.cumsum(lengths) - lengths)).take(place)
+        step += np.arange(len(place))
         return place, step
 
 
@@ -163,30 +165,52 @@ class Tables:
 
     def __init__(self, code: Code):
         self.code, self.held, self.size = code, [], 0
+        self.keys, self.waiting = [[] for _ in range(N_PREDICTORS)], 0
         self.counts = [np.zeros(2 << TABLE_BITS, np.int32) for _ in range(N_PREDICTORS)]
 
     def add(self, text: bytes) -> None:
         for at in range(0, len(text) or 1, TRAIN_WINDOW):  # a longer text counts as several
             self.held.append(text[at : at + TRAIN_WINDOW])
             self.size += len(self.held[-1]) + max(ORDERS)
-            if self.size >= TRAIN_WINDOW:
-                self.fold()
+            if self.size >= TRAIN_GROUP:
+                self.pair()
+                if self.waiting >= TRAIN_WINDOW:
+                    self.fold()
 
-    def fold(self) -> None:
-        """Different pairs of context and symbol first, then the bits of each."""
+    def pair(self) -> None:
+        """Pairs of context and symbol of the held texts."""
         if not self.held:
             return
         sym, _, own = symbols_of(self.held)
-        self.held, self.size = [], 0
-        for counts, h in zip(self.counts, contexts(sym), strict=True):
-            keys = np.sort((h[own].astype(np.uint64) << np.uint64(9)) | sym[own].astype(np.uint64))
+        low = sym[own].astype(np.uint64)
+        for keys, h in zip(self.keys, contexts(sym), strict=True):
+            own_keys = h[own].astype(np.uint64)
+            own_keys <<= np.uint64(9)
+            own_keys |= low
+            keys.append(own_keys)
+        self.held, self.size, self.waiting = [], 0, self.waiting + len(low)
+
+    def fold(self) -> None:
+        """Different pairs of context and symbol first, then the bits of each."""
+        self.pair()
+        if not self.waiting:
+            return
+        for counts, parts in zip(self.counts, self.keys, strict=True):
+            keys = np.concatenate(parts)
+            parts.clear()
+            keys.sort()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             times = np.diff(np.append(first, len(keys))).astype(np.int32)
             keys = keys[first]
-            pair_sym = (keys & np.uint64(511)).astype(np.int32)
-            place, step = self.code.expand(self.code.length[pair_sym], pair_sym)
-            at = slots((keys >> np.uint64(9)).astype(np.uint32).take(place), self.code.stir.take(step))
-            np.add.at(counts, (at << 1) | self.code.turn.take(step), times.take(place))
+            for a in range(0, len(keys), TRAIN_GROUP):
+                some = keys[a : a + TRAIN_GROUP]
+                pair_sym = (some & np.uint64(511)).astype(np.intp)
+                place, step = self.code.expand(self.code.length.take(pair_sym), pair_sym)
+                at = slots((some >> np.uint64(9)).astype(np.uint32).take(place), self.code.stir.take(step))
+                at <<= 1
+                at |= self.code.turn.take(step)
+                np.add.at(counts, at, times[a : a + TRAIN_GROUP].take(place))
+        self.waiting = 0
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         """Blocks of the tables that are not empty, packed."""
@@ -224,42 +248,49 @@ class Model:
         """Bits of each text, its end included."""
         out: list[float] = []
         group: list[bytes] = []
+        size = 0
         for text in texts:
             if len(text) > WINDOW:
                 out += self._group(group) if group else []
                 group = []
                 out.append(self._long(text))
                 continue
-            if group and sum(map(len, group)) + len(text) > WINDOW:
+            if group and size + len(text) > GROUP:
                 out += self._group(group)
                 group = []
+            size = len(text) + (size if group else 0)
             group.append(text)
         return out + (self._group(group) if group else [])
 
-    def _inputs(self, sym: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.where(use, self.code.length[sym], 0)
+    def _inputs(self, sym: np.ndarray, lengths: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of the predictors, gate and sign of every bit; ``order`` says which bits in which order."""
         place, step = self.code.expand(lengths, sym)
+        if order is not None:
+            place, step = place.take(order), step.take(order)
         stir = self.code.stir.take(step)
         x = np.empty((N_PREDICTORS, len(place)), np.float32)
-        gate = np.zeros(len(place), np.intp)
+        gate = np.zeros(len(place), np.uint8)
         for k, h in enumerate(contexts(sym)):
             v = self.tables[k].take(slots(h.take(place), stir))
             x[k] = v
             if k:
-                gate += (v != 0).view(np.uint8) * np.uint8(1 << (k - 1))
-        sign = self.code.sign.take(step)
-        return x, gate, sign, np.cumsum(lengths)
+                known = (v != 0).view(np.uint8)
+                known <<= k - 1
+                gate |= known
+        return x, gate, self.code.sign.take(step)
 
     def _group(self, texts: list[bytes]) -> list[float]:
+        """Texts are mixed side by side, longest first: the first blocks of all, then the second ones."""
         sym, ends, own = symbols_of(texts)
-        x, gate, sign, upto = self._inputs(sym, own)
-        out, a = [], 0
-        for b in upto[ends].tolist():
-            mixer = Mixer()
-            mixer.run(x[:, a:b], gate[a:b], sign[a:b])
-            out.append(mixer.bits)
-            a = b
-        return out
+        lengths = np.where(own, self.code.length.take(sym), 0)
+        upto = np.cumsum(lengths)[ends]
+        n_bits = np.diff(upto, prepend=0)
+        longest = np.argsort(-n_bits, kind="stable")
+        mixer = Mixer(len(texts))
+        mixer.run(*self._inputs(sym, lengths, blocks_first(n_bits[longest], (upto - n_bits)[longest])), n_bits[longest])
+        out = np.empty(len(texts))
+        out[longest] = mixer.bits
+        return out.tolist()
 
     def _long(self, text: bytes) -> float:
         """Windows from the text's own start, each with what its contexts look back at."""
@@ -269,63 +300,96 @@ class Model:
             low = max(0, at - look)
             use = own[low : at + WINDOW].copy()
             use[: at - low] = False
-            x, gate, sign, _ = self._inputs(sym[low : at + WINDOW], use)
-            mixer.run(x, gate, sign)
-        return mixer.bits
+            part = sym[low : at + WINDOW]
+            mixer.run(*self._inputs(part, np.where(use, self.code.length.take(part), 0)))
+        return float(mixer.bits[0])
+
+
+def blocks_first(n_bits: np.ndarray, begins: np.ndarray) -> np.ndarray | None:
+    """The bits of texts (longest first) in the order of their blocks: the first ones of all texts, then the second ones."""
+    if len(n_bits) == 1:
+        return None
+    done, block, starts, sizes = 0, FIRST_BLOCK, [], []
+    while done < n_bits[0]:
+        left = n_bits[n_bits > done] - done
+        starts.append(begins[: len(left)] + done)
+        sizes.append(np.minimum(left, block))
+        done, block = done + block, min(2 * block, LAST_BLOCK)
+    start, n = np.concatenate(starts), np.concatenate(sizes)
+    order = np.repeat(start - (np.cumsum(n) - n), n)
+    order += np.arange(len(order))
+    return order
 
 
 class Mixer:
-    """Weights of the predictors for each gate, corrections for each gate and range of log-odds; both learn from block to
-    block, and blocks double in size."""
+    """For each of some texts: weights of the predictors for each gate, corrections for each gate and range of log-odds; both
+    learn from block to block, and blocks double in size. No text sees another's."""
 
     GATES, RANGES = 1 << (N_PREDICTORS - 1), 32
 
-    def __init__(self):
-        self.weights = np.array(START_WEIGHTS, np.float32) / np.float32(SCALE)
-        self.shift = np.zeros(self.GATES * self.RANGES, np.float32)
-        self.seen = np.full(self.GATES * self.RANGES, 20.0, np.float32)
-        self.block, self.bits = FIRST_BLOCK, 0.0
-
-    def run(self, x: np.ndarray, gate: np.ndarray, sign: np.ndarray) -> None:
-        """Most bits have the last gate, so all are mixed by it first and the others anew."""
-        a, n, total, last = 0, x.shape[1], 0.0, self.GATES - 1
-        others, cells = np.flatnonzero(gate != last), gate * self.RANGES
-        while a < n:
-            b = min(n, a + self.block)
-            self.block = min(2 * self.block, LAST_BLOCK)
-            part, y = x[:, a:b], sign[a:b]
-            few = others[np.searchsorted(others, a) : np.searchsorted(others, b)] - a
-            mixed = self.weights[last] @ part
-            if len(few):
-                few_gates, few_part = gate[a:b].take(few), part.take(few, axis=1)
-                mixed[few] = (self.weights.T.take(few_gates, axis=1) * few_part).sum(axis=0)
+    def __init__(self, texts: int = 1):
+        cells = texts * self.GATES * self.RANGES
+        self.weights = np.tile(np.array(START_WEIGHTS, np.float32) / np.float32(SCALE), (texts, 1, 1))
+        self.shift = np.zeros(cells, np.float32)
+        self.seen = np.full(cells, 20.0, np.float32)
+        self.block, self.bits = FIRST_BLOCK, np.zeros(texts)
+
+    def run(self, x: np.ndarray, gate: np.ndarray, sign: np.ndarray, n_bits: np.ndarray | None = None) -> None:
+        """The bits of one text, or of all (longest first) as ``blocks_first`` orders them. Most bits have the last gate, so all
+        are mixed by it first and the others anew."""
+        n_bits = np.array([x.shape[1]]) if n_bits is None else n_bits
+        last, per = self.GATES - 1, self.GATES * self.RANGES
+        others = np.flatnonzero(gate != last)
+        other_gates, other_x, minus = gate.take(others), x.take(others, axis=1), -sign
+        a = done = 0
+        while done < n_bits[0]:
+            sizes = np.minimum(n_bits[n_bits > done] - done, self.block)
+            done, self.block = done + self.block, min(2 * self.block, LAST_BLOCK)
+            texts, stops = len(sizes), np.cumsum(sizes)
+            starts, b = stops - sizes, a + int(stops[-1])
+            own = list(zip(range(texts), starts.tolist(), stops.tolist(), strict=True))
+            part, weights = x[:, a:b], self.weights[:texts]
+            low, high = others.searchsorted((a, b))
+            few = others[low:high] - a
+            mixed = np.empty(b - a, np.float32)
+            for t, s, e in own:
+                np.matmul(weights[t, last], part[:, s:e], out=mixed[s:e])
+            few_gates = stops.searchsorted(few, "right") * self.GATES + other_gates[low:high]
+            few_part = other_x[:, low:high]
+            mixed[few] = (weights.reshape(-1, N_PREDICTORS).take(few_gates, axis=0).T * few_part).sum(axis=0)
             cell = mixed * 2
             cell += self.RANGES / 2
             np.maximum(cell, 0, out=cell)
             np.minimum(cell, self.RANGES - 1, out=cell)
             cell = cell.astype(np.intp)
-            cell += cells[a:b]
+            cell += np.repeat(np.arange(texts) * per + last * self.RANGES, sizes) if texts > 1 else last * self.RANGES
+            cell[few] += few_gates % self.GATES * self.RANGES - last * self.RANGES
             mixed += self.shift.take(cell)
-            mixed *= y
-            np.maximum(mixed, -20, out=mixed)
-            np.negative(mixed, out=mixed)
+            mixed *= minus[a:b]
+            np.minimum(mixed, 20, out=mixed)
             wrong = np.exp(mixed, out=mixed)
             odds = wrong + 1
-            miss = wrong / odds
-            miss *= y
-            total += float(np.log(odds, out=odds).sum(dtype=np.float64))
-            slope = np.zeros_like(self.weights)
-            slope[last] = part @ miss
-            if len(few):
-                spread = np.zeros((self.GATES, len(few)), np.float32)
-                spread[few_gates, np.arange(len(few))] = miss.take(few)
-                slope += spread @ few_part.T
-                slope[last] -= slope[:last].sum(axis=0)
-            self.weights += RATE * slope
-            self.shift += np.bincount(cell, miss, len(self.shift)).astype(np.float32) / self.seen
-            self.seen += 0.25 * np.bincount(cell, minlength=len(self.seen))
+            miss = np.divide(wrong, odds, out=wrong)
+            miss *= sign[a:b]
+            self.bits[:texts] += np.add.reduceat(np.log(odds, out=odds), starts, dtype=np.float64) / math.log(2)
+            slope = np.empty((texts, self.GATES, N_PREDICTORS), np.float32)
+            for t, s, e in own:
+                np.matmul(part[:, s:e], miss[s:e], out=slope[t, last])
+            few_part = few_part * miss.take(few)
+            sums = np.stack([np.bincount(few_gates, row, texts * self.GATES) for row in few_part], axis=1).reshape(slope.shape)
+            slope[:, :last] = sums[:, :last]
+            slope[:, last] -= slope[:, :last].sum(axis=1)
+            slope *= np.float32(RATE)
+            weights += slope
+            moved = self.shift[: texts * per]
+            moved += np.bincount(cell, miss, len(moved)).astype(np.float32) / self.seen[: len(moved)]
+            self.seen[: len(moved)] += 0.25 * np.bincount(cell, minlength=len(moved))
             a = b
-        self.bits += total / math.log(2)
+
+
+def raw_texts(rows: pa.RecordBatch) -> list[bytes]:
+    """The texts of a batch in UTF-8; a null is empty."""
+    return [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
 
 
 _BATCH = pa.schema([("kind", pa.int32()), ("token", pa.binary()), ("n", pa.int64())])
@@ -342,9 +406,8 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chars, texts = Counter(), np.zeros(256, np.int64), 0
         for rows in batches:
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
+            for doc_id, raw in zip(rows.column("doc_id").to_pylist(), raw_texts(rows), strict=True):
                 if not held_out(doc_id):
-                    raw = (text.as_py() or "").encode()
                     words.update(tokens_of(raw))
                     chars += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
                     texts += 1
@@ -379,9 +442,9 @@ def context_tables(docs: DataFrame, code: Code) -> list[np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(code)
         for rows in batches:
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
+            for doc_id, raw in zip(rows.column("doc_id").to_pylist(), raw_texts(rows), strict=True):
                 if not held_out(doc_id):
-                    tables.add((text.as_py() or "").encode())
+                    tables.add(raw)
         for block, raw in tables.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([raw], pa.binary())], ["block", "part"])
 
@@ -445,14 +508,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
         odds = {w: math.log10((n + 0.1) / bottom) for w, n in known.items()}
         end = math.log10((alphabet[END] + 0.1) / bottom)
         for rows in batches:
-            texts = [(t.as_py() or "").encode() for t in rows.column("text")]
+            texts = raw_texts(rows)
             ids = rows.column("doc_id").to_pylist()
             out = []
             for row, doc_id, raw, bits in zip(rows.column("row").to_pylist(), ids, texts, model.bits(texts), strict=True):
                 own = tokens_of(raw)
                 found = list(map(odds.get, own))
-                rare = [w for w, v in zip(own, found, strict=True) if v is None]
-                base = math.fsum(v for v in found if v is not None) + end
+                rare = [w for w, v in zip(own, found, strict=True) if v is None] if None in found else []
+                base = math.fsum(filter(None, found)) + end
                 n_known = len(own) - len(rare) + int(alphabet[END] > 0)
                 out.append((row, doc_id, held_out(doc_id), len(own) + 1, n_known, base, -bits * math.log10(2), len(raw), rare))
             if out:
