@@ -13,6 +13,7 @@ all other tokens are joined by a shuffle.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import math
@@ -31,6 +32,9 @@ END = 256
 ORDERS = (3, 5)
 #: Slots of a predictor's table, two counts each while training, a byte each in the model (all three: 12 MB).
 TABLE_BITS = 22
+#: Slots from one decision of a context to the next. Without gaps, frequent decisions of two contexts meet more often in full tables
+#: (2.3695 bits a byte on held-out rows of sf0.1 with 2^19 slots; 2.3637 with gaps, or with decisions anywhere).
+NEAR = 3
 BLOCK_BITS = 14
 #: Bytes of the word so far that its predictor sees.
 WORD_BYTES = 32
@@ -38,6 +42,8 @@ WORD_BYTES = 32
 WINDOW, TRAIN_WINDOW = 1 << 15, 1 << 20
 #: Symbols of texts that are scored side by side, and that get their contexts at once in training; no result depends on them.
 GROUP, TRAIN_GROUP = 1 << 15, 1 << 14
+#: Symbols whose inputs are looked up at once, so that what lies between stays in a core's cache.
+CHUNK = 1 << 12
 #: Tokens that are broadcast, and the bytes of the longest: longer ones are named by a digest. At most 2^18 * 49 bytes.
 HEAD_TOKENS, TOKEN_BYTES = 1 << 18, 40
 #: Tokens that a task counts before it hands them on.
@@ -46,7 +52,9 @@ SCALE = 12.0  # log-odds are stored in twelfths
 FIRST_BLOCK, LAST_BLOCK, RATE = 1024, 8192, 3e-6
 #: Weights of a document's first block, by gate: neither the fifth order nor the word knows the context, the one, the other, both.
 START_WEIGHTS = ((0.85, 0.1, 0.1), (0.45, 0.6, 0.1), (0.6, 0.1, 0.3), (0.27, 0.62, 0.28))
-_MIX, _STIR = np.uint32(0x2C1B3C6D), np.uint32(0x9E3779B1)
+_MIX, _SPREAD = np.uint32(0x2C1B3C6D), np.uint32(0x85EBCA6B)
+#: ``_SPREAD`` times this moves a slot by one: the decisions that follow a context lie close together, the most frequent first.
+_STIR = np.uint32(pow(0x85EBCA6B, -1, 1 << 32) << (32 - TABLE_BITS) & 0xFFFFFFFF)
 _END_TOKEN = b""
 _RADIX = 0x01000193 | 0x9E370000  # odd, so it has an inverse
 
@@ -87,15 +95,16 @@ class Code:
         self.length = self.length.astype(np.intp)
         self.offset = np.cumsum(self.length) - self.length
         steps = [step for s in range(END + 1) for step in paths[s]]
+        self.near = np.array([NEAR * (2 * END - v) for v, _ in steps], np.intp)  # the root is 0, as it is the last node made
         with np.errstate(over="ignore"):
-            self.stir = np.array([v for v, _ in steps], np.uint32) * _STIR
+            self.stir = self.near.astype(np.uint32) * _STIR
         self.turn = np.array([t for _, t in steps], np.uint8)
         self.sign = 2 * self.turn.astype(np.float32) - 1
 
-    def expand(self, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For all bits in order: the place of their symbol, and of their step in ``stir`` and ``turn``."""
-        place = np.repeat(np.arange(len(symbols)), lengths)
-        step = (self.offset.take(symbols) - (np.cumsum(lengths) - lengths)).take(place)
+    def expand(self, lengths: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For all bits in order: the place of their symbol, and of their step in ``near`` and ``turn``."""
+        place = np.repeat(np.arange(len(lengths)), lengths)
+        step = (offsets - (np.cumsum(lengths) - lengths)).take(place)
         step += np.arange(len(place))
         return place, step
 
@@ -120,6 +129,16 @@ def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sym, ends, own
 
 
+@functools.cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of ``_RADIX`` and of its inverse; ``n`` is a power of two itself, so few are ever made."""
+    both = np.full((2, n), _RADIX, np.uint32)
+    both[1] = pow(_RADIX, -1, 1 << 32)
+    both[:, 0] = 1
+    up, down = np.multiply.accumulate(both, axis=1, dtype=np.uint32)
+    return up, down
+
+
 def contexts(sym: np.ndarray) -> list[np.ndarray]:
     """Hashes of what stands before each symbol, for each predictor. The first symbols must be ends."""
     n, look = len(sym), max(ORDERS)
@@ -133,28 +152,24 @@ def contexts(sym: np.ndarray) -> list[np.ndarray]:
             h ^= h >> np.uint32(15)
             if j in ORDERS:
                 out.append(h + np.uint32(j))
-        up = np.full(n, _RADIX & 0xFFFFFFFF, np.uint32)
-        down = np.full(n, pow(_RADIX & 0xFFFFFFFF, -1, 1 << 32), np.uint32)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up, dtype=np.uint32), np.multiply.accumulate(down, dtype=np.uint32)
-        total = np.cumsum(s * up, dtype=np.uint32)
+        up, down = powers(1 << (n - 1).bit_length())
+        total = np.cumsum(s * up[:n], dtype=np.uint32)
         before = np.concatenate([np.zeros(1, np.uint32), total[:-1]])
-        at = np.arange(n, dtype=np.int32)
-        begins = np.zeros(n, np.int32)
-        begins[1:] = np.where(_BLANK[sym[:-1]], at[1:], 0)
+        at = np.arange(n)
+        begins = np.zeros(n, np.intp)
+        np.multiply(at[1:], _BLANK.take(sym[:-1]), out=begins[1:])
         begins = np.maximum(np.maximum.accumulate(begins), at - WORD_BYTES)
-        word = (before - before[begins]) * down[begins]
+        word = (before - before.take(begins)) * down.take(begins)
         word = (word ^ (word >> np.uint32(16))) * _MIX
         out.append(word ^ (word >> np.uint32(15)))
     return out
 
 
-def slots(context: np.ndarray, stir: np.ndarray) -> np.ndarray:
-    """Slots as indices; ``context`` is used up."""
-    context += stir
-    context *= np.uint32(0x85EBCA6B)
-    context >>= np.uint32(32 - TABLE_BITS)
-    return context.astype(np.intp)
+def slots(context: np.ndarray) -> np.ndarray:
+    """The slot of each context's first decision; that of step ``i`` of the code is ``near[i]`` further, in a ring.
+
+    It is ``(context + stir) * _SPREAD >> 32 - TABLE_BITS`` for each step; ``stir`` moves it within a few cache lines."""
+    return ((context * _SPREAD) >> np.uint32(32 - TABLE_BITS)).astype(np.intp)
 
 
 N_PREDICTORS = len(ORDERS) + 1
@@ -205,8 +220,10 @@ class Tables:
             for a in range(0, len(keys), TRAIN_GROUP):
                 some = keys[a : a + TRAIN_GROUP]
                 pair_sym = (some & np.uint64(511)).astype(np.intp)
-                place, step = self.code.expand(self.code.length.take(pair_sym), pair_sym)
-                at = slots((some >> np.uint64(9)).astype(np.uint32).take(place), self.code.stir.take(step))
+                place, step = self.code.expand(self.code.length.take(pair_sym), self.code.offset.take(pair_sym))
+                at = slots((some >> np.uint64(9)).astype(np.uint32)).take(place)
+                at += self.code.near.take(step)
+                at &= (1 << TABLE_BITS) - 1
                 at <<= 1
                 at |= self.code.turn.take(step)
                 np.add.at(counts, at, times[a : a + TRAIN_GROUP].take(place))
@@ -243,41 +260,55 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self, counts: np.ndarray, tables: list[np.ndarray]):
         self.code, self.tables = Code(counts), tables
+        self.rings = np.empty((N_PREDICTORS, (1 << TABLE_BITS) + NEAR * END), np.int8)  # a context at the end goes on at the start
+        for ring, t in zip(self.rings, tables, strict=True):
+            np.concatenate([t, t[: NEAR * END]], out=ring)
 
     def bits(self, texts: list[bytes]) -> list[float]:
-        """Bits of each text, its end included."""
-        out: list[float] = []
-        group: list[bytes] = []
+        """Bits of each text, its end included. Texts of a group are alike in length, so that most end in the same block."""
+        out = np.empty(len(texts))
+        group: list[int] = []
         size = 0
-        for text in texts:
-            if len(text) > WINDOW:
-                out += self._group(group) if group else []
-                group = []
-                out.append(self._long(text))
+        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+            if len(texts[i]) > WINDOW:
+                out[i] = self._long(texts[i])
                 continue
-            if group and size + len(text) > GROUP:
-                out += self._group(group)
-                group = []
-            size = len(text) + (size if group else 0)
-            group.append(text)
-        return out + (self._group(group) if group else [])
-
-    def _inputs(self, sym: np.ndarray, lengths: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-odds of the predictors, gate and sign of every bit; ``order`` says which bits in which order."""
-        place, step = self.code.expand(lengths, sym)
-        if order is not None:
-            place, step = place.take(order), step.take(order)
-        stir = self.code.stir.take(step)
-        x = np.empty((N_PREDICTORS, len(place)), np.float32)
-        gate = np.zeros(len(place), np.uint8)
-        for k, h in enumerate(contexts(sym)):
-            v = self.tables[k].take(slots(h.take(place), stir))
-            x[k] = v
-            if k:
-                known = (v != 0).view(np.uint8)
-                known <<= k - 1
-                gate |= known
-        return x, gate, self.code.sign.take(step)
+            if group and size + len(texts[i]) > GROUP:
+                out[group] = self._group([texts[j] for j in group])
+                group, size = [], 0
+            size += len(texts[i])
+            group.append(i)
+        if group:
+            out[group] = self._group([texts[j] for j in group])
+        return out.tolist()
+
+    def _inputs(self, sym: np.ndarray, lengths: np.ndarray, pieces: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of the predictors, gate and sign of every bit, or of the ``pieces`` of bits in their order."""
+        first = [slots(h) for h in contexts(sym)]
+        offsets, chosen = self.code.offset.take(sym), None
+        if pieces is not None:
+            chosen, offsets, lengths = cut(*pieces, offsets, lengths)
+        stops = np.cumsum(lengths)
+        x = np.empty((N_PREDICTORS, stops[-1]), np.float32)
+        gate, sign = np.zeros(stops[-1], np.uint8), np.empty(stops[-1], np.float32)
+        done = 0
+        for a in range(0, len(lengths), CHUNK):
+            some = slice(a, a + CHUNK)
+            place, step = self.code.expand(lengths[some], offsets[some])
+            near, part = self.code.near.take(step), slice(done, done + len(place))
+            sign[part] = self.code.sign.take(step)
+            for k in reversed(range(N_PREDICTORS)):
+                at, ring = first[k][some] if chosen is None else first[k].take(chosen[some]), self.rings[k]
+                ring.take(at)  # these lines come into the cache at once, where decision by decision would wait for each
+                at = at.take(place)
+                at += near
+                v = ring.take(at)
+                x[k, part] = v
+                if k:
+                    gate[part] += gate[part]
+                    gate[part] += v != 0
+            done += len(place)
+        return x, gate, sign
 
     def _group(self, texts: list[bytes]) -> list[float]:
         """Texts are mixed side by side, longest first: the first blocks of all, then the second ones."""
@@ -287,7 +318,7 @@ class Model:
         n_bits = np.diff(upto, prepend=0)
         longest = np.argsort(-n_bits, kind="stable")
         mixer = Mixer(len(texts))
-        mixer.run(*self._inputs(sym, lengths, blocks_first(n_bits[longest], (upto - n_bits)[longest])), n_bits[longest])
+        mixer.run(*self._inputs(sym, lengths, block_pieces(n_bits[longest], (upto - n_bits)[longest])), n_bits[longest])
         out = np.empty(len(texts))
         out[longest] = mixer.bits
         return out.tolist()
@@ -305,8 +336,8 @@ class Model:
         return float(mixer.bits[0])
 
 
-def blocks_first(n_bits: np.ndarray, begins: np.ndarray) -> np.ndarray | None:
-    """The bits of texts (longest first) in the order of their blocks: the first ones of all texts, then the second ones."""
+def block_pieces(n_bits: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Starts and sizes of the blocks of texts (longest first): the first ones of all texts, then the second ones."""
     if len(n_bits) == 1:
         return None
     done, block, starts, sizes = 0, FIRST_BLOCK, [], []
@@ -315,10 +346,35 @@ def blocks_first(n_bits: np.ndarray, begins: np.ndarray) -> np.ndarray | None:
         starts.append(begins[: len(left)] + done)
         sizes.append(np.minimum(left, block))
         done, block = done + block, min(2 * block, LAST_BLOCK)
-    start, n = np.concatenate(starts), np.concatenate(sizes)
-    order = np.repeat(start - (np.cumsum(n) - n), n)
-    order += np.arange(len(order))
-    return order
+    return np.concatenate(starts), np.concatenate(sizes)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def blocks_first(n_bits: np.ndarray, begins: np.ndarray) -> np.ndarray | None:
+    """The bits of texts (longest first) in the order of their blocks."""
+    pieces = block_pieces(n_bits, begins)
+    return None if pieces is None else ranges(*pieces)
+
+
+def cut(starts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of bits as symbols: places, offsets and lengths. A symbol that a piece's edge divides stands in both pieces,
+    with its own steps in each."""
+    upto, ends = np.cumsum(lengths), starts + sizes
+    head, tail = upto.searchsorted(starts, "right"), upto.searchsorted(ends)
+    n = tail - head + 1
+    chosen = ranges(head, n)
+    offsets, lengths, stop = offsets.take(chosen), lengths.take(chosen), np.cumsum(n)
+    before = starts - (upto - np.diff(upto, prepend=0))[head]
+    offsets[stop - n] += before
+    lengths[stop - n] -= before
+    lengths[stop - 1] -= upto[tail] - ends
+    return chosen, offsets, lengths
 
 
 class Mixer:
@@ -339,31 +395,40 @@ class Mixer:
         are mixed by it first and the others anew."""
         n_bits = np.array([x.shape[1]]) if n_bits is None else n_bits
         last, per = self.GATES - 1, self.GATES * self.RANGES
-        others = np.flatnonzero(gate != last)
-        other_gates, other_x, minus = gate.take(others), x.take(others, axis=1), -sign
-        a = done = 0
+        rounds, full, done = [], [], 0
         while done < n_bits[0]:
             sizes = np.minimum(n_bits[n_bits > done] - done, self.block)
+            rounds.append(sizes)
+            full.append(int(np.count_nonzero(sizes == self.block)))
             done, self.block = done + self.block, min(2 * self.block, LAST_BLOCK)
-            texts, stops = len(sizes), np.cumsum(sizes)
-            starts, b = stops - sizes, a + int(stops[-1])
-            own = list(zip(range(texts), starts.tolist(), stops.tolist(), strict=True))
+        if not rounds:
+            return
+        cells = np.repeat(np.concatenate([np.arange(len(sizes)) for sizes in rounds]) * per, np.concatenate(rounds))
+        cells += gate * np.uint8(self.RANGES)
+        few = np.flatnonzero(gate != last)
+        few_gates = cells.take(few) // self.RANGES
+        few_at = few_gates * N_PREDICTORS + np.arange(N_PREDICTORS)[:, None]
+        few_x = x.take(few, axis=1)
+        stops = np.cumsum([sizes.sum() for sizes in rounds])
+        minus, low, a = -sign, 0, 0
+        for sizes, whole, b, high in zip(rounds, full, stops.tolist(), few.searchsorted(stops).tolist(), strict=True):
+            texts, ends = len(sizes), np.cumsum(sizes)
             part, weights = x[:, a:b], self.weights[:texts]
-            low, high = others.searchsorted((a, b))
-            few = others[low:high] - a
             mixed = np.empty(b - a, np.float32)
+            slope = np.empty((texts, N_PREDICTORS), np.float32)
+            square, even = self._whole(part, ends, whole)
+            own = list(zip(range(whole, texts), (ends - sizes)[whole:].tolist(), ends[whole:].tolist(), strict=True))
+            if whole:
+                np.matmul(weights[:whole, None, last], square, out=mixed[:even].reshape(whole, 1, -1))
             for t, s, e in own:
                 np.matmul(weights[t, last], part[:, s:e], out=mixed[s:e])
-            few_gates = stops.searchsorted(few, "right") * self.GATES + other_gates[low:high]
-            few_part = other_x[:, low:high]
-            mixed[few] = (weights.reshape(-1, N_PREDICTORS).take(few_gates, axis=0).T * few_part).sum(axis=0)
+            some, some_at, some_x = few[low:high] - a, few_at[:, low:high], few_x[:, low:high]
+            mixed[some] = (weights.ravel().take(some_at) * some_x).sum(axis=0)
             cell = mixed * 2
             cell += self.RANGES / 2
-            np.maximum(cell, 0, out=cell)
-            np.minimum(cell, self.RANGES - 1, out=cell)
+            cell.clip(0, self.RANGES - 1, out=cell)
             cell = cell.astype(np.intp)
-            cell += np.repeat(np.arange(texts) * per + last * self.RANGES, sizes) if texts > 1 else last * self.RANGES
-            cell[few] += few_gates % self.GATES * self.RANGES - last * self.RANGES
+            cell += cells[a:b]
             mixed += self.shift.take(cell)
             mixed *= minus[a:b]
             np.minimum(mixed, 20, out=mixed)
@@ -371,20 +436,30 @@ class Mixer:
             odds = wrong + 1
             miss = np.divide(wrong, odds, out=wrong)
             miss *= sign[a:b]
-            self.bits[:texts] += np.add.reduceat(np.log(odds, out=odds), starts, dtype=np.float64) / math.log(2)
-            slope = np.empty((texts, self.GATES, N_PREDICTORS), np.float32)
+            if whole:  # four odds multiply to 6e34 at most
+                four = odds[:even].reshape(whole, 4, -1).prod(axis=1)
+                self.bits[:whole] += np.log(four, out=four).sum(axis=1, dtype=np.float64) / math.log(2)
+            if own:
+                rest = np.log(odds[even:], out=odds[even:])
+                self.bits[whole:texts] += np.add.reduceat(rest, (ends - sizes)[whole:] - even, dtype=np.float64) / math.log(2)
+            if whole:
+                np.matmul(square, miss[:even].reshape(whole, -1, 1), out=slope[:whole, :, None])
             for t, s, e in own:
-                np.matmul(part[:, s:e], miss[s:e], out=slope[t, last])
-            few_part = few_part * miss.take(few)
-            sums = np.stack([np.bincount(few_gates, row, texts * self.GATES) for row in few_part], axis=1).reshape(slope.shape)
-            slope[:, :last] = sums[:, :last]
-            slope[:, last] -= slope[:, :last].sum(axis=1)
-            slope *= np.float32(RATE)
-            weights += slope
-            moved = self.shift[: texts * per]
-            moved += np.bincount(cell, miss, len(moved)).astype(np.float32) / self.seen[: len(moved)]
-            self.seen[: len(moved)] += 0.25 * np.bincount(cell, minlength=len(moved))
-            a = b
+                np.matmul(part[:, s:e], miss[s:e], out=slope[t])
+            slopes = np.bincount(some_at.ravel(), (some_x * miss.take(some)).ravel(), weights.size).astype(np.float32).reshape(weights.shape)
+            slopes[:, last] = slope - slopes.sum(axis=1)
+            slopes *= np.float32(RATE)
+            weights += slopes
+            moved, seen = self.shift[: texts * per], self.seen[: texts * per]
+            moved += np.bincount(cell, miss, len(moved)) / seen
+            seen += 0.25 * np.bincount(cell, minlength=len(moved))
+            a, low = b, high
+
+    @staticmethod
+    def _whole(part: np.ndarray, ends: np.ndarray, whole: int) -> tuple[np.ndarray, int]:
+        """The inputs of the first texts, whose blocks are whole, text by text; and the bits of all their blocks."""
+        even = int(ends[whole - 1]) if whole else 0
+        return part[:, :even].reshape(N_PREDICTORS, whole, -1 if whole else 0).transpose(1, 0, 2), even
 
 
 def raw_texts(rows: pa.RecordBatch) -> list[bytes]:
