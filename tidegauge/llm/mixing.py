@@ -193,20 +193,20 @@ class Tables:
                     self.fold()
 
     def pair(self) -> None:
-        """Pairs of context and symbol of the held texts."""
+        """Pairs of a context's first slot and a symbol, of the held texts: 22 and 9 bits."""
         if not self.held:
             return
         sym, _, own = symbols_of(self.held)
-        low = sym[own].astype(np.uint64)
+        low = sym[own].astype(np.uint32)
         for keys, h in zip(self.keys, contexts(sym), strict=True):
-            own_keys = h[own].astype(np.uint64)
-            own_keys <<= np.uint64(9)
+            own_keys = slots(h[own]).astype(np.uint32)
+            own_keys <<= np.uint32(9)
             own_keys |= low
             keys.append(own_keys)
         self.held, self.size, self.waiting = [], 0, self.waiting + len(low)
 
     def fold(self) -> None:
-        """Different pairs of context and symbol first, then the bits of each."""
+        """Different pairs of slot and symbol first, then the bits of each, in the order of the table."""
         self.pair()
         if not self.waiting:
             return
@@ -219,9 +219,9 @@ class Tables:
             keys = keys[first]
             for a in range(0, len(keys), TRAIN_GROUP):
                 some = keys[a : a + TRAIN_GROUP]
-                pair_sym = (some & np.uint64(511)).astype(np.intp)
+                pair_sym = (some & np.uint32(511)).astype(np.intp)
                 place, step = self.code.expand(self.code.length.take(pair_sym), self.code.offset.take(pair_sym))
-                at = slots((some >> np.uint64(9)).astype(np.uint32)).take(place)
+                at = (some >> np.uint32(9)).astype(np.intp).take(place)
                 at += self.code.near.take(step)
                 at &= (1 << TABLE_BITS) - 1
                 at <<= 1
