@@ -239,7 +239,7 @@ sum(share) - coalesce(sum(share) FILTER (WHERE week = now), 0) - coalesce(sum(sh
 def weighted_share_by_week(spark, d):
     e = events(spark, d).withColumn("week", F.floor(F.col("t") / (7 * DAY)))
     now = F.broadcast(e.agg(F.max("week").alias("now")))
-    shares = aggregates.weighted_shares(e, ["unit"], "week", "value", 3).crossJoin(now)
+    shares = aggregates.weighted_shares(e, ["unit"], "week", "value", 3, order=["event_id"]).crossJoin(now)
     return shares.select("unit", *[c.alias(n) for n, c in aggregates.period_shares(F.col("shares"), F.col("now"), F.col("now") - 1).items()])
 
 
